@@ -39,6 +39,8 @@ def _anchors(h: np.ndarray, bounds: np.ndarray, window: int):
 
 def _runs(doc: np.ndarray, at: np.ndarray, window: int):
     """Per document, in order, the word ranges that windows at ``at`` cover, as packed int32 pairs."""
+    if not len(doc):
+        return doc, []
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     new = np.ones(len(doc), bool)
@@ -47,8 +49,8 @@ def _runs(doc: np.ndarray, at: np.ndarray, window: int):
     starts, stops = at[first], at[np.append(first[1:], len(doc)) - 1] + window
     pairs = np.stack([starts, stops], axis=1).astype(np.int32)
     owners = doc[first]
-    cut = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, np.int64)
-    return owners[cut], [p.tobytes() for p in np.split(pairs, cut[1:])] if len(owners) else []
+    cut = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+    return owners[cut], [p.tobytes() for p in np.split(pairs, cut[1:])]
 
 
 def _repeated(key: np.ndarray) -> np.ndarray:
