@@ -64,7 +64,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
-    return quality(read(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+    return quality(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]).select(*columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BREAKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+from scanforge.llm.common import Workspace
 
 
-def _chars_removed(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _doubled(name: str, half: int) -> Column:
+    return F.transform(name, lambda x, i: F.xxhash64(x, F.get(name, i + half)))
 
 
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -31,12 +30,11 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = df.withColumn("_text", text)
     out = out.withColumn("_w", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     out = out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    windows = F.when(
-        F.size("_h") >= 8, F.transform(F.sequence(F.lit(1), F.size("_h") - 7), lambda i: F.xxhash64(F.slice("_h", i, 8)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("_g", windows)
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, WORD_BREAKS, "") != "")
-    out = out.withColumn("_lines", lines)
+    # Hashes of windows of 2, 4 and 8 words, each of two halves; the last 7 reach over the end.
+    for half, name, before in ((1, "_h2", "_h"), (2, "_h4", "_h2"), (4, "_h8", "_h4")):
+        out = out.withColumn(name, _doubled(before, half))
+    out = out.withColumn("_g", F.slice("_h8", 1, F.greatest(F.size("_h8") - 7, F.lit(0))))
+    out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # Windows in order of hash and place: equal neighbours are repeats.
     out = out.withColumn(
         "_s",
@@ -55,24 +53,19 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform("_at", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("_at", k + 1), p + 8) - p)), F.lit(0).cast("bigint"), lambda a, x: a + x
     )
     n_words, n_lines = F.size("_w").cast("long"), F.size("_lines").cast("long")
-    bare = F.translate("_text", WORD_BREAKS, "")
     found = (
         n_words.alias("_m_n_words"),
-        F.length(bare).cast("long").alias("_m_word_chars"),
-        _chars_removed(F.col("_text"), SYMBOLS).cast("long").alias("_m_n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("_m_word_chars"),
+        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("_m_n_symbols"),
         (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("_m_n_dup_lines"),
         covered.alias("_m_n_repeat_words"),
         n_lines.alias("_m_n_lines"),
         F.size(F.array_distinct("_h")).cast("long").alias("_m_n_distinct_words"),
         F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("_m_n_letters"),
         F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("long").alias("_m_n_upper"),
-        (F.size(F.split("_text", r"[!?]{2,}|\.{4,}")) - 1).cast("long").alias("_m_n_shouts"),
-        F.size(F.filter("_lines", lambda x: F.translate(x, SYMBOLS, "") != x)).cast("long").alias("_m_n_symbol_lines"),
-        F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?…:;。\"'”’)]$"))).cast("long").alias("_m_n_closed_lines"),
+        F.size(F.filter("_lines", lambda x: x.rlike(r"[#*$%&|<>]"))).cast("long").alias("_m_n_symbol_lines"),
     )
-    # Filters are not moved below a column that is not deterministic; there they would
-    # evaluate the windows again for each of their uses.
-    return out.select("*", *found, F.monotonically_increasing_id().alias("_m_row")).drop("_text", "_w", "_h", "_g", "_lines", "_s", "_at")
+    return out.select("*", *found).drop("_text", "_w", "_h", "_h2", "_h4", "_h8", "_g", "_lines", "_s", "_at")
 
 
 def _m(name: str) -> Column:
@@ -103,8 +96,6 @@ def votes() -> dict[str, Column]:
         "symbol_lines": F.when(_m("n_words") >= 20, share(_m("n_symbol_lines"), _m("n_lines"), 0.1, 0.3)),
         "upper_case": share(_m("n_upper"), _m("n_letters"), 0.1, 0.3),
         "variety": F.when(enough & (_m("n_words") <= 2000), share(_m("n_distinct_words"), _m("n_words"), 0.4, 0.15)),
-        "shouts": share(_m("n_shouts"), _m("n_words"), 0.02, 0.1),
-        "closed_lines": F.when(_m("n_lines") >= 3, share(_m("n_closed_lines"), _m("n_lines"), 0.6, 0.2)),
     }
 
 
@@ -146,8 +137,11 @@ def log_odds(pattern: tuple, prior: float, accuracy: list[tuple[float, float]])
     return out
 
 
-def quality(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``df`` with the measures, ``base_failed``, ``p_good`` and ``kept``.
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def quality(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``df`` (all) with the measures, ``base_failed``, ``p_good`` and ``kept``.
 
     A document that fails the base (under 20 words, or over 30 per cent of its words in
     repeated 8-word windows) is rejected and its votes are not counted; of the others those
@@ -156,21 +150,21 @@ def quality(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFr
     results. Columns of ``df`` that carry the names of results are replaced. On an empty
     table the start values stand.
 
-    The model needs one pass over the corpus, of which only counts of vote patterns leave
-    the executors: at most 3 ** 10 rows, however large the corpus is.
+    One pass measures the texts and writes what it found, with the columns to carry, to the
+    shared folder. Only counts of vote patterns leave the executors: at most 3 ** 8 rows,
+    however large the corpus is.
     """
+    ws = Workspace(df.sparkSession, "quality")
+    own = [c for c in carry or df.columns if c not in {*NAMES, "base_failed", "p_good", "kept"} and not c.startswith("_m_")]
+    measured = measures(df, text_col)
+    measured = ws.table(measured.select(*own, *(c for c in measured.columns if c.startswith("_m_"))), "measured")
     rules = votes()
-    voted = measures(df.select(text_col), text_col).select(base_failed().alias("_failed"), *(v.cast("int").alias(k) for k, v in rules.items()))
-    counted = voted.groupBy("_failed", *rules).count().collect()
+    counted = measured.select(base_failed().alias("_failed"), *(v.cast("int").alias(k) for k, v in rules.items())).groupBy("_failed", *rules).count().collect()
     patterns = sorted(((tuple(r[k] for k in rules), r["count"]) for r in counted if not r["_failed"]), key=str)
     prior, accuracy = fit_accuracies(patterns, len(rules))
     score = F.lit(math.log(prior / (1 - prior)))
     for v, (good, bad) in zip(rules.values(), accuracy, strict=True):
         score = score + F.when(v == 1, math.log(good / (1 - bad))).when(v == 0, math.log((1 - good) / bad)).otherwise(0.0)
     p = 1 / (1 + F.exp(-score))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    results = [_m(n).alias(n) for n in names]
-    kept = ~F.col("base_failed") & (F.col("p_good") >= least) & (F.col("_m_row") >= 0)
-    own = [c for c in df.columns if c not in {*names, "base_failed", "p_good", "kept"}]
-    judged = measures(df, text_col).select(*own, *results, base_failed().alias("base_failed"), p.alias("p_good"), "_m_row")
-    return judged.withColumn("kept", kept).drop("_m_row")
+    judged = measured.select(*own, *(_m(n).alias(n) for n in NAMES), base_failed().alias("base_failed"), p.alias("p_good"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
