@@ -188,7 +188,8 @@ def near_documents(
     lowest = buckets.groupBy("g").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = buckets.join(lowest.select("g", "low"), "g").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
     groups = connected_components(stars, ws)
-    texts = docs.join(groups, F.col("id") == F.col("node")).select(
+    # By sorting at any size, as a broadcast of the groups would end with the corpus's growth.
+    texts = docs.join(groups.hint("merge"), F.col("id") == F.col("node")).select(
         F.col("component").alias("g"), "id", F.length("text").cast("long").alias("weight"), F.col("text").alias("payload")
     )
     texts = ws.table(texts.where("text is not null"), "texts")
