@@ -164,7 +164,9 @@ def keep_bitmaps(
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``n_lines``, ``n_dropped`` and ``kept_text``; lines past a bitmap's end stay."""
     small_batches(df.sparkSession)
-    joined = df.join(bitmaps.select(F.col(id_col).alias("_id"), F.col("keep_bitmap").alias("_keep")), F.col(id_col) == F.col("_id"), "left").drop("_id")
+    # By sorting at any size, as a broadcast of the bitmaps would end with the corpus's growth.
+    found = bitmaps.select(F.col(id_col).alias("_id"), F.col("keep_bitmap").alias("_keep")).hint("merge")
+    joined = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
     out = joined.drop("_keep").schema
     for name, kind in (("n_lines", "long"), ("n_dropped", "long"), ("kept_text", "string")):
         out = out.add(name, kind)

@@ -215,5 +215,5 @@ def drop_near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The class's smallest id stays. Rows of an id that stays all stay, repeated or not.
     """
-    found = near_documents(df, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_dropped")).distinct()
+    found = near_documents(df, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_dropped")).distinct().hint("merge")
     return df.join(found, F.col(id_col) == F.col("_dropped"), "left_anti")
