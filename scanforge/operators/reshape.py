@@ -48,16 +48,28 @@ def pad_both(values: Column, length: int, fill: float = -1.0) -> Column:
     return F.when(missing >= 0, wide).otherwise(F.slice(values, F.greatest(skip, F.lit(0)) + 1, length))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; an expression inside a lambda is computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def z_score(values: Column) -> Column:
     """Elements less their mean, over the population deviation (1 where that is 0)."""
-    n, total = F.size(values), F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    sd = F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0))
-    return F.transform(values, lambda x: (x - mean) / sd)
+
+    def scale(m):
+        def by(sd):
+            return F.transform(values, lambda x: (x - m) / sd)
+
+        var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values)
+        return _bound(F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0)), by)
+
+    return _bound(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values), scale)
 
 
 def min_max(values: Column) -> Column:
     """Elements scaled to 0..1; all 0 where they are equal."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda x: F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)))
+
+    def scale(b):
+        return F.transform(values, lambda x: F.coalesce(F.try_divide(x - b["low"], b["high"] - b["low"]), F.lit(0.0)))
+
+    return _bound(F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high")), scale)

@@ -15,21 +15,26 @@ def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str =
     """Series smoothed at their non-zero scans by a normalised Gaussian kernel.
 
     Each weighted term is rounded half to even before it is summed. Series that do not sum to
-    more than 0 over more than 2 non-zero scans stay as they are. A series is one array, so
-    the kernel runs in one pass over each row and nothing is joined with itself.
+    more than 0 over more than 2 non-zero scans stay as they are. A series is one array of
+    a run's scans at most; nothing is joined with itself.
     """
-    series = activation.where(F.col(value) != 0).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("scan_idx").alias("s"), F.col(value).alias("v")))).alias("_a"))
-    enough = (F.size("_a") > 2) & (F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x["v"]) > 0)
+    points = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("scan_idx").alias("s"), F.col(value).alias("v"))))
+    series = activation.where(F.col(value) != 0).groupBy(F.col(group).alias("g")).agg(points.alias("a"))
+    series = series.select("g", F.transform("a", lambda x: x["t"]).alias("t"), F.transform("a", lambda x: x["s"]).alias("s"), F.transform("a", lambda x: x["v"]).alias("v"))
+    g, s, d = (activation.schema[c].dataType.simpleString() for c in (group, "scan_idx", time))
 
-    def weight(x, t):
-        return F.exp(-(x["t"] - t) * (x["t"] - t) / (2 * bandwidth * bandwidth))
-
-    def smoothed(p):
-        norm = F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + weight(x, p["t"]))
-        return F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + F.rint(x["v"] * weight(x, p["t"]) / norm))
-
-    points = F.transform("_a", lambda p: F.struct(p["s"].alias("scan_idx"), p["t"].alias(time), F.when(enough, smoothed(p)).otherwise(p["v"]).alias(value)))
-    return series.select(group, F.inline(points))
+    def smooth(batches):
+        for b in batches:
+            values = []
+            for t, v in zip(b.column("t").to_pylist(), b.column("v").to_pylist(), strict=True):
+                values.append(kernels.gaussian(np.array(t, float), np.array(v, float), bandwidth))
+            places = b.column("s")
+            owner = np.repeat(np.arange(b.num_rows), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("g").take(pa.array(owner)), places.flatten(), b.column("t").flatten(), pa.array(np.concatenate(values) if values else [], pa.float64())], [group, "scan_idx", time, value]
+            )
+
+    return series.mapInArrow(smooth, f"`{group}` {g}, scan_idx {s}, `{time}` {d}, `{value}` double")
 
 
 def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: float = 3, prominence: float = 10000) -> DataFrame:
