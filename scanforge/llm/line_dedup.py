@@ -153,7 +153,7 @@ def keep_bitmaps(
             maps = []
             for x in b.column("lines").to_pylist():
                 at = np.frombuffer(bytes.fromhex(x), np.int32)
-                keep = np.ones(int(at.max()) + 1, bool)
+                keep = np.ones((int(at.max()) // 8 + 1) * 8, bool)
                 keep[at] = False
                 maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
             yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "keep_bitmap": pa.array(maps, pa.binary())})

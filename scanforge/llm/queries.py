@@ -77,5 +77,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ITQ_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, embedding FROM embeddings),
+    p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+    r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id),
+    c AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS id, count(*) AS n FROM p GROUP BY 1), k AS (SELECT label, embedding, count(*) AS n FROM v GROUP BY ALL)
+    SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept, k.n AS n_copies
+    FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.id = v.vec_id JOIN k ON k.label = v.label AND k.embedding = v.embedding"""
+
+CHAT_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS et, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS er,
+      contains(text, '<|') OR contains(role, '<|') OR contains(role, chr(10)) AS clash FROM t),
+    g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, bool_or(clash) AS escaped,
+      sum(24 + length(role) + length(text)) AS plain, 12 + sum(24 + length(er) + length(et)) AS long FROM e GROUP BY 1)
+    SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (CASE WHEN escaped THEN long ELSE plain END)::BIGINT AS formatted_chars, escaped FROM g"""
+
+MINHASH_SQL = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+    k AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END AS copy_of, w FROM w),
+    s AS MATERIALIZED (SELECT doc_id, g, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(w[i:i + 4]))) AS g FROM k WHERE len(w) > 0 AND doc_id = copy_of) GROUP BY ALL),
+    z AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY 1),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS x, b.n AS y, a.n / b.n AS r FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id),
+    q AS (SELECT a, b, x, r, sum(x) OVER p AS xin, sum(y) OVER p AS yin, sum(x) OVER o AS xhigh, sum(y) OVER o AS yhigh FROM c WINDOW p AS (PARTITION BY a, b), o AS (PARTITION BY a, b ORDER BY r DESC RANGE UNBOUNDED PRECEDING)),
+    l AS MATERIALIZED (SELECT a, b FROM q JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b GROUP BY a, b HAVING sum(x / (u.n - xin + r * (v.n - yin) + xhigh + r * (yin - yhigh))) >= 0.8 - 1e-12),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), f AS (SELECT DISTINCT copy_of AS id, copy_of AS c FROM k UNION SELECT e.b, f.c FROM f JOIN e ON e.a = f.id),
+    m AS (SELECT id, min(c) AS class_id FROM f GROUP BY 1)
+    SELECT doc_id, class_id, doc_id = class_id AS kept, n_words, copy_of FROM k JOIN m ON m.id = copy_of"""
+
+SUBSTRING_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+    x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+    y AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS key FROM x),
+    z AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS later FROM y),
+    r AS (SELECT *, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) AS gone FROM z),
+    a AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    k AS MATERIALIZED (SELECT *, translate(trim(line, {SPACE}), '{UPPER}', '{UPPER.lower()}') AS key FROM l),
+    g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+    f AS (SELECT doc_id, line, i, coalesce(doc_id <> top, false) AS gone FROM k LEFT JOIN g USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokens, learned models, schedules and expectation-maximisation have none; tests/llm has brute force."""
+    return {
+        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": LINES_SQL,
+    }
