@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -34,7 +36,7 @@ class Encoder:
     older is forgotten.
     """
 
-    def __init__(self, path: str, most_cached: int = 200_000):
+    def __init__(self, path: str, most_cached: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,6 +56,8 @@ class Encoder:
             of = _bytes_of_characters()
             added = {t["id"] for t in spec.get("added_tokens", [])}
             ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in added}
+            self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.bytes_of[list(ranks.values())] = [len(token) for token in ranks]
             self.fast = tiktoken.Encoding("stretches", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -66,28 +70,44 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         pieces = [None if _UNSURE.search(t) else t.split(" ") for t in texts]
-        new = {p for own in pieces if own for p in own[1:]}
-        new.difference_update(self.newer)
+        sure = [own for own in pieces if own]
+        new = set().union(*sure).difference(self.newer)
         if len(self.newer) + len(new) > self.most_cached:
             self.older, self.newer = self.newer, {}
-            new = {p for own in pieces if own for p in own[1:]}
-        long: dict[str, bytes] = {}
-        encode, older, newer = self.fast.encode_ordinary, self.older, self.newer
-        for p in new:
-            got = older.get(p)
-            if got is None:
-                got = np.array(encode(" " + p), "<u4").tobytes()
-            (newer if len(p) <= _LONGEST else long)[p] = got
-        get = newer.get
-        out = []
+            new = set().union(*sure)
+        newer, older = self.newer, self.older
+        known = {p: older[p] for p in new if p in older}
+        newer.update(known)
+        new.difference_update(known)
+        new.discard("")
+        long = {}
+        for p, ids in zip(new, self._stretches(new), strict=True):
+            if len(p) <= _LONGEST:
+                newer[p] = ids
+            else:
+                long[p] = ids
+        get, out = newer.get, []
         for t, own in zip(texts, pieces, strict=True):
             if own is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
                 continue
-            first = np.array(encode(own[0]), "<u4").tobytes() if own[0] else b""
-            out.append(first + b"".join([long[p] if p in long else get(p) for p in own[1:]] if long else map(get, own[1:])))
+            first = array("I", self.fast.encode_ordinary(own[0])).tobytes()
+            own[0] = ""
+            newer[""] = first
+            out.append(b"".join([long[p] if p in long else get(p) for p in own] if long else map(get, own)))
+        newer.pop("", None)
         return out
 
+    def _stretches(self, stretches: set[str]) -> list[bytes]:
+        """Ids of each stretch after a space. They are merged as one text and cut by length in bytes."""
+        if not stretches:
+            return []
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(stretches)), "<u4")
+        ends = np.cumsum([len(p.encode("utf-8")) + 1 for p in stretches])
+        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in itertools.pairwise(cuts)]
+
 
 _encoders: dict[str, Encoder] = {}
 

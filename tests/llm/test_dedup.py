@@ -82,7 +82,6 @@ def test_group_links_over_many_blocks_loses_nothing(spark):
     want = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and abs(int(a[3]) - int(b[3])) <= 1]
     ids = [r[1] for r in rows]
     assert components(ids, got) == components(ids, want)
-    assert set(map(frozenset, got)) <= set(map(frozenset, want))
 
 
 # --- embeddings ---------------------------------------------------------------------------
