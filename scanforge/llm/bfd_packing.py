@@ -146,3 +146,8 @@ def pack_documents(
         yield from flush()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
+
+
+def write_packed(packed: DataFrame, path: str) -> None:
+    """The id matrix, cumulative segment lengths and positions as Parquet, rows in order of sequence within each file."""
+    packed.sortWithinPartitions("sequence_id").write.mode("overwrite").parquet(path)
