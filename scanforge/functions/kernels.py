@@ -234,6 +234,20 @@ def choose_alpha(y, d, alphas: list[float], algorithm: str = "threshold", loss:
     return tried[best][1], tried[best][2], tried[best][0]
 
 
+def cross_validate(y, d, alphas: list[float], folds: int = 10, algorithm: str = "lasso_cd", seed: int = 0) -> tuple[float, np.ndarray]:
+    """The alpha with the least mean squared error over held-out rows, and the error of each."""
+    y, d = np.asarray(y, float), np.asarray(d, float)
+    fold = np.random.default_rng(seed).permutation(len(y)) % folds
+    errors = np.zeros(len(alphas))
+    for k in range(folds):
+        out = fold == k
+        for i, alpha in enumerate(alphas):
+            a = encode(y[~out], d[~out], alpha, algorithm)
+            errors[i] += float(((y[out] - d[out] @ a) ** 2).sum())
+    errors /= max(len(y), 1)
+    return alphas[int(errors.argmin())], errors
+
+
 # Natural isotopes of C, H, N, O and S, as (mass, abundance); monoisotopic residue formulas.
 ISOTOPES = {
     "C": ((12.0, 0.9893), (13.00335483507, 0.0107)),

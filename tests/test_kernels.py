@@ -96,3 +96,11 @@ def test_composition_and_isotopes():
     assert (np.diff(mz) > 0).all() and 0.95 < p.sum() <= 1 and p.argmax() == 0
     brute = math.exp(sum(n * math.log(K.ISOTOPES[e][0][1]) for e, n in K.composition("_PEPTIDEM(ox)K_", 2).items()))
     assert p[0] == pytest.approx(brute)
+
+
+def test_cross_validation_prefers_the_true_scale():
+    rng = np.random.default_rng(0)
+    d = rng.random((80, 3))
+    y = d @ np.array([2.0, 0.0, 1.0]) + rng.normal(0, 0.01, 80)
+    best, errors = K.cross_validate(y, d, [0.0, 0.01, 100.0], 5)
+    assert best in (0.0, 0.01) and errors[2] > 10 * errors.min()
