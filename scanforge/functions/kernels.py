@@ -41,9 +41,9 @@ def prominences(y: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return prom, left, right
 
 
-def widths(y: np.ndarray, peaks: np.ndarray, rel_height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Width, evaluation height, and interpolated left and right crossing of each peak."""
-    prom, left_base, right_base = prominences(y, peaks)
+def widths(y: np.ndarray, peaks: np.ndarray, rel_height: float, shape=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Width, evaluation height, and interpolated left and right crossing of each peak. shape: its prominences, if known."""
+    prom, left_base, right_base = shape or prominences(y, peaks)
     height = y[peaks] - prom * rel_height
     left, right = np.zeros(len(peaks)), np.zeros(len(peaks))
     for k, p in enumerate(peaks):
@@ -77,16 +77,17 @@ def find_peaks(y, height: float | None = None, prominence: float | None = None,
         peaks = peaks[keep]
     prom, left_base, right_base = prominences(y, peaks)
     if prominence is not None:
-        peaks = peaks[prom >= prominence]
-    w, h, left, right = widths(y, peaks, rel_height)
+        ok = prom >= prominence
+        peaks, prom, left_base, right_base = peaks[ok], prom[ok], left_base[ok], right_base[ok]
+    w, h, left, right = widths(y, peaks, rel_height, (prom, left_base, right_base))
     if width is not None:
         ok = np.ones(len(peaks), bool)
         if width[0] is not None:
             ok &= w >= width[0]
         if width[1] is not None:
             ok &= w <= width[1]
-        peaks, w, h, left, right = peaks[ok], w[ok], h[ok], left[ok], right[ok]
-    prom, left_base, right_base = prominences(y, peaks)
+        peaks, prom, left_base, right_base = peaks[ok], prom[ok], left_base[ok], right_base[ok]
+        w, h, left, right = w[ok], h[ok], left[ok], right[ok]
     return {"peaks": peaks, "prominences": prom, "left_bases": left_base, "right_bases": right_base, "widths": w, "width_heights": h, "left_ips": left, "right_ips": right}
 
 

@@ -11,6 +11,7 @@ from scanforge import schemas
 from scanforge.functions import kernels
 from scanforge.operators.joins import nearest_scan
 from scanforge.operators.sets import range_jaccard
+from scanforge.operators.smooth import dense_rows, scan_grid, series_arrays
 from scanforge.operators.windows import flag_n_smallest
 
 
@@ -20,26 +21,20 @@ def elution_peaks(activation: DataFrame, scans: DataFrame, reference: DataFrame,
     Series are laid out from one scan before their first to one after their last non-zero
     scan, which finds the same peaks as all scans do, as what is left out is flat.
     """
-    header = scans.agg(F.array_sort(F.collect_list(F.struct("starttime", "scan_idx"))).alias("_scans"))
-    series = activation.where("activation <> 0").groupBy("id").agg(F.collect_list(F.struct("scan_idx", "activation")).alias("_a"))
-    series = series.join(reference.select("id", F.col("RT_search_center").alias("_center")), "id").crossJoin(F.broadcast(header))
+    series = series_arrays(activation).join(reference.select("id", F.col("RT_search_center").alias("_center")), "id").crossJoin(F.broadcast(scan_grid(scans)))
     kinds = pa.schema([(f.name, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.typeName()]) for f in schemas.ELUTION_PEAKS])
 
     def find(batches):
         for b in batches:
             rows = {n: [] for n in schemas.ELUTION_PEAKS.names}
-            for i, points, centre, grid in zip(*(b.column(c).to_pylist() for c in ("id", "_a", "_center", "_scans")), strict=True):
-                place = {g["scan_idx"]: k for k, g in enumerate(grid)}
-                at = [(place[p["scan_idx"]], p["activation"]) for p in points if p["scan_idx"] in place]
-                if not at:
+            for (i, grid, times, place, act), centre in zip(dense_rows(b), b.column("_center").to_pylist(), strict=True):
+                if not len(place):
                     continue
-                low, high = max(min(k for k, _ in at) - 1, 0), min(max(k for k, _ in at) + 1, len(grid) - 1)
+                low, high = max(int(place.min()) - 1, 0), min(int(place.max()) + 1, len(grid) - 1)
                 dense = np.zeros(high - low + 1)
-                for k, v in at:
-                    dense[k - low] = v
-                times = np.array([g["starttime"] for g in grid[low : high + 1]])
+                dense[place - low] = act
+                times, scan = times[low : high + 1], grid[low : high + 1]
                 found = kernels.elution_peaks(dense, times, float("nan") if centre is None else centre, n_peaks, width, height)
-                scan = np.array([g["scan_idx"] for g in grid[low : high + 1]], np.int64)
                 rows["id"] += [i] * len(found["apex"])
                 for name in ("apex", "start", "end"):
                     rows[f"{name}_scan"] += scan[found[name]].tolist()

@@ -42,29 +42,51 @@ def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: f
 
     A minimum may be a missing scan, so each series is laid out over the scans of the run, which the header, broadcast once, names.
     """
-    header = scans.agg(F.array_sort(F.collect_list(F.struct("scan_idx", "starttime"))).alias("_scans"))
-    series = activation.groupBy("id").agg(F.collect_list(F.struct("scan_idx", "activation")).alias("_a")).crossJoin(F.broadcast(header))
+    header = scan_grid(scans)
+    series = series_arrays(activation).crossJoin(F.broadcast(header))
 
     def repair(batches):
         for b in batches:
             ids, scan, time, value = [], [], [], []
-            for i, points, grid in zip(*(b.column(c).to_pylist() for c in ("id", "_a", "_scans")), strict=True):
-                place = {g["scan_idx"]: k for k, g in enumerate(grid)}
+            for i, grid, times, place, act in dense_rows(b):
                 dense = np.zeros(len(grid))
-                for p in points:
-                    if p["scan_idx"] in place:
-                        dense[place[p["scan_idx"]]] = p["activation"] or 0.0
+                dense[place] = act
                 fixed = kernels.repair_minima(dense, minima_width, prominence) if (dense != 0).sum() > 2 and dense.sum() > 0 else dense
-                for k in np.flatnonzero(fixed):
-                    ids.append(i)
-                    scan.append(grid[k]["scan_idx"])
-                    time.append(grid[k]["starttime"])
-                    value.append(float(fixed[k]))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "scan_idx": pa.array(scan, pa.int64()), "starttime": pa.array(time, pa.float64()), "activation": pa.array(value, pa.float64())})
+                at = np.flatnonzero(fixed)
+                ids.append(np.full(len(at), i))
+                scan.append(grid[at])
+                time.append(times[at])
+                value.append(fixed[at])
+            whole = [np.concatenate(x) if x else np.zeros(0) for x in (ids, scan, time, value)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds, strict=True)], ["id", "scan_idx", "starttime", "activation"])
 
     return series.mapInArrow(repair, "id long, scan_idx long, starttime double, activation double")
 
 
+def scan_grid(scans: DataFrame) -> DataFrame:
+    """One row with the scans of a run and their times, in order of scan."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("scan_idx").cast("long").alias("s"), F.col("starttime").cast("double").alias("t"))))
+    return scans.agg(pairs.alias("p")).select(F.transform("p", lambda x: x["s"]).alias("_s"), F.transform("p", lambda x: x["t"]).alias("_t"))
+
+
+def series_arrays(activation: DataFrame) -> DataFrame:
+    """Non-zero activations of each candidate as arrays of scans and values."""
+    pairs = F.collect_list(F.struct(F.col("scan_idx").cast("long").alias("s"), F.col("activation").cast("double").alias("v")))
+    own = activation.where("activation <> 0").groupBy(F.col("id").cast("long").alias("id")).agg(pairs.alias("p"))
+    return own.select("id", F.transform("p", lambda x: x["s"]).alias("_as"), F.transform("p", lambda x: x["v"]).alias("_av"))
+
+
+def dense_rows(batch: pa.RecordBatch):
+    """For each row: id, scans, times, and the places and values of its activations among the scans."""
+    lists = [batch.column(c) for c in ("_s", "_t", "_as", "_av")]
+    for k, i in enumerate(batch.column("id").to_pylist()):
+        grid, times, scan, act = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
+        place = np.minimum(np.searchsorted(grid, scan), max(len(grid) - 1, 0))
+        known = grid[place] == scan if len(grid) else np.zeros(len(scan), bool)
+        yield i, grid, times, place[known], act[known]
+
+
 def series_sums(activation: DataFrame, scans: DataFrame, suffix: str = "Raw") -> DataFrame:
     """Sum, area and trapezoid integral of each series; both integrals are weighted sums over non-zero scans."""
     weights = half_gaps(scans.select("scan_idx", "starttime"), "starttime").select("scan_idx", "weight")
