@@ -73,7 +73,10 @@ def scan_grid(scans: DataFrame) -> DataFrame:
 def series_arrays(activation: DataFrame) -> DataFrame:
     """Non-zero activations of each candidate as arrays of scans and values."""
     pairs = F.collect_list(F.struct(F.col("scan_idx").cast("long").alias("s"), F.col("activation").cast("double").alias("v")))
-    own = activation.where("activation <> 0").groupBy(F.col("id").cast("long").alias("id")).agg(pairs.alias("p"))
+    # A set number of partitions, which Spark does not merge by size: the kernels' work is in time, not in bytes.
+    parts = int(activation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = activation.where("activation <> 0").withColumn("id", F.col("id").cast("long")).repartition(parts, "id")
+    own = rows.groupBy("id").agg(pairs.alias("p"))
     return own.select("id", F.transform("p", lambda x: x["s"]).alias("_as"), F.transform("p", lambda x: x["v"]).alias("_av"))
 
 
