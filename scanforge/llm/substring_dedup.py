@@ -25,6 +25,9 @@ from scanforge.llm.shingles import mix64, window_hashes, windows_in_texts, word_
 #: Bytes before the window hashes of an anchor's row, and bytes of a hash.
 HEAD, HASH = 11, 6
 
+#: Documents, places and hashes of no window.
+NONE_SEEN = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
 
 def _anchors(h: np.ndarray, bounds: np.ndarray, window: int):
     """Anchor place of each window start, and the window starts, over all texts of a piece."""
@@ -58,8 +61,12 @@ def _repeated(key: np.ndarray) -> np.ndarray:
     return n[inverse] > 1
 
 
-def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``(doc, runs)``: packed word ranges of each document whose windows started earlier."""
+def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int, chunk_rows: int = 60_000) -> DataFrame:
+    """``(doc, runs)``: packed word ranges of each document whose windows started earlier.
+
+    A task settles about ``chunk_rows`` anchors at once. An anchor with more rows goes on from
+    chunk to chunk, in order of document and place, with the first of each of its windows.
+    """
     if window < 8 or window % 4:
         raise ValueError("window must be a multiple of 4 and at least 8")
     base, reach = window // 4, window - window // 4
@@ -100,7 +107,7 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
                 ends_at = np.cumsum(lengths)
                 raw = np.zeros(int(ends_at[-1]) if len(first) else 0, np.uint8)
                 heads = (ends_at - lengths)[:, None]
-                raw[heads + np.arange(1, 5)] = (place_of - bounds[of[place_of]]).astype(np.uint32)[:, None].view(np.uint8).reshape(-1, 4)
+                raw[heads + np.arange(1, 5)] = (place_of - bounds[of[place_of]]).astype(">u4")[:, None].view(np.uint8).reshape(-1, 4)
                 raw[heads + 5], raw[heads + 6] = nearest[:, None], farthest[:, None]
                 double = window_hashes(h, 2 * base)
                 for i, shift in ((7, -base), (9, 0)):
@@ -121,15 +128,16 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
                 )
 
     def settle(key, doc, raw, heads, seen):
-        """Repeated windows of anchors in order of key and document: documents, places, and the
-        hashes of the windows of the last key. seen: those of the first key so far, if it goes on."""
+        """Repeated windows of anchors in order of key, document and place: documents, places, and
+        the first of each window (document, place, hash). seen: such firsts of earlier chunks, if the
+        first key began there or the last goes on; a window may then repeat outside these rows."""
         index = np.arange(len(key)) if seen is not None else np.flatnonzero(_repeated(key))
         key_of, heads = key[index], heads[index, None]
-        place = raw[heads + np.arange(1, 5)].view(np.uint32).ravel().astype(np.int64)
+        place = raw[heads + np.arange(1, 5)].view(">u4").ravel().astype(np.int64)
         near, far = raw[heads[:, 0] + 5].astype(int), raw[heads[:, 0] + 6].astype(int)
         double = raw[heads + np.arange(7, 11)].view(np.uint16).astype(np.uint64)
         left_ok, right_ok = (_repeated(mix64(key_of + np.uint64(i + 1)) + double[:, i]) | (seen is not None) for i in (0, 1))
-        docs, places, hashes, rank = [], [], [], []
+        docs, places, hashes = ([x] for x in (seen if seen is not None else NONE_SEEN))
         for back in range(reach + 1):
             # A window that starts ``back`` words before its anchor holds one of the two doubled anchors.
             at = np.flatnonzero((near <= back) & (back <= far) & np.where(back <= window // 2, right_ok, left_ok))
@@ -138,17 +146,14 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
             hashes.append(mix64(mix64(key_of[at] + np.uint64(3 + back)) ^ bits.view(np.uint64).ravel()))
             docs.append(doc[index[at]])
             places.append(place[at] - back)
-            rank.append(index[at])
-        docs, places, hashes, rank = (np.concatenate(x) for x in (docs, places, hashes, rank))
+        docs, places, hashes = (np.concatenate(x) for x in (docs, places, hashes))
         order = np.lexsort((places, docs, hashes))
-        docs, places, hashes, rank = docs[order], places[order], hashes[order], rank[order]
+        docs, places, hashes = docs[order], places[order], hashes[order]
         same = np.zeros(len(order), bool)
         same[1:] = hashes[1:] == hashes[:-1]
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
         later = (docs > docs[lead]) | (places > places[lead])
-        if seen is not None:
-            later |= np.isin(hashes, seen)
-        return docs[later], places[later], hashes[key[rank] == key[-1]] if len(key) else hashes
+        return docs[later], places[later], (docs[~same], places[~same], hashes[~same])
 
     def decide(batches):
         held: list[pa.Table] = []
@@ -167,11 +172,10 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
                 # Rows of the last key wait for the rest of it, unless it fills the whole table.
                 stop = int(change[-1]) + 1 if len(change) else stop
             mine = np.flatnonzero(kind[:stop] == 0)
-            goes_on = seen if len(mine) and seen_key == key[mine[0]] else None
-            docs, places, hashes = settle(key[mine].view(np.uint64), doc[mine], raw, offsets[mine].astype(np.int64), goes_on)
-            if stop == len(key) and not last and len(mine):
-                seen = np.unique(hashes if goes_on is None else np.concatenate([goes_on, hashes]))
-                seen_key = key[mine[-1]]
+            unended = stop == len(key) and not last and len(mine) > 0
+            before = seen if len(mine) and seen_key == key[mine[0]] else NONE_SEEN if unended else None
+            docs, places, firsts = settle(key[mine].view(np.uint64), doc[mine], raw, offsets[mine].astype(np.int64), before)
+            seen, seen_key = (firsts, key[mine[-1]]) if unended else (None, None)
             owners, packed = _runs(docs, places, window)
             done = np.flatnonzero(kind[:stop] == 1)
             yield pa.RecordBatch.from_pydict(
@@ -180,11 +184,12 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
             return table.slice(stop)
 
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            rows_held += batch.num_rows
-            if rows_held >= 60_000:
-                rest = yield from work(pa.concat_tables(held).combine_chunks(), False)
-                held, rows_held = [rest], rest.num_rows
+            for start in range(0, batch.num_rows, chunk_rows):
+                held.append(pa.Table.from_batches([batch.slice(start, chunk_rows)]))
+                rows_held += held[-1].num_rows
+                if rows_held >= chunk_rows:
+                    rest = yield from work(pa.concat_tables(held).combine_chunks(), False)
+                    held, rows_held = [rest], rest.num_rows
         if rows_held:
             yield from work(pa.concat_tables(held).combine_chunks(), True)
 
@@ -192,13 +197,13 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
         df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         .mapInArrow(scan, "key long, doc long, payload binary")
         .repartition("key")
-        .sortWithinPartitions("key", "doc")
+        .sortWithinPartitions("key", "doc", "payload")
         .mapInArrow(decide, "doc long, runs binary")
     )
     return found.groupBy("doc").agg(F.collect_list("runs").alias("runs"))
 
 
-def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, chunk_rows: int = 60_000) -> DataFrame:
     """One row per row of ``df``: id, ``n_words``, ``n_removed``, ``kept_text``.
 
     Words are maximal runs without white space of ASCII, unchanged. A word is removed if
@@ -214,7 +219,7 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
     words, among those of the same anchor at the same place.
     """
     small_batches(df.sparkSession)
-    runs = repeated_ranges(df, id_col, text_col, window)
+    runs = repeated_ranges(df, id_col, text_col, window, chunk_rows)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(runs, F.col("id") == F.col("doc"), "left").select("id", "text", "runs")
 

@@ -238,6 +238,35 @@ def test_repeated_windows_against_brute_force(spark, window):
     assert {k: v for k, v in got.items() if want[k] != v} == {}
 
 
+def anchor_phrase(rng):
+    """Five words of so small a hash that windows around them have them as their anchor."""
+    own = prose(rng, 20_000).split()
+    data, offsets = np.frombuffer(" ".join(own).encode(), np.uint8), np.array([0, len(" ".join(own))])
+    starts, ends, _ = shingles.words(data, offsets)
+    at = int(shingles.window_hashes(shingles.word_hashes(data, starts, ends), 5)[:-4].argmin())
+    return " ".join(own[at : at + 5])
+
+
+@pytest.mark.parametrize("chunk", [3, 40])
+def test_repeated_windows_of_an_anchor_of_many_chunks(spark, chunk):
+    rng = random.Random(4)
+    phrase = anchor_phrase(rng)
+    around = [(prose(rng, 9), prose(rng, 9)) for _ in range(40)]
+    rows = [(i, f"{a} {phrase} {b}") for i, (a, b) in enumerate(around + around[::-1] + around[:7])]
+    rows += [(200 + i, " ".join(f"{prose(rng, 3)} {phrase} {b}" for _, b in around[i : i + 3])) for i in range(5)]
+    rows += [rows[60], rows[60], rows[70]]
+    got = [(r.doc_id, (r.n_words, r.n_removed, r.kept_text)) for r in drop_repeated_windows(docs(spark, rows), chunk_rows=chunk).collect()]
+    want = brute_windows(dict(rows).items())
+    assert len(got) == len(rows) and sum(n for _, n, _ in want.values()) > 40 * 20
+    assert [(k, v) for k, v in got if want[k] != v] == []
+
+
+def test_equal_rows_of_an_anchor_of_many_chunks(spark):
+    text = prose(random.Random(6), 60)
+    got = drop_repeated_windows(docs(spark, [(1, text)] * 30 + [(2, text)] * 3), chunk_rows=2).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 30 + [(2, 60)] * 3
+
+
 def test_repeated_windows_odd_rows(spark):
     assert drop_repeated_windows(docs(spark, [])).collect() == []
     t = prose(random.Random(1), 50)
