@@ -47,6 +47,29 @@ def schedule(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple
     return out
 
 
+def source_key(source_col: str):
+    """A source's name, marked, so that a null source has a name of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+
+
+def source_chars(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 2000) -> dict[str, int]:
+    """Characters of each source, by its key."""
+    sizes = df.groupBy(source_key(source_col).alias("q")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars")).limit(most_sources + 1).collect()
+    if len(sizes) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    return {r["q"]: r["chars"] for r in sizes}
+
+
+def root_weight(chars: int) -> int:
+    """The weight of a source unless it is given: the square root of its characters."""
+    return math.isqrt(chars) + 1
+
+
+def root_weights(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 2000) -> dict[str | None, int]:
+    """The weights, by source, that :func:`mix_sources` takes by default."""
+    return {None if q == "null" else q[1:]: root_weight(n) for q, n in source_chars(df, text_col, source_col, most_sources).items()}
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -72,15 +95,12 @@ def mix_sources(
     most ``most_blocks`` rows and one for each source.
     """
     spark = df.sparkSession
-    queue = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    sizes = df.groupBy(queue.alias("q")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars")).limit(most_sources + 1).collect()
-    if len(sizes) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    chars = {r["q"]: r["chars"] for r in sizes}
+    queue = source_key(source_col)
+    chars = source_chars(df, text_col, source_col, most_sources)
     block = max(block_chars, -(-sum(chars.values()) // most_blocks))
     blocks = {q: max(1, -(-n // block)) for q, n in chars.items()}
     given = {"null" if k is None else f"={k}": v for k, v in (weights or {}).items()}
-    share = {q: Fraction(math.isqrt(n) + 1) if weights is None else Fraction(given.get(q, 1)).limit_denominator(10**6) for q, n in chars.items()}
+    share = {q: Fraction(root_weight(n)) if weights is None else Fraction(given.get(q, 1)).limit_denominator(10**6) for q, n in chars.items()}
     if any(w <= 0 for w in share.values()):
         raise ValueError("weights must be positive")
     fields = [("_q", T.StringType()), ("mix_block", T.LongType()), ("mix_slot", T.LongType()), ("mix_release", T.LongType()), ("mix_deadline", T.LongType())]

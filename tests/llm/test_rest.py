@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scanforge.llm import chat, langid, mixture_packing, pfair, weak_quality
 from scanforge.llm.bfd_packing import CapacityTree, best_fit_decreasing, pack_documents
+from scanforge.llm.common import Workspace
 from scanforge.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -355,3 +356,28 @@ def test_pipeline_stages_and_whole(spark, tokenizer_path):
             assert start == at and zlib.crc32(ids[start : start + length].tobytes()) == crc
             at += length
         assert at == len(ids)
+
+
+def test_pipeline_windows_hold_the_mixture(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(1000))
+    sources = {"a": 300, "b": 30, None: 30}
+    rows = [(i, text(), "en", s) for i, s in enumerate(s for s, n in sources.items() for _ in range(n))]
+    df = docs(spark, rows).repartition(5)
+    mixed = Workspace(spark, "mixed").table(P.mix(spark, df, ""), "mix")
+    pieces = P.pack(spark, mixed, "").collect()
+    weights = {s: sum(len(t) for _, t, _, x in rows if x == s) ** 0.5 for s in sources}
+    shares = {}
+    for r in pieces:
+        shares.setdefault(r.window, dict.fromkeys(sources, 0))[r.source] += r.length
+    assert len(shares) > 3
+    for s, w in weights.items():
+        for window in (0, 1):
+            assert shares[window][s] / sum(shares[window].values()) == pytest.approx(w / sum(weights.values()), abs=0.002)
+    slots = {r.doc_id: r.mix_slot for r in pfair.mix_sources(df).collect()}
+    assert len(set(slots.values())) > 3
+    for s in sources:
+        own = [slots[r.doc_id] for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.source == s]
+        assert own == sorted(own)
