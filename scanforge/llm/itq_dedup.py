@@ -73,6 +73,44 @@ def _hamming(most: int):
     return kernel
 
 
+def _pairs_at(x: np.ndarray, threshold: float, most: int = 1000, seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled vectors, and others at just the threshold from them: half in the direction in which
+    two vectors of the sample differ, half in any direction."""
+    rng = np.random.default_rng(seed)
+    u = x[rng.integers(0, len(x), most)]
+    w = rng.normal(size=u.shape)
+    half = most // 2
+    w[:half] = x[rng.integers(0, len(x), half)] - x[rng.integers(0, len(x), half)]
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    length = np.sqrt((w * w).sum(axis=1, keepdims=True))
+    good = length[:, 0] > 1e-9
+    u, w = u[good], w[good] / length[good]
+    return u, threshold * u + np.sqrt(max(0.0, 1 - threshold**2)) * w
+
+
+def _plan(x: np.ndarray, tables: int, threshold: float, most_hamming: int, found: float = 0.97, most_tables: int = 96):
+    """Mean, projection, number of tables, bits of a key, and bits that may differ, for the vectors of one dimension.
+
+    ``tables`` of 16 bits where they find ``found`` of the pairs at the threshold; else up to
+    ``most_tables``, of fewer bits if need be. A key of no bits compares all vectors of a label.
+    """
+    u, v = _pairs_at(x, threshold)
+    many = max(tables, most_tables)
+    for count in dict.fromkeys((tables, many)):
+        mean, projection = fit_itq(x, -(-count * BITS // min(64, x.shape[1])))
+        if not len(u):
+            return mean, projection, tables, BITS, most_hamming
+        differ = (((u - mean) @ projection >= 0) != ((v - mean) @ projection >= 0))[:, : count * BITS]
+        hamming = max(most_hamming, int(np.ceil(np.quantile(differ[:, :128].sum(axis=1), 0.999))))
+        differ = differ.reshape(len(u), count, BITS)
+        for bits in (BITS,) if count < many else (16, 14, 12, 10, 8, 6, 4, 2, 0):
+            share = np.logical_or.accumulate(~differ[:, :, :bits].any(axis=2), axis=1).mean(axis=0)
+            enough = np.flatnonzero(share >= found)
+            if len(enough):
+                # No bits: one table holds all.
+                return mean, projection, (max(tables, int(enough[0]) + 1) if bits else 1), bits, hamming if bits else 128
+
+
 def near_vectors(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -96,11 +134,13 @@ def near_vectors(
     empty table gives an empty result.
 
     The rotations are fitted on at most ``sample_rows`` vectors (by a hash of the
-    vector); every vector is indexed. A vector of a dimension outside the sample is
-    coded by random rotations. At a cosine of 0.93 a bit agrees with probability 0.88,
-    so one of 24 tables of 16 bits holds both vectors with probability 0.96, and
-    closer pairs are found more surely; no candidate is dropped afterwards but by more
-    than ``most_hamming`` of 128 bits differing (5 standard deviations).
+    vector); every vector is indexed. Where the vectors have no common direction, a bit
+    agrees with probability 0.88 at a cosine of 0.93, and one of 24 tables of 16 bits
+    holds both vectors with probability 0.96 or so. What the mean holds is lost to the codes:
+    so pairs at just the threshold are made from the sample, and where ``tables`` tables find
+    fewer than 0.97 of them, there are more tables, or keys of fewer bits, until they do;
+    closer pairs are found more surely. No candidate is dropped afterwards but by
+    more bits of 128 differing than ``most_hamming`` and than in 0.999 of those pairs.
     """
     spark = df.sparkSession
     small_batches(spark, 4096)
@@ -112,7 +152,8 @@ def near_vectors(
         rows.where("rid is not null").groupBy("rid").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")),
         "nodes",
     )
-    models = _models(nodes, tables, sample_rows)
+    models = _models(nodes, tables, sample_rows, threshold, most_hamming)
+    most_differ = max([most_hamming, *(m[4] for m in models.values())])
 
     def coded(batches):
         for b in batches:
@@ -120,24 +161,24 @@ def near_vectors(
             for dim, (at, x) in unit_rows(v).items():
                 if not len(at):
                     continue
-                mean, projection = models.get(dim) or _untrained(dim, tables)
+                mean, projection, count, key_bits, _ = models.get(dim) or (*_untrained(dim, tables), tables, BITS, most_hamming)
                 bits = (x - mean) @ projection >= 0
-                packed = np.packbits(bits[:, : tables * BITS], axis=1, bitorder="little")
-                keys = packed.view(np.uint16).astype(np.uint64)
-                g = mix64((keys << np.uint64(16)) | np.arange(tables, dtype=np.uint64)) ^ mix64(label[at].astype(np.uint64) + np.uint64(dim) * np.uint64(0x9E3779B9))[:, None]
+                packed = np.packbits(bits[:, : max(count, 8) * BITS], axis=1, bitorder="little")
+                keys = np.ascontiguousarray(packed[:, : 2 * count]).view(np.uint16).astype(np.uint64) & np.uint64((1 << key_bits) - 1)
+                g = mix64((keys << np.uint64(16)) | np.arange(count, dtype=np.uint64)) ^ mix64(label[at].astype(np.uint64) + np.uint64(dim) * np.uint64(0x9E3779B9))[:, None]
                 heads = [bytes(r) for r in packed[:, :16]]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "g": mix64(g.ravel()).view(np.int64),
-                        "id": np.repeat(rid[at], tables),
-                        "weight": np.ones(len(at) * tables, np.int64),
-                        "payload": pa.array(heads, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), tables))),
+                        "id": np.repeat(rid[at], count),
+                        "weight": np.ones(len(at) * count, np.int64),
+                        "payload": pa.array(heads, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), count))),
                     }
                 )
 
     keyed = nodes.select("rid", "v", F.xxhash64("label").alias("label_key"))
     buckets = keyed.mapInArrow(coded, "g long, id long, weight long, payload binary")
-    candidates = group_links(ws.table(buckets, "buckets"), ws, _hamming(most_hamming), block_weight=8 * block_rows)
+    candidates = group_links(ws.table(buckets, "buckets"), ws, _hamming(most_differ), block_weight=8 * block_rows)
     groups = connected_components(candidates, ws)
     members = groups.join(nodes.select(F.col("rid").alias("node"), "n", "v", F.xxhash64("label").alias("label_key")), "node")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -224,11 +265,11 @@ def _untrained(dim: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(dim), rng.normal(size=(dim, tables * BITS))
 
 
-def _models(nodes: DataFrame, tables: int, sample_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A fitted model for each dimension of which the sample holds 64 vectors or more."""
+def _models(nodes: DataFrame, tables: int, sample_rows: int, threshold: float, most_hamming: int) -> dict[int, tuple]:
+    """The plan of each dimension of which the sample holds 64 vectors or more."""
     sample = nodes.orderBy(F.hash("rid"), "rid").limit(sample_rows).select("v").toArrow()
     models = {}
     for dim, (_, x) in unit_rows(one_array(sample.column("v"))).items() if sample.num_rows else ():
         if len(x) >= 64:
-            models[dim] = fit_itq(x, -(-tables * BITS // min(64, dim)))
+            models[dim] = _plan(x, tables, threshold, most_hamming)
     return models

@@ -120,6 +120,22 @@ def test_near_vectors_against_brute_force(spark):
     assert got[1005].n_links == got[1006].n_links == 1 and got[1006].component_id == 1005
 
 
+def test_near_vectors_with_a_strong_common_mean(spark):
+    rng = np.random.default_rng(8)
+
+    def unit(a):
+        return a / np.linalg.norm(a, axis=-1, keepdims=True)
+
+    mean = unit(rng.normal(size=64))
+    x = unit(np.sqrt(0.7) * mean + np.sqrt(0.3) * unit(rng.normal(size=(1500, 64))))
+    y = unit(x[:300] + rng.uniform(0.25, 0.36, (300, 1)) * unit(rng.normal(size=(300, 64))))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    want, pairs = brute_vectors(rows)
+    assert 250 < len(pairs) < 400
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert 0.95 * sum(want.values()) <= sum(r.n_links for r in got) <= sum(want.values())
+
+
 def test_near_vectors_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(empty).collect() == []
