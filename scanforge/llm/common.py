@@ -31,6 +31,19 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def partitions(spark: SparkSession) -> int:
+    """Tasks of a shuffle, as the session sets them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its columns are called (case does not count)."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _OWN_DIR: list[str] = []
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import Workspace, pieces_of_batch, small_batches, text_buffer
-from scanforge.llm.links import connected_components, group_links
+from scanforge.llm.common import Workspace, free_name, pieces_of_batch, small_batches, text_buffer
+from scanforge.llm.links import connected_components, cross_links, spread_join, star_links
 from scanforge.llm.shingles import mix64, window_hashes, windows_in_texts, word_hashes, words
 
 
@@ -140,7 +140,7 @@ def near_documents(
     threshold: float = 0.8,
     bands: int = 32,
     rows: int = 5,
-    block_chars: int = 4_000_000,
+    block_words: int = 300_000,
 ) -> DataFrame:
     """One row per row of ``df``: id, ``class_id``, ``kept``, ``n_words``, ``copy_of``.
 
@@ -155,8 +155,12 @@ def near_documents(
     null id gives a null class and is kept. Other columns are ignored.
 
     With 32 bands of 5 registers, a pair at the threshold shares a band with probability
-    1 - 3e-6. Candidates are grouped by connected bands and compared in blocks of about
-    ``block_chars`` of text, each group's rows breadth first from its smallest id.
+    1 - 3e-6. First each document is compared with the smallest id that shares a band with
+    it, and with others that do so in the same block of about ``block_words`` words. Then only
+    bands that still hold documents of different classes are looked at: there, each document
+    outside the class of most words is compared with those that share its band's smallest
+    id. So copies cost their number, and every pair that shares a band is compared or
+    already in one class.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -182,18 +186,23 @@ def near_documents(
 
     signed = ws.table(docs.mapInArrow(sign, "id long, n_words long, k1 long, k2 long, bands array<long>"), "signed")
     nodes = ws.table(
-        signed.where("n_words > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes"
+        signed.where("n_words > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "nodes"
     )
-    buckets = nodes.select("node", F.explode("bands").alias("g"))
-    lowest = buckets.groupBy("g").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = buckets.join(lowest.select("g", "low"), "g").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
-    groups = connected_components(stars, ws)
-    # By sorting at any size, as a broadcast of the groups would end with the corpus's growth.
-    texts = docs.join(groups.hint("merge"), F.col("id") == F.col("node")).select(
-        F.col("component").alias("g"), "id", F.length("text").cast("long").alias("weight"), F.col("text").alias("payload")
-    )
-    texts = ws.table(texts.where("text is not null"), "texts")
-    edges = group_links(texts, ws, _similar(k, threshold), block_chars)
+    buckets = nodes.select("node", "n_words", F.explode("bands").alias("band"))
+    lowest = buckets.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = ws.table(spread_join(buckets, lowest, ["band"], nodes.count() * bands).select("band", "low", "node", "n_words"), "shared")
+    candidates = shared.groupBy("node").agg(F.min("low").alias("g"), F.first("n_words").alias("weight"))
+    # By sorting at any size, as a broadcast of the candidates would end with the corpus's growth.
+    texts = ws.table(docs.join(candidates.select(F.col("node").alias("id")).hint("merge"), "id").where("text is not null").select("id", F.col("text").alias("payload")), "texts")
+    first = candidates.select("g", F.col("node").alias("id"), "weight")
+    pivots = first.where("g < id").select("g").distinct().join(candidates.select(F.col("node").alias("g"), "weight"), "g").select("g", F.col("g").alias("id"), "weight")
+    similar = _similar(k, threshold)
+    stars = star_links(ws.table(first.where("g < id").union(pivots), "first"), texts, ws, similar, block_words, named=True).select("src", "dst")
+    classes = connected_components(stars, ws)
+    labelled = shared.join(classes, "node", "left").select("band", "low", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"), F.col("n_words").alias("weight"))
+    open_bands = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a < z").select("band", "n")
+    rest = spread_join(labelled, open_bands, ["band"], shared.count()).select(F.col("low").alias("g"), "id", "label", "weight").distinct()
+    edges = stars.union(cross_links(ws.table(rest, "open"), texts, ws, similar, block_words))
     classes = connected_components(edges, ws)
     reps = nodes.select("k1", "k2", "node")
     same_id = signed.where("n_words > 0 and id is not null").select("id", "k1", "k2").join(reps, ["k1", "k2"])
@@ -215,5 +224,6 @@ def drop_near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The class's smallest id stays. Rows of an id that stays all stay, repeated or not.
     """
-    found = near_documents(df, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_dropped")).distinct().hint("merge")
-    return df.join(found, F.col(id_col) == F.col("_dropped"), "left_anti")
+    gone = free_name(df, "dropped")
+    found = near_documents(df, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias(gone)).distinct().hint("merge")
+    return df.join(found, F.col(id_col) == F.col(gone), "left_anti")

@@ -1,5 +1,6 @@
 import itertools
 import math
+import pathlib
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge.llm import links, shingles
-from scanforge.llm.common import Workspace
+from scanforge.llm.common import Workspace, shared_dir
 from scanforge.llm.itq_dedup import fit_itq, near_vectors, unit_rows
 from scanforge.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from scanforge.llm.probminhash import drop_near_documents, near_documents, probability_jaccard, signatures
@@ -68,8 +69,9 @@ def test_connected_components(spark):
     assert links.connected_components(spark.createDataFrame([], "src long, dst long"), Workspace(spark, "t")).count() == 0
 
 
-def test_group_links_over_many_blocks_loses_nothing(spark):
-    """A group dealt over small blocks, with rows that its pivot does not reach."""
+@pytest.mark.parametrize("weight", [10, 1000])
+def test_star_and_cross_links_lose_nothing(spark, weight):
+    """Groups dealt over small blocks, with rows that their pivots do not reach."""
     rng = random.Random(2)
     rows = [(1, i, 1, str(rng.randrange(60))) for i in range(120)] + [(2, 500 + i, 1, str(i * 3)) for i in range(5)]
 
@@ -77,13 +79,27 @@ def test_group_links_over_many_blocks_loses_nothing(spark):
         x = np.array([int(p) for p in payload.to_pylist()])
         return lambda i, rest: np.abs(x[rest] - x[i]) <= 1
 
-    df = spark.createDataFrame(rows, "g long, id long, weight long, payload string")
-    got = [(r.src, r.dst) for r in links.group_links(df, Workspace(spark, "t"), kernel, 10).collect()]
+    ws = Workspace(spark, "t")
+    df = ws.table(spark.createDataFrame(rows, "g long, id long, weight long, payload string"))
+    stars = links.star_links(df, None, ws, kernel, weight).select("src", "dst")
+    label = links.connected_components(stars, ws).withColumnRenamed("node", "id")
+    labelled = df.join(label, "id", "left").select("g", "id", F.coalesce("component", "id").alias("label"), "weight", "payload")
+    crossed = links.cross_links(ws.table(labelled), None, ws, kernel, weight)
+    got = [(r.src, r.dst) for r in stars.union(crossed).collect()]
+    value = {r[1]: int(r[3]) for r in rows}
+    assert all(abs(value[a] - value[b]) <= 1 for a, b in got)
     want = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and abs(int(a[3]) - int(b[3])) <= 1]
     ids = [r[1] for r in rows]
     assert components(ids, got) == components(ids, want)
 
 
+def test_spread_join_keeps_all_rows_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 60)], "k long, x long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("low"))
+    got = links.spread_join(rows, table, ["k"], 558)
+    assert sorted((r.k, r.x, r.n, r.low) for r in got.collect()) == sorted([(1, i, 500, 0) for i in range(500)] + [(k, k, 1, k) for k in range(2, 60)])
+
+
 # --- embeddings ---------------------------------------------------------------------------
 
 
@@ -136,6 +152,34 @@ def test_near_vectors_with_a_strong_common_mean(spark):
     assert 0.95 * sum(want.values()) <= sum(r.n_links for r in got) <= sum(want.values())
 
 
+def written(spark, operator, name):
+    """A table that the last run of an operator left in the shared folder."""
+    root = shared_dir(spark).removeprefix("file://")
+    run = max(pathlib.Path(root).glob(f"{operator}-*"), key=lambda p: p.stat().st_mtime)
+    return spark.read.parquet(f"file://{next(run.glob(f'*-{name}'))}")
+
+
+def test_tables_decide_what_is_compared(spark):
+    """Vectors of four labels at a cosine of 0.7 within a label, and 60 pairs at 0.93 to 0.94."""
+    rng = np.random.default_rng(12)
+
+    def unit(a):
+        return a / np.linalg.norm(a, axis=-1, keepdims=True)
+
+    label = np.arange(6000) % 4
+    x = unit(np.sqrt(0.7) * unit(rng.normal(size=(4, 64)))[label] + np.sqrt(0.3) * unit(rng.normal(size=(6000, 64))))
+    w = rng.normal(size=(60, 64))
+    u = x[:60]
+    w = unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    cosine = rng.uniform(0.9302, 0.94, (60, 1))
+    x, label = np.concatenate([x, cosine * u + np.sqrt(1 - cosine**2) * w]), np.append(label, label[:60])
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
+    links_ = sum(r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert 0.95 * 120 <= links_ <= 120
+    compared = sum(r["count"] ** 2 for name in ("first", "active") for r in written(spark, "itq", name).groupBy("g").count().collect())
+    assert compared < 0.05 * 4 * 1500**2 / 2
+
+
 def test_near_vectors_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(empty).collect() == []
@@ -194,7 +238,7 @@ def brute_classes(rows, threshold=0.8):
     return [rows[label[i]][0] for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block", [4_000_000, 3_000])
+@pytest.mark.parametrize("block", [300_000, 300])
 def test_near_documents_against_brute_force(spark, block):
     rng = random.Random(8)
     rows = []
@@ -207,11 +251,11 @@ def test_near_documents_against_brute_force(spark, block):
             rows.append((len(rows), " ".join(v)))
         w = v
     rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "a b", "a  b", "a b c", " \n ", "a b"])]
-    got = {r.doc_id: r for r in near_documents(docs(spark, rows), block_chars=block).collect()}
+    got = {r.doc_id: r for r in near_documents(docs(spark, rows), block_words=block).collect()}
     want = brute_classes(rows)
     assert [got[i].class_id for i, _ in rows] == want
     assert all(r.kept == (r.class_id == r.doc_id) for r in got.values())
-    kept = drop_near_documents(docs(spark, rows), block_chars=block)
+    kept = drop_near_documents(docs(spark, rows), block_words=block)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want})
 
