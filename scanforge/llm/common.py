@@ -9,7 +9,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of texts; bounds a Python worker's memory when texts are long.
 TEXT_BATCH_ROWS = 512
@@ -24,7 +25,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` unless it is lower already."""
+    """Lower the session's Arrow batch size to ``rows`` unless it is lower already; plans read it when they run, so it stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
@@ -44,6 +45,16 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def as_own(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of a row as one, ``own``, so that whatever they are called clashes with nothing."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns or df.columns)).alias("own")
+
+
+def own_columns(columns: list[str]) -> list[Column]:
+    """Columns taken out of ``own`` again."""
+    return [F.col("own").getField(c).alias(c) for c in columns]
+
+
 _OWN_DIR: list[str] = []
 
 
@@ -60,12 +71,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
+_ROOTS: list[str] = []
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote in this session; results that were not stored yet go with them."""
+    while _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation.
+
+    They stay, as results read them, until :func:`clear_workspaces`.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append(self.root)
         self.count = 0
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:

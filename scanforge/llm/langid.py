@@ -1,8 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts are summed in each task and then by Spark; the matrix of log-probabilities, one row
-for each of a fixed number of buckets and one column for each language, is broadcast and
-gathered in numpy batch by batch.
+for each of a fixed number of buckets and one column for each language of at most a set
+number, is broadcast and gathered in numpy batch by batch.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from scanforge.llm.common import pieces_of_batch, small_batches
+from scanforge.llm.common import Workspace, as_own, own_columns, pieces_of_batch, small_batches
 from scanforge.llm.shingles import mix64
 
 UNKNOWN = "und"
@@ -53,18 +52,29 @@ def features(texts: list[str | None], orders: tuple[int, ...], bits: int) -> tup
     return found[order], np.searchsorted(owner[order], np.arange(len(lower) + 1)), has_letter
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", orders=(1, 2, 3), bits: int = 15, smoothing: float = 0.1, most_labels: int = 256):
-    """``(labels, matrix, priors)`` from all rows with a text and a label.
+def train(
+    df: DataFrame, text_col: str = "text", label_col: str = "lang", orders=(1, 2, 3), bits: int = 15, smoothing: float = 0.1, most_labels: int = 256
+) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Models ``(labels, matrix, log priors)``, each of at most ``most_labels`` labels in order, from all
+    rows with a text and a label.
 
-    The model has 2**bits rows and a column for each label, at most ``most_labels``; only
-    its counts come to the driver.
+    A matrix has 2**bits rows and a column for each label; only counts come to the driver,
+    those of one model at a time.
     """
     small_batches(df.sparkSession)
-    size = 1 << bits
+    ws, size = Workspace(df.sparkSession, "langid"), 1 << bits
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def out():
+            for name, counts in total.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"label": [name] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(counts[at], docs[name])})
+            total.clear()
+            docs.clear()
+
         for batch in batches:
             for b in pieces_of_batch(batch, "text"):
                 buckets, first, _ = features(b.column("text").to_pylist(), orders, bits)
@@ -73,65 +83,70 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", orders
                 for i, name in enumerate(label.tolist()):
                     total[name] = total.get(name, 0) + np.bincount(buckets[of == i], minlength=size)
                     docs[name] = docs.get(name, 0) + int((index == i).sum())
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"label": [name] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(counts[at], docs[name])})
-
-    rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
-    counts = rows.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()
-    label, bucket, n = got.column("label").to_pylist(), got.column("bucket").to_numpy(), got.column("n").to_numpy().astype(float)
-    labels = sorted(set(label))
-    if len(labels) > most_labels:
-        raise ValueError(f"{len(labels)} labels; most_labels is {most_labels}")
-    matrix, docs = np.full((size, len(labels)), smoothing), np.zeros(len(labels))
-    place = {x: i for i, x in enumerate(labels)}
-    column = np.array([place[x] for x in label], np.int64)
-    of_docs = bucket < 0
-    matrix[bucket[~of_docs], column[~of_docs]] += n[~of_docs]
-    docs[column[of_docs]] = n[of_docs]
-    return labels, np.log(matrix / matrix.sum(axis=0)), np.log(docs / docs.sum()) if labels else docs
-
-
-def predict(df: DataFrame, model, text_col: str = "text", orders=(1, 2, 3), bits: int = 15) -> DataFrame:
+                if len(total) > most_labels:
+                    yield from out()
+        yield from out()
+
+    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text is not null and label is not null")
+    counts = ws.table(rows.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "counts")
+    docs = {r.label: r.n for r in counts.where("bucket < 0").collect()}
+    labels, models = sorted(docs), []
+    for start in range(0, len(labels), most_labels):
+        own = labels[start : start + most_labels]
+        got = counts.where(F.col("label").isin(own) & (F.col("bucket") >= 0)).toArrow()
+        place = {x: i for i, x in enumerate(own)}
+        matrix = np.full((size, len(own)), smoothing)
+        matrix[got.column("bucket").to_numpy(), [place[x] for x in got.column("label").to_pylist()]] += got.column("n").to_numpy()
+        models.append((own, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), np.log(np.array([docs[x] for x in own]) / sum(docs.values()))))
+    return models
+
+
+def predict(df: DataFrame, models: list[tuple[list[str], np.ndarray, np.ndarray]], text_col: str = "text", orders=(1, 2, 3), bits: int = 15) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the posterior probability of the prediction.
 
     Texts that are null or have no letter get ``und`` and 0, and so does every text when
-    the model has no label. Of equally likely labels the first in order is predicted.
-    Repeated rows get equal results; other columns pass through.
+    there is no label. Of equally likely labels the first in order is predicted.
+    Repeated rows get equal results; other columns pass through, and those that carry the names
+    of results are replaced. Models are gone through one after the other, each with the best
+    and the total of those before, so that labels beyond one model's are compared with all others.
     """
     spark = df.sparkSession
     small_batches(spark)
-    labels, matrix, priors = model
-    shared = spark.sparkContext.broadcast((labels, matrix.astype(np.float32), priors))
-    text_at = df.columns.index(text_col)
-
-    def score(batches):
-        labels, matrix, priors = shared.value
-        names = np.array([*labels, UNKNOWN], object)
-        for batch in batches:
-            for b in pieces_of_batch(batch, text_col):
-                buckets, first, has_letter = features(b.column(text_at).to_pylist(), orders, bits)
-                n = b.num_rows
-                pred, p = np.full(n, len(labels)), np.zeros(n)
-                if labels:
-                    sums = np.zeros((n, len(labels)))
+    own = [c for c in df.columns if c not in ("lang_pred", "score")]
+    rows = df.select(as_own(df), F.lit(UNKNOWN).alias("pred"), F.lit(-np.inf).alias("best"), F.lit(-np.inf).alias("total"))
+
+    def scorer(shared):
+        def score(batches):
+            labels, matrix, priors = shared.value
+            names = np.array(labels, object)
+            for batch in batches:
+                texts = pa.RecordBatch.from_arrays([batch.column("own").field(text_col)], ["text"])
+                start = 0
+                for b in pieces_of_batch(texts, "text"):
+                    part = batch.slice(start, b.num_rows)
+                    start += b.num_rows
+                    buckets, first, has_letter = features(b.column("text").to_pylist(), orders, bits)
+                    sums = np.zeros((b.num_rows, len(labels)))
                     some = np.flatnonzero(np.diff(first))
-                    for j in range(len(labels)):
-                        if len(some):
-                            sums[some, j] = np.add.reduceat(matrix[buckets, j].astype(float), first[some])
+                    for j in range(len(labels) if len(some) else 0):
+                        sums[some, j] = np.add.reduceat(matrix[buckets, j].astype(float), first[some])
                     sums += priors
-                    best = sums.argmax(axis=1)
-                    sums -= sums.max(axis=1, keepdims=True)
-                    pred = np.where(has_letter, best, pred)
-                    p = np.where(has_letter, 1 / np.exp(sums).sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[pred].tolist(), pa.string()), pa.array(p)], [*b.schema.names, "lang_pred", "score"])
+                    at, most = sums.argmax(axis=1), sums.max(axis=1)
+                    pred, best, total = (part.column(c).to_numpy(zero_copy_only=False) for c in ("pred", "best", "total"))
+                    better = has_letter & (most > best)
+                    total = np.where(has_letter, np.logaddexp(total, most + np.log(np.exp(sums - most[:, None]).sum(axis=1))), total)
+                    columns = [pa.array(np.where(better, names[at], pred).tolist(), pa.string()), pa.array(np.where(better, most, best)), pa.array(total)]
+                    yield pa.RecordBatch.from_arrays([part.column("own"), *columns], ["own", "pred", "best", "total"])
+
+        return score
 
-    out = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.mapInArrow(score, out)
+    for model in models:
+        rows = rows.mapInArrow(scorer(spark.sparkContext.broadcast(model)), rows.schema)
+    posterior = F.when(F.col("pred") == UNKNOWN, 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("best") - F.col("total"))))
+    return rows.select(*own_columns(own), F.col("pred").alias("lang_pred"), posterior.alias("score"))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 3, held_out: int = 1, most_labels: int = 256) -> DataFrame:
     """Id, ``held_out``, ``lang_pred`` and ``score`` of each row.
 
     The model learns from the rows whose CRC-32 of the id as text leaves another remainder
@@ -140,5 +155,6 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     is_out = F.coalesce(fold == held_out, F.lit(False))
-    model = train(df.where(~is_out), text_col, label_col)
-    return predict(df.select(F.col(id_col), F.col(text_col), is_out.alias("held_out")), model, text_col).drop(text_col)
+    models = train(df.where(~is_out), text_col, label_col, most_labels=most_labels)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), is_out.alias("held_out"))
+    return predict(rows, models).select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import Workspace, small_batches
+from scanforge.llm.common import Workspace, as_own, own_columns, partitions, small_batches
 
 _BREAK = b" \t\n\x0b\x0c\r"
 
@@ -134,8 +134,8 @@ def keep_bitmaps(
             close(True)
             yield out()
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(split, "h1 long, h2 long, doc long, lines binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(split, "h1 long, h2 long, doc long, lines binary")
+    parts = partitions(spark)
     streamed = ws.table(
         rows.repartitionByRange(parts, F.col("h1"), F.col("h2"), F.col("doc").desc())
         .sortWithinPartitions(F.col("h1"), F.col("h2"), F.col("doc").desc())
@@ -143,7 +143,7 @@ def keep_bitmaps(
         "streamed",
     )
     edges = streamed.where("kind = 2").groupBy("h1", "h2").agg(F.max("top").alias("best"), F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    # At most two summaries for each partition.
+    # At most two summaries for each of ``parts`` partitions, however large the corpus is.
     late = streamed.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where("doc <> best").select("doc", "lines")
     dropped = streamed.where("kind = 0").select("doc", "lines").union(late)
     packed = dropped.groupBy("doc").agg(F.array_join(F.collect_list(F.hex("lines")), "").alias("lines"))
@@ -162,19 +162,26 @@ def keep_bitmaps(
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``n_lines``, ``n_dropped`` and ``kept_text``; lines past a bitmap's end stay."""
+    """``df`` with ``n_lines``, ``n_dropped`` and ``kept_text``; lines past a bitmap's end stay.
+
+    Null or empty text is one empty line. Rows of a null id, or of one without a bitmap, keep all
+    lines; rows of one id share its bitmap, and repeated rows get equal results. Columns of ``df``
+    that carry the names of results are replaced; other names clash with nothing. An empty
+    table stays empty.
+    """
     small_batches(df.sparkSession)
     # By sorting at any size, as a broadcast of the bitmaps would end with the corpus's growth.
-    found = bitmaps.select(F.col(id_col).alias("_id"), F.col("keep_bitmap").alias("_keep")).hint("merge")
-    joined = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    out = joined.drop("_keep").schema
-    for name, kind in (("n_lines", "long"), ("n_dropped", "long"), ("kept_text", "string")):
+    found = bitmaps.select(F.col(id_col).alias("doc"), F.col("keep_bitmap").alias("keep")).hint("merge")
+    joined = df.select(as_own(df), F.col(f"`{id_col}`").cast("long").alias("doc")).join(found, "doc", "left").select("own", "keep")
+    results = (("n_lines", "long"), ("n_dropped", "long"), ("kept_text", "string"))
+    out = joined.select("own").schema
+    for name, kind in results:
         out = out.add(name, kind)
 
     def apply(batches):
         for b in batches:
             n_lines, n_dropped, kept = [], [], []
-            for text, bits in zip(b.column(text_col).to_pylist(), b.column("_keep").to_pylist(), strict=True):
+            for text, bits in zip(b.column("own").field(text_col).to_pylist(), b.column("keep").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 left = lines
                 if bits is not None:
@@ -183,10 +190,9 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
                 kept.append("\n".join(left))
-            columns = [b.column(i) for i, name in enumerate(b.schema.names) if name != "_keep"]
-            names = [name for name in b.schema.names if name != "_keep"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "n_lines", "n_dropped", "kept_text"]
+                [b.column("own"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["own", "n_lines", "n_dropped", "kept_text"]
             )
 
-    return joined.mapInArrow(apply, out)
+    names = [name for name, _ in results]
+    return joined.mapInArrow(apply, out).select(*own_columns([c for c in df.columns if c not in names]), *names)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import Workspace, small_batches
+from scanforge.llm.pfair import Queues, source_key
 from scanforge.llm.tokens import encoder
 
 
@@ -95,14 +96,18 @@ def pack_mixture(
     sequence: int = 1024,
     window_sequences: int = 64,
     end_id: int = 0,
-    most_sources: int = 2000,
+    most_sources: int = 256,
+    exponent: float = 1.0,
 ) -> DataFrame:
     """One row per piece of a document in a sequence of ``sequence`` tokens.
 
     A document is its token ids and ``end_id``; null or empty text is ``end_id`` alone. A
     window is ``window_sequences`` sequences and holds tokens of each source in proportion to
-    ``weights`` (by default to the sources' tokens, so that all end together), to within a
-    token for each source; sources without a weight share 1. All sequences but the last are
+    ``weights``, to within a token for each source, until a source ends; then the others share its
+    place in proportion. Sources without a weight weigh 1. Without ``weights`` sources weigh as their tokens to
+    the power of ``exponent``: at 1 all end together, below 1 the smaller sources weigh more and end
+    later. The ``most_sources`` sources of most rows queue one by one; all others share a
+    queue more (of weight ``weights[REST]``, or their sum). All sequences but the last are
     full; ``padded_length`` is ``sequence``, or the last one's length if that is a power of
     two. A null source is a source of its own. Documents of a source queue as they lie in the
     input; rows of equal or null id are packed one by one. Other columns are ignored; an empty
@@ -111,13 +116,14 @@ def pack_mixture(
     ``padded_length``, ``ids``.
 
     Ids are written once to the shared folder and never shuffled: what moves is one count for
-    each partition and source. One count for each source, at most ``most_sources``, comes to
+    each partition and queue. One count for each queue, ``most_sources`` + 1 at most, comes to
     the driver.
     """
     spark = df.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "mixture")
-    queue = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("queue")
+    source = source_key(source_col)
+    queues = Queues.of(df, source_col, most_sources)
 
     def tokenise(batches):
         encode, sent, task = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
@@ -133,23 +139,20 @@ def pack_mixture(
             packed = [x.astype("<u2").tobytes() if x.max() < 65536 else b"" for x in narrow]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": b.column("id"), "queue": b.column("queue"), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
+                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
                     "narrow": pa.array(packed, pa.binary()), "wide": pa.array([b"" if p else x for p, x in zip(packed, ids, strict=True)], pa.binary()),
                 }
             )
 
-    docs = df.select(F.col(id_col).cast("long").alias("id"), queue, F.col(text_col).alias("text"))
-    tokens = ws.table(docs.mapInArrow(tokenise, "id long, queue string, task int, start long, n long, narrow binary, wide binary"), "tokens")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"))
+    tokens = ws.table(docs.mapInArrow(tokenise, "id long, source string, queue string, task int, start long, n long, narrow binary, wide binary"), "tokens")
     counts = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = ws.table(counts.select("queue", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "base")
-    found = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    found = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()
     names = [r["queue"] for r in found]
     totals = np.array([r["n"] for r in found], np.int64)
-    given = {"null" if k is None else f"={k}": float(v) for k, v in (weights or {}).items()}
-    share = totals.astype(float) if weights is None else np.array([given.get(q, 1.0) for q in names])
+    share = totals.astype(float) ** exponent if weights is None else np.array([float(queues.weight(q, weights)) for q in names])
     if (share <= 0).any():
         raise ValueError("weights must be positive")
     plan = RoundRobin.plan(totals, share, sequence * window_sequences)
@@ -160,20 +163,21 @@ def pack_mixture(
 
     def place(batches):
         for b in batches:
-            queues = np.array([index[q] for q in b.column("queue").to_pylist()], np.int64)
+            numbers = np.array([index[q] for q in b.column("queue").to_pylist()], np.int64)
             start, n = b.column("start").to_numpy() + b.column("base").to_numpy(), b.column("n").to_numpy()
             ids = [
                 w or np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, w in zip(b.column("narrow").to_pylist(), b.column("wide").to_pylist(), strict=True)
             ]
-            for q in np.unique(queues).tolist():
-                mine = np.flatnonzero(queues == q)
+            sources = pa.array([None if s == "null" else s[1:] for s in b.column("source").to_pylist()], pa.string())
+            for q in np.unique(numbers).tolist():
+                mine = np.flatnonzero(numbers == q)
                 row, begin, length, seq, offset, window = cut(plan, q, start[mine], n[mine], sequence)
                 row = mine[row]
                 parts = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), begin.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         id_col: b.column("id").take(pa.array(row)),
-                        "source": pa.array([None if names[q] == "null" else names[q][1:]] * len(row), pa.string()),
+                        "source": sources.take(pa.array(row)),
                         "start": begin, "length": length, "ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64()), "doc_tokens": n[row],
                         "sequence_id": seq, "offset": offset, "window": window,
                         "padded_length": np.where(seq == last, last_padded, sequence),

@@ -2,62 +2,125 @@
 
 The k-th block of a source of weight w may run from slot floor(k / w) and must have run by
 slot ceil((k + 1) / w). Of the blocks that may run, the one with the earliest deadline runs;
-so at every slot each source is within one block of its share.
+so at every slot each source is within one block of its share. With whole weights that
+sum to a period, the schedule repeats after each period until a source ends; so one period for each
+set of sources tells the slot of every block, however many there are.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from scanforge.llm.common import Workspace, as_own, own_columns, partitions
+from scanforge.llm.links import spread_join
 
-def schedule(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline), by slot, for ``blocks[s]`` blocks of each source.
+#: The key of the weight of all sources that are not among those counted one by one.
+REST = ("rest",)
 
-    When a source has no blocks left, an epoch ends and the weights of the others are scaled
-    up; release times and deadlines then count from the new epoch.
-    """
-    done, out, slot = dict.fromkeys(blocks, 0), [], 0
-    active = sorted(s for s in blocks if blocks[s] > 0)
-    while active:
-        total = sum(weights[s] for s in active)
-        share = {s: weights[s] / total for s in active}
-        start, ran = slot, dict.fromkeys(active, 0)
-        waiting = [(0, s) for s in active]
-        ready: list[tuple[int, int, str]] = []
-        ended = False
-        while not ended:
-            while waiting and waiting[0][0] <= slot:
-                release, s = heapq.heappop(waiting)
-                heapq.heappush(ready, (start + math.ceil((ran[s] + 1) / share[s]), release, s))
-            deadline, release, s = heapq.heappop(ready)
-            out.append((s, done[s], slot, release, deadline))
-            done[s] += 1
-            ran[s] += 1
-            slot += 1
-            ended = done[s] == blocks[s]
-            if not ended:
-                heapq.heappush(waiting, (start + math.floor(ran[s] / share[s]), s))
-        active = [s for s in active if done[s] < blocks[s]]
-    return out
 
+@dataclass
+class Queues:
+    """Sources by number of rows: the ``most`` largest have queues of their own, all others share one."""
+
+    names: list[str]
+    others: int
 
-def source_key(source_col: str):
+    @classmethod
+    def of(cls, df: DataFrame, source_col: str, most: int) -> Queues:
+        sizes = df.groupBy(source_key(source_col).alias("q")).count()
+        names = [r.q for r in sizes.orderBy(F.desc("count"), "q").limit(most + 1).collect()]
+        return cls(names, 0) if len(names) <= most else cls(names[:most], sizes.count() - most)
+
+    def column(self, q: Column) -> Column:
+        return F.when(q.isin(self.names), q).otherwise("rest") if self.others else q
+
+    def weight(self, queue: str, weights: dict) -> float:
+        """Of a queue, where sources that ``weights`` leaves out weigh 1."""
+        if queue != "rest":
+            return weights.get(None if queue == "null" else queue[1:], 1)
+        if REST in weights:
+            return weights[REST]
+        given = [w for k, w in weights.items() if ("null" if k is None else f"={k}") not in self.names]
+        return sum(given) + max(0, self.others - len(given))
+
+
+def source_key(source_col: str) -> Column:
     """A source's name, marked, so that a null source has a name of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
+
+
+def whole_weights(weights: dict[str, Fraction], period: int) -> dict[str, int]:
+    """Whole weights of the same proportions if they sum to ``period`` at most; else the nearest that sum to it, each 1 or more."""
+    scale = math.lcm(*(w.denominator for w in weights.values()))
+    whole = {s: int(w * scale) for s, w in weights.items()}
+    common = math.gcd(*whole.values())
+    if sum(whole.values()) // common <= period:
+        return {s: w // common for s, w in whole.items()}
+    total = sum(whole.values())
+    out = {s: max(1, w * period // total) for s, w in whole.items()}
+    by_rest = sorted(whole, key=lambda s: (-(whole[s] * period % total), s))
+    for s in (by_rest * 2)[: max(0, period - sum(out.values()))]:
+        out[s] += 1
+    while sum(out.values()) > period:
+        out[max(out, key=lambda s: (out[s], s))] -= 1
+    return out
 
 
-def source_chars(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 2000) -> dict[str, int]:
-    """Characters of each source, by its key."""
-    sizes = df.groupBy(source_key(source_col).alias("q")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars")).limit(most_sources + 1).collect()
-    if len(sizes) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    return {r["q"]: r["chars"] for r in sizes}
+def one_period(weights: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of each slot of a period, in which every source runs as often as it weighs."""
+    period, ran = sum(weights.values()), dict.fromkeys(weights, 0)
+    waiting = [(0, s) for s in sorted(weights)]
+    ready: list[tuple[int, int, str]] = []
+    out = []
+    for slot in range(period):
+        while waiting and waiting[0][0] <= slot:
+            release, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(ran[s] + 1) * period // weights[s]), release, s))
+        deadline, release, s = heapq.heappop(ready)
+        out.append((s, ran[s], release, deadline))
+        ran[s] += 1
+        if ran[s] < weights[s]:
+            heapq.heappush(waiting, (ran[s] * period // weights[s], s))
+    return out
+
+
+@dataclass
+class Epoch:
+    """A time in which no source ends: first slot and first block of each source, whole weights, their period."""
+
+    slot: int
+    first: dict[str, int]
+    weights: dict[str, int]
+    slots: list[tuple[str, int, int, int]]
+
+
+def epochs(blocks: dict[str, int], weights: dict[str, Fraction], period: int) -> list[Epoch]:
+    """Epochs of a schedule of ``blocks[s]`` blocks of each source; when a source ends, the others go on in proportion."""
+    done, slot, out = dict.fromkeys(blocks, 0), 0, []
+    active = sorted(s for s in blocks if blocks[s] > 0)
+    while active:
+        whole = whole_weights({s: weights[s] for s in active}, max(period, len(active)))
+        e = Epoch(slot, {s: done[s] for s in active}, whole, one_period(whole))
+        out.append(e)
+        full = min((blocks[s] - done[s] - 1) // whole[s] for s in active)
+        for s in active:
+            done[s] += full * whole[s]
+        slot += full * len(e.slots)
+        for s, *_ in e.slots:
+            done[s], slot = done[s] + 1, slot + 1
+            if done[s] == blocks[s]:
+                break
+        active = [s for s in active if done[s] < blocks[s]]
+    return out
 
 
 def root_weight(chars: int) -> int:
@@ -65,9 +128,12 @@ def root_weight(chars: int) -> int:
     return math.isqrt(chars) + 1
 
 
-def root_weights(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 2000) -> dict[str | None, int]:
-    """The weights, by source, that :func:`mix_sources` takes by default."""
-    return {None if q == "null" else q[1:]: root_weight(n) for q, n in source_chars(df, text_col, source_col, most_sources).items()}
+def root_weights(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 256) -> dict:
+    """The weights, by source (and of the rest), that :func:`mix_sources` takes by default."""
+    queues = Queues.of(df, source_col, most_sources)
+    chars = F.sum(F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long")).alias("chars")
+    sizes = df.groupBy(queues.column(source_key(source_col)).alias("q")).agg(chars).collect()
+    return {REST if r.q == "rest" else None if r.q == "null" else r.q[1:]: root_weight(r.chars) for r in sizes}
 
 
 def mix_sources(
@@ -75,45 +141,85 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weights: dict[str | None, float] | None = None,
+    weights: dict | None = None,
     block_chars: int = 1_000_000,
-    most_blocks: int = 50_000,
-    most_sources: int = 2000,
+    period: int = 4096,
+    most_sources: int = 256,
     seed: int = 7,
 ) -> DataFrame:
     """``df`` with ``mix_block``, ``mix_slot``, ``mix_release`` and ``mix_deadline``.
 
-    A source's documents are dealt over blocks of about ``block_chars`` characters by a hash of
-    their id; blocks are larger where that would be more than ``most_blocks`` in all.
-    ``weights`` gives the sources' shares of blocks; by default they are as the square roots of
-    the sources' characters, and sources that it leaves out weigh 1. Every row is kept: when
-    a source ends, the others go on in proportion. A null source is a source of its own;
-    null texts have no characters; rows of one id share a block; columns of ``df`` that carry the
-    names of results are replaced. An empty table stays empty.
-
-    Only one count for each source comes to the driver, and the schedule that goes out has at
-    most ``most_blocks`` rows and one for each source.
+    Each source's documents stand in order of a hash of their id; the block of one is the number of
+    whole ``block_chars`` characters before it, so that a source's first n blocks hold n blocks' characters
+    but for one document's length. ``weights`` gives the sources' shares of blocks; by default they are as
+    the square roots of the sources' characters, and sources that it leaves out weigh 1.
+    Shares are taken to the nearest 1 / ``period``, exactly where whole weights of a smaller sum
+    express them. The ``most_sources`` sources of most rows are scheduled one by one; all others
+    together are one source more (of weight ``weights[REST]``, or their sum). Every row is kept: when a
+    source ends, the others go on in proportion. A null source is a source of its own;
+    null texts have no characters; rows of one id and source share a block, those of a null id too; columns of ``df`` that
+    carry the names of results are replaced. An empty table stays empty.
+
+    Only one count for each queue comes to the driver, and the schedule that goes out has at
+    most ``most_sources`` + 1 times ``period`` rows, whatever the number of blocks.
     """
     spark = df.sparkSession
-    queue = source_key(source_col)
-    chars = source_chars(df, text_col, source_col, most_sources)
-    block = max(block_chars, -(-sum(chars.values()) // most_blocks))
-    blocks = {q: max(1, -(-n // block)) for q, n in chars.items()}
-    given = {"null" if k is None else f"={k}": v for k, v in (weights or {}).items()}
-    share = {q: Fraction(root_weight(n)) if weights is None else Fraction(given.get(q, 1)).limit_denominator(10**6) for q, n in chars.items()}
+    ws, parts = Workspace(spark, "pfair"), partitions(spark)
+    results = ["mix_block", "mix_slot", "mix_release", "mix_deadline"]
+    own = [c for c in df.columns if c not in results]
+    queues = Queues.of(df, source_col, most_sources)
+    doc = F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("null")).alias("doc")
+    chars = F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long").alias("chars")
+    rows = df.select(as_own(df), queues.column(source_key(source_col)).alias("q"), doc, chars)
+    light = rows.groupBy("q", "doc").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).withColumn("h", F.xxhash64("doc", F.lit(seed)))
+
+    def running(batches):
+        """Characters before each row among those of its queue in this task; rows come in order of queue."""
+        task, queue, sent = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            q, n = b.column("q").to_numpy(zero_copy_only=False), b.column("chars").to_numpy()
+            new = np.append(True, q[1:] != q[:-1])
+            new[0] = q[0] != queue
+            total = np.cumsum(n) - n
+            first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+            start = total - total[first] + np.where(first == 0, 0 if new[0] else sent, 0)
+            queue, sent = q[-1], int(start[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("q", "doc", "chars", "n")), pa.array([task] * len(q), pa.int32()), pa.array(start)], ["q", "doc", "chars", "n", "task", "start"])
+
+    ordered = light.repartitionByRange(parts, "q", "h", "doc").sortWithinPartitions("q", "h", "doc").select("q", "doc", "chars", "n")
+    placed = ws.table(ordered.mapInArrow(running, "q string, doc string, chars long, n long, task int, start long"), "placed")
+    sums = placed.groupBy("q", "task").agg(F.sum("chars").alias("chars"))
+    earlier = Window.partitionBy("q").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row for each task and one for each queue.
+    base = sums.select("q", "task", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("base"))
+    sizes = {r.q: r.chars for r in sums.groupBy("q").agg(F.sum("chars").alias("chars")).collect()}
+    blocks = {q: max(1, -(-n // block_chars)) for q, n in sizes.items()}
+    share = {q: Fraction(root_weight(n)) if weights is None else Fraction(queues.weight(q, weights)).limit_denominator(10**6) for q, n in sizes.items()}
     if any(w <= 0 for w in share.values()):
         raise ValueError("weights must be positive")
-    fields = [("_q", T.StringType()), ("mix_block", T.LongType()), ("mix_slot", T.LongType()), ("mix_release", T.LongType()), ("mix_deadline", T.LongType())]
-    slots = spark.createDataFrame(schedule(blocks, share), T.StructType([T.StructField(n, t) for n, t in fields]))
-    count = spark.createDataFrame(list(blocks.items()) or [("", 1)], "_q string, _blocks long")
-    own = df.drop(*(n for n, _ in fields), "_blocks")
-    dealt = own.withColumn("_q", queue).join(F.broadcast(count), "_q").withColumn("mix_block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), "_blocks"))
-    mixed = dealt.join(F.broadcast(slots), ["_q", "mix_block"])
-    return mixed.select(*own.columns, "mix_block", "mix_slot", "mix_release", "mix_deadline")
+    plan = epochs(blocks, share, period)
+    slots = [(q, e, turn, x.slot + at, x.slot + release, x.slot + deadline) for e, x in enumerate(plan) for at, (q, turn, release, deadline) in enumerate(x.slots)]
+    names = ["q", "epoch", "turn", "slot", "release", "deadline"]
+    kinds = [pa.string()] + [pa.int64()] * 5
+    columns = list(zip(*slots, strict=True)) or [()] * 6
+    table = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names))
+    # The epoch of a block is the last in which its queue starts at or before it.
+    starts = spark.createDataFrame([(q, [e.first[q] for e in plan if q in e.first]) for q in blocks] or [("", [0])], "q string, firsts array<long>")
+    block = F.least(F.floor((F.col("start") + F.col("base")) / F.lit(block_chars)), F.col("blocks") - 1)
+    count = spark.createDataFrame(list(blocks.items()) or [("", 1)], "q string, blocks long")
+    dealt = placed.join(F.broadcast(base), ["q", "task"]).join(F.broadcast(count), "q").withColumn("mix_block", block.cast("long"))
+    dealt = dealt.join(F.broadcast(starts), "q").withColumn("epoch", F.size(F.filter("firsts", lambda x: x <= F.col("mix_block"))).cast("long") - 1)
+    dealt = dealt.withColumn("_k", F.col("mix_block") - F.get("firsts", F.col("epoch").cast("int")))
+    weight = spark.createDataFrame([(q, e, w, len(x.slots)) for e, x in enumerate(plan) for q, w in x.weights.items()] or [("", 0, 1, 1)], "q string, epoch long, weight long, period long")
+    dealt = dealt.join(F.broadcast(weight), ["q", "epoch"]).withColumn("turn", F.pmod("_k", "weight"))
+    dealt = dealt.withColumn("_past", F.floor(F.col("_k") / F.col("weight")).cast("long") * F.col("period")).drop("weight", "period")
+    dealt = dealt.join(F.broadcast(table), ["q", "epoch", "turn"])
+    units = dealt.select("q", "doc", "n", "mix_block", *((F.col(c) + F.col("_past")).alias(f"mix_{c}") for c in ("slot", "release", "deadline")))
+    mixed = spread_join(rows.select("own", "q", "doc"), units, ["q", "doc"], placed.agg(F.sum("n")).first()[0] or 0)
+    return mixed.select(*own_columns(own), *results)
 
 
 def in_mixed_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows in order of slot, range-partitioned, so that files read in order follow the mixture."""
     by = [F.col("mix_slot"), F.xxhash64(F.col(id_col)), F.col(id_col)]
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return mixed.repartitionByRange(partitions(mixed.sparkSession), *by).sortWithinPartitions(*by)

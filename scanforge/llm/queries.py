@@ -18,7 +18,7 @@ from scanforge.llm.mixture_packing import pack_mixture
 from scanforge.llm.pfair import mix_sources
 from scanforge.llm.probminhash import near_documents
 from scanforge.llm.substring_dedup import drop_repeated_windows
-from scanforge.llm.weak_quality import quality
+from scanforge.llm.weak_quality import LINE_END, PRIOR, ROUNDS, START, WEIGHT, quality
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: What a packed piece is reported by.
@@ -45,7 +45,8 @@ def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_mixture(read(spark, sf_dir, "documents"), TOKENIZER).select(*PIECES)
+    """Sources weigh as the square roots of their tokens, so that small ones are not lost beside a large one."""
+    return pack_mixture(read(spark, sf_dir, "documents"), TOKENIZER, exponent=0.5).select(*PIECES)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 4).alias("p_good")]
     return quality(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]).select(*columns)
 
 
@@ -125,8 +126,43 @@ LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '')
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1"""
 
 
+def _rounds(rules: int = 8) -> str:
+    """One round of expectation-maximisation over the table ``p`` of vote patterns; its state is a share and two lists."""
+    odds = " + ".join(f"CASE v{i} WHEN 1 THEN ln(g[{i}] / (1 - b[{i}])) WHEN 0 THEN ln((1 - g[{i}]) / b[{i}]) ELSE 0 END" for i in range(1, rules + 1))
+    good = ", ".join(f"(coalesce(sum(q * n * v{i}), 0) + {WEIGHT * START[0]}::DOUBLE) / (coalesce(sum(q * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1))
+    bad = ", ".join(f"(coalesce(sum((1 - q) * n * (1 - v{i})), 0) + {WEIGHT * START[1]}::DOUBLE) / (coalesce(sum((1 - q) * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1))
+    each = f"SELECT r, p.*, 1 / (1 + exp(-greatest(-500, least(500, ln(s / (1 - s)) + {odds})))) AS q FROM em, p WHERE r < {ROUNDS}"
+    return f"SELECT r + 1, (sum(q * n) + {WEIGHT * PRIOR}::DOUBLE) / (sum(n) + {WEIGHT}::DOUBLE), [{good}], [{bad}] FROM ({each}) GROUP BY r"
+
+
+def _vote(x: str, good: float, bad: float) -> str:
+    return f"CASE WHEN {x} <= {good} THEN 1 WHEN {x} > {bad} THEN 0 END" if good < bad else f"CASE WHEN {x} >= {good} THEN 1 WHEN {x} < {bad} THEN 0 END"
+
+
+LINE_OF_WORDS = r"'[^\x20\x09-\x0D]'"
+VOTES = [
+    _vote("n_symbols / n_words", 0.05, 0.1), _vote("n_repeat_words / n_words", 0.02, 0.1), f"CASE WHEN n_lines >= 4 THEN {_vote('n_dup_lines / n_lines', 0.05, 0.2)} END",
+    "CASE WHEN word_chars / n_words BETWEEN 4.2 AND 6.5 THEN 1 WHEN word_chars / n_words < 3 OR word_chars / n_words > 8 THEN 0 END",
+    _vote("n_ended / n_lines", 0.9, 0.6), _vote("n_upper / word_chars", 0.1, 0.3), _vote("n_digits / word_chars", 0.05, 0.1),
+    f"CASE WHEN n_words BETWEEN 50 AND 2000 THEN {_vote('n_distinct / n_words', 0.4, 0.25)} END",
+]
+QUALITY_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {LINE_OF_WORDS})) AS l FROM documents),
+    x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), y AS (SELECT doc_id, i, CASE WHEN i + 7 <= len(w) THEN array_to_string(w[i:i + 7], ' ') END AS key FROM x),
+    z AS (SELECT doc_id, i, key IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, key) > 1 AS twice FROM y), c AS (SELECT doc_id, i, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS 7 PRECEDING) AS covered FROM z),
+    r AS (SELECT doc_id, count(*) FILTER (covered) AS n FROM c GROUP BY 1),
+    m AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+      len(l) AS n_lines, len(list_distinct(w)) AS n_distinct, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS n_digits, length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_upper,
+      len(list_filter(l, lambda x: regexp_matches(x, '{LINE_END.replace("'", "''")}'))) AS n_ended FROM d LEFT JOIN r USING (doc_id)),
+    v AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{v} AS v{i}" for i, v in enumerate(VOTES, 1))} FROM m),
+    p AS MATERIALIZED (SELECT {", ".join(f"v{i}" for i in range(1, 9))}, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+    em AS (SELECT 0 AS r, {PRIOR}::DOUBLE AS s, [{", ".join([f"{START[0]}::DOUBLE"] * 8)}] AS g, [{", ".join([f"{START[1]}::DOUBLE"] * 8)}] AS b UNION ALL {_rounds()}),
+    f AS (SELECT s, g, b FROM em ORDER BY r DESC LIMIT 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o >= 0 AS kept, round(1 / (1 + exp(-o)), 4) AS p_good FROM
+      (SELECT v.*, ln(s / (1 - s)) + {" + ".join(f"CASE v{i} WHEN 1 THEN ln(g[{i}] / (1 - b[{i}])) WHEN 0 THEN ln((1 - g[{i}]) / b[{i}]) ELSE 0 END" for i in range(1, 9))} AS o FROM v, f)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Tokens, learned models, schedules and expectation-maximisation have none; tests/llm has brute force."""
+    """Tokens, language models and schedules have none; tests/llm has brute force."""
     return {
-        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": LINES_SQL,
+        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_weak_quality": QUALITY_SQL, "op10_line_dedup": LINES_SQL,
     }

@@ -31,7 +31,8 @@ class Encoder:
 
     Where the file is a plain byte-level BPE, each distinct stretch between spaces is encoded
     once and remembered, by merging with ``tiktoken`` under the file's own vocabulary, which
-    gives the same ids several times faster; whatever else goes through ``tokenizers``. At
+    gives the same ids several times faster; whatever else goes through ``tokenizers``, texts
+    that hold one of the file's added tokens too, which become that token's id. At
     most twice ``most_cached`` stretches are remembered: when the newer half is full, the
     older is forgotten.
     """
@@ -41,7 +42,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most_cached = most_cached
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -55,6 +55,7 @@ class Encoder:
 
             of = _bytes_of_characters()
             added = {t["id"] for t in spec.get("added_tokens", [])}
+            self.added = [t["content"] for t in spec.get("added_tokens", [])]
             ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in added}
             self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
             self.bytes_of[list(ranks.values())] = [len(token) for token in ranks]
@@ -69,7 +70,7 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _UNSURE.search(t) else t.split(" ") for t in texts]
+        pieces = [None if _UNSURE.search(t) or any(x in t for x in self.added) else t.split(" ") for t in texts]
         sure = [own for own in pieces if own]
         new = set().union(*sure).difference(self.newer)
         if len(self.newer) + len(new) > self.most_cached:

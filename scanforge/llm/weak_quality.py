@@ -13,21 +13,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import Workspace
+from scanforge.llm.common import Workspace, as_own, own_columns
+
+#: A line that ends as sentences do.
+LINE_END = r"""[.!?:;…。！？"'”’)\]][\x20\x09-\x0D]*\z"""
 
 
 def _doubled(name: str, half: int) -> Column:
     return F.transform(name, lambda x, i: F.xxhash64(x, F.get(name, i + half)))
 
 
-def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with columns ``_m_...`` of what the rules measure, over the whole text.
+def measures(texts: DataFrame) -> DataFrame:
+    """``texts(own, text)`` with ``own`` and what the rules measure over the whole text.
 
     Words are maximal runs without ASCII white space; null text has none. ``n_repeat_words``
     counts words in 8-word windows that the text holds twice or more.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("_text", text)
+    out = texts.select("own", F.coalesce("text", F.lit("")).alias("_text"))
     out = out.withColumn("_w", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     out = out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     # Hashes of windows of 2, 4 and 8 words, each of two halves; the last 7 reach over the end.
@@ -53,66 +55,68 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform("_at", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("_at", k + 1), p + 8) - p)), F.lit(0).cast("bigint"), lambda a, x: a + x
     )
     n_words, n_lines = F.size("_w").cast("long"), F.size("_lines").cast("long")
-    found = (
-        n_words.alias("_m_n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("_m_word_chars"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("_m_n_symbols"),
-        (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("_m_n_dup_lines"),
-        covered.alias("_m_n_repeat_words"),
-        n_lines.alias("_m_n_lines"),
-        F.size(F.array_distinct("_h")).cast("long").alias("_m_n_distinct_words"),
-        F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("_m_n_letters"),
-        F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("long").alias("_m_n_upper"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"[#*$%&|<>]"))).cast("long").alias("_m_n_symbol_lines"),
+    return out.select(
+        "own",
+        n_words.alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"),
+        n_lines.alias("n_lines"),
+        F.size(F.array_distinct("_h")).cast("long").alias("n_distinct_words"),
+        F.length(F.regexp_replace("_text", r"[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        F.size(F.filter("_lines", lambda x: x.rlike(LINE_END))).cast("long").alias("n_ended_lines"),
     )
-    return out.select("*", *found).drop("_text", "_w", "_h", "_h2", "_h4", "_h8", "_g", "_lines", "_s", "_at")
-
-
-def _m(name: str) -> Column:
-    return F.col(f"_m_{name}")
 
 
 def base_failed() -> Column:
-    return (_m("n_words") < 20) | (100 * _m("n_repeat_words") > 30 * _m("n_words"))
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def votes() -> dict[str, Column]:
-    """The rules: 1 good, 0 bad, null abstains. Bounds are loose; between them a rule abstains."""
+    """The rules: 1 good, 0 bad, null abstains. Bounds are loose; between them a rule abstains.
 
-    def share(part: Column, whole: Column, good: float, bad: float) -> Column:
-        x = F.try_divide(part.cast("double"), whole.cast("double"))
+    Each rule looks at another side of a text, as the model takes them to err independently.
+    """
+
+    def share(part: str, whole: str, good: float, bad: float) -> Column:
+        x = F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
         if good < bad:
             return F.when(x <= good, 1).when(x > bad, 0)
         return F.when(x >= good, 1).when(x < bad, 0)
 
-    mean = F.try_divide(_m("word_chars").cast("double"), _m("n_words").cast("double"))
-    enough = _m("n_words") >= 50
+    mean = F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double"))
     return {
-        "symbols": share(_m("n_symbols"), _m("n_words"), 0.05, 0.1),
-        "repeats": share(_m("n_repeat_words"), _m("n_words"), 0.1, 0.3),
-        "dup_lines": F.when(_m("n_lines") >= 4, share(_m("n_dup_lines"), _m("n_lines"), 0.15, 0.3)),
-        "word_length": F.when((mean >= 3.5) & (mean <= 9), 1).when((mean < 2.5) | (mean > 12), 0),
-        "letters": share(_m("n_letters"), _m("word_chars"), 0.94, 0.88),
-        "symbol_lines": F.when(_m("n_words") >= 20, share(_m("n_symbol_lines"), _m("n_lines"), 0.1, 0.3)),
-        "upper_case": share(_m("n_upper"), _m("n_letters"), 0.1, 0.3),
-        "variety": F.when(enough & (_m("n_words") <= 2000), share(_m("n_distinct_words"), _m("n_words"), 0.4, 0.15)),
+        "symbols": share("n_symbols", "n_words", 0.05, 0.1),
+        "repeats": share("n_repeat_words", "n_words", 0.02, 0.1),
+        "dup_lines": F.when(F.col("n_lines") >= 4, share("n_dup_lines", "n_lines", 0.05, 0.2)),
+        "word_length": F.when((mean >= 4.2) & (mean <= 6.5), 1).when((mean < 3) | (mean > 8), 0),
+        "line_ends": share("n_ended_lines", "n_lines", 0.9, 0.6),
+        "upper_case": share("n_upper", "word_chars", 0.1, 0.3),
+        "digits": share("n_digits", "word_chars", 0.05, 0.1),
+        "variety": F.when((F.col("n_words") >= 50) & (F.col("n_words") <= 2000), share("n_distinct_words", "n_words", 0.4, 0.25)),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple, int]], rules: int, rounds: int = 50, prior: float = 0.8) -> tuple[float, list[tuple[float, float]]]:
+#: Before any row is seen: the share of good rows, P(good vote | good), P(bad vote | bad), and the rows that this counts for.
+PRIOR, START, WEIGHT = 0.8, (0.97, 0.2), 2.0
+ROUNDS = 100
+
+
+def fit_accuracies(patterns: list[tuple[tuple, int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """The share of good rows and each rule's P(good vote | good) and P(bad vote | bad).
 
     Expectation-maximisation of a two-class model in which rules vote independently and
     abstentions say nothing. It starts from rules that seldom vote against a good row and
-    each find a fifth of the bad ones, so that one bad vote among many good ones rejects
-    nothing at first; ten earlier rows of each class keep rules that hardly vote in place.
-    A good row is voted bad at most one time in ten, which fixes which class is the good one.
+    each find a fifth of the bad ones, which tells which class is the good one. Two rows of
+    that kind in each class count with the rest in every round; there are no other bounds, so a
+    rule that votes at random ends as one that decides nothing.
     """
-    start = 0.98, 0.2
-    accuracy = [start] * rules
+    prior, accuracy = PRIOR, [START] * rules
     for _ in range(rounds if patterns else 0):
         good_n, total = 0.0, 0.0
-        sums = [[10 * start[0], 10.0, 10 * start[1], 10.0] for _ in range(rules)]
+        sums = [[WEIGHT * START[0], WEIGHT, WEIGHT * START[1], WEIGHT] for _ in range(rules)]
         for pattern, n in patterns:
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, log_odds(pattern, prior, accuracy)))))
             good_n, total = good_n + p * n, total + n
@@ -122,8 +126,8 @@ def fit_accuracies(patterns: list[tuple[tuple, int]], rules: int, rounds: int =
                     s[1] += p * n
                     s[2] += (1 - p) * n * (1 - v)
                     s[3] += (1 - p) * n
-        prior = min(0.99, max(0.5, (good_n + 8) / (total + 10)))
-        accuracy = [(min(0.999, max(0.9, s[0] / s[1])), min(0.95, max(0.05, s[2] / s[3]))) for s in sums]
+        prior = (good_n + WEIGHT * PRIOR) / (total + WEIGHT)
+        accuracy = [(s[0] / s[1], s[2] / s[3]) for s in sums]
     return prior, accuracy
 
 
@@ -147,24 +151,23 @@ def quality(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: li
     repeated 8-word windows) is rejected and its votes are not counted; of the others those
     whose posterior probability of being good is ``least`` or more are kept. Null or empty text has
     no words and so fails the base. Each row is judged by itself, so repeated rows get equal
-    results. Columns of ``df`` that carry the names of results are replaced. On an empty
-    table the start values stand.
+    results. Columns of ``df`` that carry the names of results are replaced; other names clash
+    with nothing. On an empty table the start values stand.
 
     One pass measures the texts and writes what it found, with the columns to carry, to the
     shared folder. Only counts of vote patterns leave the executors: at most 3 ** 8 rows,
     however large the corpus is.
     """
     ws = Workspace(df.sparkSession, "quality")
-    own = [c for c in carry or df.columns if c not in {*NAMES, "base_failed", "p_good", "kept"} and not c.startswith("_m_")]
-    measured = measures(df, text_col)
-    measured = ws.table(measured.select(*own, *(c for c in measured.columns if c.startswith("_m_"))), "measured")
+    own = [c for c in carry or df.columns if c not in {*NAMES, "base_failed", "p_good", "kept"}]
+    measured = ws.table(measures(df.select(as_own(df, own), F.col(f"`{text_col}`").alias("text"))), "measured")
     rules = votes()
-    counted = measured.select(base_failed().alias("_failed"), *(v.cast("int").alias(k) for k, v in rules.items())).groupBy("_failed", *rules).count().collect()
-    patterns = sorted(((tuple(r[k] for k in rules), r["count"]) for r in counted if not r["_failed"]), key=str)
+    counted = measured.select(base_failed().alias("failed"), *(v.cast("int").alias(k) for k, v in rules.items())).groupBy("failed", *rules).count().collect()
+    patterns = sorted(((tuple(r[k] for k in rules), r["count"]) for r in counted if not r["failed"]), key=str)
     prior, accuracy = fit_accuracies(patterns, len(rules))
     score = F.lit(math.log(prior / (1 - prior)))
     for v, (good, bad) in zip(rules.values(), accuracy, strict=True):
         score = score + F.when(v == 1, math.log(good / (1 - bad))).when(v == 0, math.log((1 - good) / bad)).otherwise(0.0)
     p = 1 / (1 + F.exp(-score))
-    judged = measured.select(*own, *(_m(n).alias(n) for n in NAMES), base_failed().alias("base_failed"), p.alias("p_good"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    judged = measured.select("own", *NAMES, base_failed().alias("base_failed"), p.alias("p_good"))
+    return judged.select(*own_columns(own), *NAMES, "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))

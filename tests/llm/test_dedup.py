@@ -321,6 +321,17 @@ def test_repeated_windows_of_an_anchor_of_many_chunks(spark, chunk):
     assert [(k, v) for k, v in got if want[k] != v] == []
 
 
+def test_copies_of_a_frequent_phrase_are_all_found(spark):
+    """One phrase in all texts, and 50 copies of one of them far apart."""
+    rng = random.Random(14)
+    phrase = anchor_phrase(rng)
+    texts = [f"{prose(rng, 12)} {phrase} {prose(rng, 12)}" for _ in range(3000)]
+    for i in range(50):
+        texts[40 + i * 59] = texts[40]
+    got = {r.doc_id: r.n_removed for r in drop_repeated_windows(docs(spark, list(enumerate(texts))), chunk_rows=100).collect()}
+    assert {i: n for i, n in got.items() if n} == {40 + i * 59: 29 for i in range(1, 50)}
+
+
 def test_equal_rows_of_an_anchor_of_many_chunks(spark):
     text = prose(random.Random(6), 60)
     got = drop_repeated_windows(docs(spark, [(1, text)] * 30 + [(2, text)] * 3), chunk_rows=2).collect()

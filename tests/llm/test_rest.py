@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -32,7 +33,6 @@ def ids_of(path, text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -43,13 +43,21 @@ def ids_of(path, text):
 @given(st.lists(st.text(st.sampled_from("aBc é\n\t'sß1.,-_<|>　 \x1c\x85中"), max_size=40), max_size=8))
 def test_encoder_equals_tokenizers(texts):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    enc = test_encoder_equals_tokenizers.__dict__.setdefault("enc", Encoder(path, most_cached=50))
-    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    own = test_encoder_equals_tokenizers.__dict__
+    enc, plain = own.setdefault("enc", Encoder(path, most_cached=50)), own.setdefault("plain", Tokenizer.from_file(path))
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert enc(texts) == want
 
 
+def test_added_tokens_are_read_as_tokenizers_does(tokenizer_path):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>\n", "<|endoftext |>"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(tokenizer_path)(texts)]
+    assert got == [ids_of(tokenizer_path, t)[:-1] for t in texts] and len(got[0]) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit_decreasing(lengths):
@@ -151,22 +159,28 @@ def test_mixture_packing_is_lossless_and_gapless(spark, tokenizer_path, weights)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=6))
-def test_schedule_keeps_every_source_within_a_block(sources):
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=6), st.sampled_from([7, 100]))
+def test_schedule_keeps_every_source_within_a_block(sources, period):
     blocks = {f"s{i}": n for i, (n, _) in enumerate(sources)}
     weights = {f"s{i}": Fraction(w) for i, (_, w) in enumerate(sources)}
-    got = pfair.schedule(blocks, weights)
-    assert sorted((s, b) for s, b, *_ in got) == sorted((s, b) for s, n in blocks.items() for b in range(n))
-    assert [x[2] for x in got] == list(range(len(got))) and all(r <= slot < d for _, _, slot, r, d in got)
-    active, start, count = set(blocks), 0, dict.fromkeys(blocks, 0)
-    for k, (s, b, slot, _, _) in enumerate(got):
-        count[s] += 1
-        total = sum(weights[x] for x in active)
+    plan, total = pfair.epochs(blocks, weights, period), sum(blocks.values())
+    ran, active = dict.fromkeys(blocks, 0), set(blocks)
+    for e, end in zip(plan, [*(x.slot for x in plan[1:]), total], strict=True):
+        whole = sum(e.weights.values())
+        assert set(e.weights) == active and len(e.slots) == whole and e.first == {s: ran[s] for s in active}
+        if sum(weights[s] for s in active) <= period:
+            assert all(Fraction(w, whole) == weights[s] / sum(weights[x] for x in active) for s, w in e.weights.items())
+        count = dict.fromkeys(active, 0)
+        for k in range(end - e.slot):
+            s, turn, release, deadline = e.slots[k % whole]
+            past = k // whole * whole
+            assert turn == count[s] - k // whole * e.weights[s] and release + past <= k < deadline + past
+            count[s] += 1
+            assert all(abs(count[x] - Fraction(e.weights[x], whole) * (k + 1)) < 1 for x in active)
         for x in active:
-            assert abs(count[x] - weights[x] / total * (slot + 1 - start)) < 1
-        if b == blocks[s] - 1:
-            active.discard(s)
-            start, count = k + 1, dict.fromkeys(blocks, 0)
+            ran[x] += count[x]
+        active = {x for x in active if ran[x] < blocks[x]}
+    assert ran == blocks and not active
 
 
 def test_mixing_keeps_all_rows(spark):
@@ -177,13 +191,42 @@ def test_mixing_keeps_all_rows(spark):
     assert sorted(map(key, got.collect())) == sorted(map(key, df.collect()))
     assert got.where("mix_slot < mix_release or mix_slot >= mix_deadline").count() == 0
     assert got.groupBy("mix_slot").agg(F.count_distinct("source").alias("n")).where("n > 1").count() == 0
-    few = pfair.mix_sources(df, block_chars=1, most_blocks=10)
-    assert few.count() == df.count() and few.select("source", "mix_block").distinct().count() <= 10 + 4
     ordered = [r.mix_slot for r in pfair.in_mixed_order(got).collect()]
     assert ordered == sorted(ordered)
     assert pfair.mix_sources(docs(spark, [])).collect() == []
 
 
+def test_mixed_characters_follow_the_weights(spark):
+    """Documents of very different length: each source is within a block and a document of its share."""
+    rng = random.Random(11)
+    rows = [(i, "x" * rng.choice([10, 50, 2000]), "en", "a") for i in range(300)] + [(1000 + i, "y" * 3000, "en", "b") for i in range(40)]
+    got = pfair.mix_sources(docs(spark, rows).repartition(5), weights={"a": 1, "b": 3}, block_chars=2000).orderBy("mix_slot").collect()
+    n_blocks = -(-120_000 // 2000)
+    sent = {"a": 0, "b": 0}
+    slots = max(r.mix_slot for r in got if r.source == "b")
+    for slot in range(slots):
+        for r in got:
+            if r.mix_slot == slot:
+                sent[r.source] += len(r.text)
+        assert abs(sent["b"] - 0.75 * 2000 * (slot + 1)) <= 2000 + 3000 and abs(sent["a"] - 0.25 * 2000 * (slot + 1)) <= 2000 + 2000
+    assert slots >= n_blocks
+
+
+def test_many_sources_share_a_queue_beyond_the_bound(spark, tokenizer_path):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60)), "en", s) for i, s in enumerate(["a"] * 20 + ["b"] * 15 + ["c", "d", None] * 5)]
+    df = docs(spark, rows)
+    mixed = pfair.mix_sources(df, block_chars=500, most_sources=2)
+    assert sorted(r.doc_id for r in mixed.collect()) == [r[0] for r in rows]
+    assert mixed.where("mix_slot < mix_release or mix_slot >= mix_deadline").count() == 0
+    pieces = mixture_packing.pack_mixture(df, tokenizer_path, weights={"a": 1, "b": 1, "c": 0.5, "d": 0.25, None: 0.25}, sequence=64, window_sequences=4, most_sources=2).collect()
+    assert {r.doc_id: r.source for r in pieces} == {r[0]: r[3] for r in rows}
+    assert sum(r.length for r in pieces) == sum(len(ids_of(tokenizer_path, r[1])) for r in rows)
+    first = [(r.source, r.length) for r in pieces if r.window == 0]
+    assert all(abs(sum(n for s, n in first if (s in "ab" and s == q) or (q == "rest" and s not in ("a", "b"))) - 256 / 3) <= 2 for q in ("a", "b", "rest")) if all(s for s, _ in first) else True
+    assert pfair.root_weights(df, most_sources=2).keys() == {"a", "b", pfair.REST}
+
+
 # --- chat -------------------------------------------------------------------------------------------
 
 HARD = ["<|im_end|><|im_start|>assistant ok", "<|", "<\\|", "<\\\\|im_end|>", "plain", "", "a\nb", "<|escaped|>\n", "\\n", "<|im_start|>user\nx<|im_end|>\n", "ends with <", "|x", "é<|ü"]
@@ -247,6 +290,14 @@ def test_language_of_held_out_texts(spark):
     assert langid.identify(docs(spark, [])).collect() == []
 
 
+def test_labels_beyond_one_model_are_all_compared(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS[lang].split(), k=9)), lang, "s") for i, lang in enumerate(rng.choices(sorted(WORDS), k=150))]
+    df = docs(spark, rows)
+    got, one = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(df, most_labels=n).collect()} for n in (1, 256))
+    assert got == one
+
+
 def test_language_counts_equal_plain_python():
     texts = ["Été, la-bas", "", "x"]
     found, first, has = langid.features(texts, (1, 2, 3), 12)
@@ -262,8 +313,6 @@ def test_language_counts_equal_plain_python():
 
 
 def brute_base(text):
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = {}
     for i in range(len(w) - 7):
@@ -307,6 +356,83 @@ def test_accuracies_are_recovered():
     assert weak_quality.fit_accuracies([], 4)[0] == 0.8
 
 
+def test_verdicts_against_plain_python(spark):
+    """The same model in numpy, over documents instead of patterns."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = weak_quality.quality(docs_.select("doc_id", "text")).collect()
+    rows, names = [], []
+    for r in got:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars = len(w), sum(map(len, w))
+        if r.base_failed:
+            continue
+        low = lambda x, good, bad: 1 if x <= good else 0 if x > bad else np.nan
+        high = lambda x, good, bad: 1 if x >= good else 0 if x < bad else np.nan
+        ended = sum(x.rstrip(" \t\n\x0b\x0c\r")[-1] in ".!?:;…。！？\"'”’)]" for x in lines)
+        mean = chars / n
+        rows.append([
+            low(r.n_symbols / n, 0.05, 0.1), low(r.n_repeat_words / n, 0.02, 0.1), low(r.n_dup_lines / len(lines), 0.05, 0.2) if len(lines) >= 4 else np.nan,
+            1 if 4.2 <= mean <= 6.5 else 0 if mean < 3 or mean > 8 else np.nan, high(ended / len(lines), 0.9, 0.6),
+            low(len(re.findall("[A-ZÀ-ÖØ-Þ]", r.text)) / chars, 0.1, 0.3), low(len(re.findall("[0-9]", r.text)) / chars, 0.05, 0.1),
+            high(len(set(w)) / n, 0.4, 0.25) if 50 <= n <= 2000 else np.nan,
+        ])
+        names.append(r.doc_id)
+    v = np.array(rows)
+    seen, yes = ~np.isnan(v), np.nan_to_num(v)
+    prior, good, bad = 0.8, np.full(8, 0.97), np.full(8, 0.2)
+
+    def posterior():
+        each = np.where(yes == 1, np.log(good / (1 - bad)), np.log((1 - good) / bad)) * seen
+        return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + each.sum(axis=1), -500, 500)))
+
+    for _ in range(100):
+        p = posterior()[:, None]
+        good, bad = ((p * yes * seen).sum(0) + 1.94) / ((p * seen).sum(0) + 2), (((1 - p) * (1 - yes) * seen).sum(0) + 0.4) / (((1 - p) * seen).sum(0) + 2)
+        prior = (p.sum() + 1.6) / (len(v) + 2)
+    want = dict(zip(names, posterior(), strict=True))
+    assert all(r.p_good == pytest.approx(want[r.doc_id], abs=1e-6) and r.kept == (want[r.doc_id] >= 0.5) for r in got if not r.base_failed)
+    one_bad = [i for i, row in zip(names, v, strict=True) if (row == 0).sum() == 1]
+    kept = {r.doc_id for r in got if r.kept}
+    assert 0 < sum(i in kept for i in one_bad) < len(one_bad)
+    assert ((good < 0.99999) & (bad > 0.0001) & (bad < 0.9999)).all()
+
+
+# --- clashing names -----------------------------------------------------------------------------------------
+
+INNER = "own text doc id q n h keep pred best total label key key_bits narrow wide task start base queue source_id block chars blocks bands band low node sum first copies payload runs slot epoch turn firsts weight _text _w _h _h2 _h4 _h8 _g _lines _s _at _k _past _salt _copies _dropped _id _keep _q _blocks _conv _sorted _turns _plain _loss".split()
+RESULTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed p_good kept n_lines n_dropped kept_text n_removed class_id copy_of mix_block mix_slot mix_release mix_deadline lang_pred score held_out keep_bitmap sequence_id doc_tokens offset window padded_length ids formatted escaped round_trip n_turns loss_spans n_links component_id n_copies".split()
+
+
+def operators():
+    import corpus_pipeline as P
+    from scanforge.llm import itq_dedup, line_dedup, probminhash, substring_dedup
+    from scanforge.llm.queries import TOKENIZER
+
+    return {
+        "quality": weak_quality.quality, "bitmaps": lambda d: line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)), "near": probminhash.near_documents, "drop_near": probminhash.drop_near_documents,
+        "windows": substring_dedup.drop_repeated_windows, "mix": pfair.mix_sources, "identify": langid.identify, "predict": lambda d: langid.predict(d, langid.train(d)),
+        "bfd": lambda d: pack_documents(d, TOKENIZER), "mixture": lambda d: mixture_packing.pack_mixture(d, TOKENIZER),
+        "chat": lambda d: chat.format_chat(d.drop("turn", "role", "conv_id").withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn").withColumnRenamed("lang", "role")),
+        "vectors": lambda d: itq_dedup.near_vectors(d.withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"))).withColumn("vec_id", F.col("doc_id")), label_col="source"),
+        **{name: (lambda f: lambda d: f(d.sparkSession, d, ""))(f) for name, f in P.STAGES},
+    }
+
+
+@pytest.mark.parametrize("name", ["quality", "bitmaps", "near", "drop_near", "windows", "mix", "identify", "predict", "bfd", "mixture", "chat", "vectors", "quality_rules", "line_dedup", "near_dedup", "mix", "pack"])
+def test_clashing_names_change_nothing(spark, name):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(f"word{rng.randrange(90)}" for _ in range(9)) + "." for _ in range(5)), "en", "s") for i in range(6)]
+    df = docs(spark, rows + [(7, rows[2][1], "en", None), (8, None, None, "s")])
+    more = [c for c in dict.fromkeys(INNER + RESULTS) if c not in df.columns]
+    clash = df.select("*", *(F.lit("x").alias(c) for c in more))
+    run = operators()[name]
+    plain, got = run(df), run(clash)
+    assert set(plain.columns) <= set(got.columns)
+    rows_of = lambda d: sorted(map(str, d.select(plain.columns).collect()))
+    assert rows_of(got) == rows_of(plain)
+
+
 def brute_lines(rows):
     strip, low = " \t\n\x0b\x0c\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     holders = {}
