@@ -104,14 +104,19 @@ def spectrum_peaks(x, y, rel_height: float = 0.75, distance: int | None = None,
     }
 
 
-def gaussian(t: np.ndarray, v: np.ndarray, bandwidth: float, rows: int = 512) -> np.ndarray:
-    """Values smoothed by a normalised Gaussian kernel, each weighted term rounded half to even."""
-    if len(v) <= 2 or not v.sum() > 0:
-        return v
-    out = np.empty(len(v))
-    for a in range(0, len(v), rows):
-        w = np.exp(-((t[None, :] - t[a : a + rows, None]) ** 2) / (2 * bandwidth * bandwidth))
-        out[a : a + rows] = np.rint(v[None, :] * w / w.sum(axis=1, keepdims=True)).sum(axis=1)
+def gaussian(t: np.ndarray, v: np.ndarray, bandwidth: float, at: np.ndarray | None = None) -> np.ndarray:
+    """Values of a series in order of time, at the places ``at`` (all), smoothed by a normalised
+    Gaussian kernel, each weighted term rounded half to even.
+
+    Only points whose weight is more than 0 in double precision are looked at.
+    """
+    at = np.arange(len(t)) if at is None else at
+    low = np.searchsorted(t, t[at] - 39 * bandwidth)
+    high = np.searchsorted(t, t[at] + 39 * bandwidth, side="right")
+    out = np.empty(len(at))
+    for k, (i, a, b) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), strict=True)):
+        w = np.exp(-((t[a:b] - t[i]) ** 2) / (2 * bandwidth * bandwidth))
+        out[k] = np.rint(v[a:b] * w / w.sum()).sum()
     return out
 
 

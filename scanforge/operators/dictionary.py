@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from scanforge import schemas
 from scanforge.functions import kernels
 from scanforge.operators.joins import asof_nearest, band_join
 from scanforge.operators.reshape import explode_pairs
-from scanforge.session import checkpointed
 
 
 def scan_peaks(scans: DataFrame, rel_height: float = 0.75, distance: int | None = None, prominence: float | None = None) -> DataFrame:
@@ -65,17 +65,31 @@ def observations(peaks: DataFrame) -> DataFrame:
 
 
 def feature_correlation(dictionary: DataFrame, sizes: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs of candidates of a scan whose columns correlate at ``threshold`` or more, with the Jaccard of their rows.
+    """Pairs of candidates of a scan whose columns correlate at ``threshold`` (over 0) or more, with the Jaccard of their rows.
 
     ``sizes(scan_idx, n)`` has the rows of a scan's column, zeros included. Candidates that
-    share no row correlate negatively, so only pairs that share one are made.
+    share no row correlate negatively, so only pairs that share one are made. The row at 0, which
+    nearly all candidates share, is left out of that join: its product comes from the two
+    candidates' own values. Pairs that share nothing else are made only of candidates whose
+    value there is so large a part of them that a correlation of ``threshold`` is in reach.
     """
-    moments = dictionary.groupBy("scan_idx", "id").agg(F.sum("abundance").alias("s"), F.sum(F.col("abundance") * F.col("abundance")).alias("q"), F.count_if(F.col("abundance") > 0).alias("k"))
-    a = dictionary.select("scan_idx", "apex_mz", F.col("id").alias("a"), F.col("abundance").alias("x"))
-    b = dictionary.select("scan_idx", "apex_mz", F.col("id").alias("b"), F.col("abundance").alias("y"))
+    square, real = F.col("abundance") * F.col("abundance"), F.col("apex_mz") != 0
+    unseen = F.sum(F.when(~real, F.col("abundance")).otherwise(0.0)).alias("u")
+    moments = dictionary.groupBy("scan_idx", "id").agg(F.sum("abundance").alias("s"), F.sum(square).alias("q"), F.count_if(F.col("abundance") > 0).alias("k"), unseen)
+    moments = moments.join(sizes, "scan_idx")
+    a = dictionary.where(real).select("scan_idx", "apex_mz", F.col("id").alias("a"), F.col("abundance").alias("x"))
+    b = dictionary.where(real).select("scan_idx", "apex_mz", F.col("id").alias("b"), F.col("abundance").alias("y"))
     shared = a.join(b, ["scan_idx", "apex_mz"]).where("a < b").groupBy("scan_idx", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("both"))
-    side = lambda name: moments.select("scan_idx", F.col("id").alias(name), F.col("s").alias(f"s{name}"), F.col("q").alias(f"q{name}"), F.col("k").alias(f"k{name}"))
-    full = shared.join(side("a"), ["scan_idx", "a"]).join(side("b"), ["scan_idx", "b"]).join(sizes, "scan_idx")
+    # r is at most the product of two candidates' parts, if they share the row at 0 alone.
+    part = F.sqrt(F.col("n")) * F.col("u") / F.sqrt(F.col("n") * F.col("q") - F.col("s") * F.col("s"))
+    parts = moments.where((F.col("u") > 0) & (F.col("n") * F.col("q") > F.col("s") * F.col("s"))).select("scan_idx", "id", part.alias("part"))
+    most = parts.groupBy("scan_idx").agg(F.max("part").alias("most"))
+    large = parts.join(most, "scan_idx").where(F.col("part") * F.col("most") >= threshold * (1 - 1e-9)).select("scan_idx", "id")
+    alone = large.withColumnRenamed("id", "a").join(large.withColumnRenamed("id", "b"), "scan_idx").where("a < b").select("scan_idx", "a", "b", F.lit(0.0).alias("xy"), F.lit(0).cast("long").alias("both"))
+    pairs = shared.union(alone).groupBy("scan_idx", "a", "b").agg(F.sum("xy").alias("xy"), F.sum("both").alias("both"))
+    side = lambda name: moments.select("scan_idx", F.col("id").alias(name), *(F.col(c).alias(f"{c}{name}") for c in "squk"))
+    full = pairs.join(side("a"), ["scan_idx", "a"]).join(side("b"), ["scan_idx", "b"]).join(sizes, "scan_idx")
+    full = full.withColumn("xy", F.col("xy") + F.col("ua") * F.col("ub")).withColumn("both", F.col("both") + ((F.col("ua") > 0) & (F.col("ub") > 0)).cast("long"))
     top = F.col("n") * F.col("xy") - F.col("sa") * F.col("sb")
     spread = (F.col("n") * F.col("qa") - F.col("sa") * F.col("sa")) * (F.col("n") * F.col("qb") - F.col("sb") * F.col("sb"))
     r = F.when(spread > 0, top / F.sqrt(spread))
@@ -89,24 +103,26 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     return both.groupBy("scan_idx", "id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
-def components(pairs: DataFrame, group: str = "scan_idx", most_rounds: int = 50) -> DataFrame:
-    """``(group, id, component)``: the smallest id that links reach, by rounds of least neighbours.
+def components(pairs: DataFrame, group: str = "scan_idx") -> DataFrame:
+    """``(group, id, component)``: the smallest id that links reach.
 
-    Each round also jumps to the label of the label, so chains shorten by half. Rounds are
-    written to the shared folder, which cuts the lineage.
+    Links never leave their scan, and a scan's are at most some for each of its candidates: one pass
+    over them, by scan.
     """
-    edges = pairs.select(group, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(group, "b", "a")).distinct()
-    edges = checkpointed(edges)
-    least = edges.groupBy(group, "x").agg(F.min("y").alias("m"))
-    label = checkpointed(least.select(group, F.col("x").alias("id"), F.least("x", "m").alias("component")))
-    for _ in range(most_rounds):
-        near = edges.join(label.select(group, F.col("id").alias("y"), "component"), [group, "y"]).groupBy(group, F.col("x").alias("id")).agg(F.min("component").alias("n"))
-        jump = label.select(group, F.col("id").alias("component"), F.col("component").alias("j"))
-        new = label.join(near, [group, "id"]).join(jump, [group, "component"], "left").select(group, "id", F.least("component", "n", "j").alias("component"))
-        new = checkpointed(new)
-        changed = new.join(label.withColumnRenamed("component", "old"), [group, "id"]).where("component <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
 
+    def label(t: pa.Table) -> pa.Table:
+        ids, place = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        a, b = place[: t.num_rows], place[t.num_rows :]
+        least, before = np.arange(len(ids)), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            low = np.minimum(least[a], least[b])
+            for side in (a, b):
+                np.minimum.at(least, side, low)
+                np.minimum.at(least, before[side], low)
+            least = least[least]
+        return pa.table({group: pa.array([t.column(group)[0].as_py()] * len(ids), t.schema.field(group).type), "id": ids, "component": ids[least]})
+
+    kind = pairs.schema[group].dataType.simpleString()
+    rows = pairs.select(group, F.col("a").cast("long"), F.col("b").cast("long"))
+    return rows.groupBy(group).applyInArrow(label, f"`{group}` {kind}, id long, component long")

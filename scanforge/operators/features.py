@@ -11,18 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.operators.aggregates import class_weights
+from scanforge.operators.joins import band_join
 from scanforge.operators.reshape import clip_range, mask_range, min_max, pad_after, pad_both, z_score
 from scanforge.operators.windows import top_n, top_with_ties
 
 
-def dense_series(activation: DataFrame, scans: DataFrame, reference: DataFrame) -> DataFrame:
+def dense_series(activation: DataFrame, scans: DataFrame, reference: DataFrame, width: float = 2.0) -> DataFrame:
     """``(id, values)``: each candidate's activations over the scans of its search range, zeros included.
 
     Also ``first_scan``, the first scan of the range, against which peaks are placed.
+    ``width``: the usual length of a search range.
     """
-    grid = reference.select("id", "RT_search_left", "RT_search_right").join(
-        F.broadcast(scans.select("scan_idx", "starttime")), (F.col("starttime") >= F.col("RT_search_left")) & (F.col("starttime") <= F.col("RT_search_right"))
-    )
+    grid = band_join(scans.select("scan_idx", "starttime"), reference.select("id", "RT_search_left", "RT_search_right"), "starttime", "RT_search_left", "RT_search_right", width)
     full = grid.join(activation.select("id", "scan_idx", "activation"), ["id", "scan_idx"], "left")
     ordered = F.array_sort(F.collect_list(F.struct("scan_idx", F.coalesce("activation", F.lit(0.0)).alias("v"))))
     return full.groupBy("id").agg(F.min("scan_idx").alias("first_scan"), F.transform(ordered, lambda x: x["v"]).alias("values"))
@@ -70,10 +70,17 @@ def grouped_split(df: DataFrame, key: str, test: float = 0.2, val: float = 0.2,
 
 
 def balanced_sample(df: DataFrame, label: str, seed: int = 0) -> DataFrame:
-    """Rows of the larger class sampled down, in expectation, to the smaller one."""
-    counts = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    least = min(counts.values(), default=0)
-    return df.sampleBy(label, {k: least / n for k, n in counts.items()}, seed)
+    """Rows of larger classes sampled down, in expectation, to the smallest one; rows without a class go."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.min("_n").alias("_least"))
+    joined = df.join(counts, label).crossJoin(F.broadcast(least))
+    return joined.where(F.rand(seed) * F.col("_n") < F.col("_least")).select(df.columns)
+
+
+def stacked_features(sequences: DataFrame, *columns: str, out: str = "features", length: str = "sequence") -> DataFrame:
+    """``out``: the array ``length`` as one channel, and each further column repeated as often, as another."""
+    repeated = (F.transform(length, (lambda c: lambda x: F.col(c).cast("double"))(c)) for c in columns)
+    return sequences.withColumn(out, F.array(F.col(length), *repeated))
 
 
 def fit_scorer(df: DataFrame, features: str = "sequence", label: str = "matched", folds: int = 3, grid: list[float] = (0.0, 0.01, 0.1)):

@@ -66,18 +66,28 @@ def asof_two_pass(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 def nearest_scan(df: DataFrame, scans: DataFrame, time_cols: list[str], time: str = "starttime", scan: str = "scan_idx") -> DataFrame:
     """``df`` with ``<column>_scan`` for each time column: the scan whose start time is nearest.
 
-    The scan header becomes one sorted array, broadcast: a run has some thousands of scans.
-    Ties go to the earlier scan.
+    Each scan holds the times from half way after the scan before to half way before the next one,
+    that end included, so ties go to the earlier scan. These ranges meet times in buckets about as long as
+    scans are apart: equi-joins of any size. Of scans of equal time the first is taken. Null times get null.
     """
-    header = scans.agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(scan).alias("s")))).alias("_scans"))
-    out = df.crossJoin(F.broadcast(header))
+    header = scans.where(F.col(time).isNotNull()).groupBy(F.col(time).cast("double").alias("_t")).agg(F.min(scan).alias("_s"))
+    around = Window.orderBy("_t")
+    cells = header.select("_s", ((F.lag("_t").over(around) + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.lead("_t").over(around)) / 2).alias("_hi"), "_t")
+    span = header.agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"))
+    width = F.greatest((F.col("_last") - F.col("_first")) / F.col("_n"), F.lit(1e-9))
+
+    def bucket(t):
+        return F.floor((F.least(F.greatest(t, F.col("_first")), F.col("_last")) - F.col("_first")) / width)
+
+    spread = cells.crossJoin(F.broadcast(span)).withColumn("_b", F.explode(F.sequence(bucket(F.coalesce("_lo", "_first")), bucket(F.coalesce("_hi", "_last")))))
+    spread = spread.select("_b", "_s", "_lo", "_hi")
+    out = df.crossJoin(F.broadcast(span))
     for c in time_cols:
-        out = out.withColumn(f"{c}_scan", F.when(F.col(c).isNotNull(), F.array_min(_gaps(c))["s"]))
-    return out.drop("_scans")
-
-
-def _gaps(column: str) -> Column:
-    return F.transform("_scans", lambda x: F.struct(F.abs(x["t"] - F.col(column)).alias("gap"), x["t"].alias("t"), x["s"].alias("s")))
+        cell = spread.select(*(F.col(x).alias(f"{x}_cell") for x in ("_b", "_s", "_lo", "_hi")))
+        inside = (F.col("_lo_cell").isNull() | (F.col(c) > F.col("_lo_cell"))) & (F.col("_hi_cell").isNull() | (F.col(c) <= F.col("_hi_cell")))
+        out = out.withColumn("_b", bucket(F.col(c))).join(cell, (F.col("_b") == F.col("_b_cell")) & inside, "left")
+        out = out.withColumn(f"{c}_scan", F.when(F.col(c).isNotNull(), F.col("_s_cell"))).drop("_b", "_b_cell", "_s_cell", "_lo_cell", "_hi_cell")
+    return out.drop("_first", "_last", "_n")
 
 
 def right_join_indicator(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from scanforge import schemas
 from scanforge.functions import kernels
 from scanforge.operators.joins import nearest_scan
 from scanforge.operators.sets import range_jaccard
-from scanforge.operators.smooth import dense_rows, scan_grid, series_arrays
+from scanforge.operators.smooth import broadcast_grid, dense_rows, series_arrays
 from scanforge.operators.windows import flag_n_smallest
 
 
@@ -21,13 +21,14 @@ def elution_peaks(activation: DataFrame, scans: DataFrame, reference: DataFrame,
     Series are laid out from one scan before their first to one after their last non-zero
     scan, which finds the same peaks as all scans do, as what is left out is flat.
     """
-    series = series_arrays(activation).join(reference.select("id", F.col("RT_search_center").alias("_center")), "id").crossJoin(F.broadcast(scan_grid(scans)))
+    series = series_arrays(activation).join(reference.select("id", F.col("RT_search_center").alias("_center")), "id")
+    header = broadcast_grid(scans)
     kinds = pa.schema([(f.name, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.typeName()]) for f in schemas.ELUTION_PEAKS])
 
     def find(batches):
         for b in batches:
             rows = {n: [] for n in schemas.ELUTION_PEAKS.names}
-            for (i, grid, times, place, act), centre in zip(dense_rows(b), b.column("_center").to_pylist(), strict=True):
+            for (i, grid, times, place, act), centre in zip(dense_rows(b, *header.value), b.column("_center").to_pylist(), strict=True):
                 if not len(place):
                     continue
                 low, high = max(int(place.min()) - 1, 0), min(int(place.max()) + 1, len(grid) - 1)

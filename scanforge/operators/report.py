@@ -63,3 +63,49 @@ def pattern_window(scans: DataFrame, scan: int, low: float, high: float) -> Data
     """A spectrum's points strictly within an m/z range."""
     points = scans.where(F.col("scan_idx") == scan).select(F.inline(F.arrays_zip("mzarray", "intarray")))
     return points.where((F.col("mzarray") > low) & (F.col("mzarray") < high))
+
+
+def log_columns(df: DataFrame, columns: list[str], base: str = "log10", add: float = 0.0) -> DataFrame:
+    """``df`` with ``<base>_<column>`` of each column plus ``add``; null where that is not above 0. base: log10, log2 or log."""
+    f = {"log10": F.log10, "log2": F.log2, "log": F.log}[base]
+    return df.withColumns({f"{base}_{c}": F.when(F.col(c) + add > 0, f(F.col(c) + add)) for c in columns})
+
+
+def measures_side_by_side(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """``(key, <name>...)``: one measure from several analyses, keys of any of them."""
+    named = [df.groupBy(key).agg(F.sum(value).alias(name)) for name, df in tables.items()]
+    out = named[0]
+    for more in named[1:]:
+        out = out.join(more, key, "full")
+    return out
+
+
+def true_and_predicted(df: DataFrame, truth: str, predicted: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Points with their error and whether it is within ``tolerance``; and how many are, with the line of one on the other."""
+    points = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).withColumn("error", F.col(predicted) - F.col(truth))
+    points = points.withColumn("within", F.abs("error") <= tolerance)
+    summary = points.agg(F.count("*").alias("n"), F.avg(F.col("within").cast("double")).alias("share_within"), F.corr(truth, predicted).alias("pearson"), F.avg(F.abs("error")).alias("mae"))
+    return points, summary
+
+
+def score_distribution(df: DataFrame, score: str, truth: str, bins: int = 20) -> DataFrame:
+    """Rows by class and bin of a score from 0 to 1, the last bin with its end, and their share of the class."""
+    found = df.where(F.col(score).isNotNull()).groupBy(F.col(truth).alias("truth"), F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    total = found.groupBy("truth").agg(F.sum("n").alias("_total"))
+    joined = found.alias("f").join(total.alias("t"), F.col("f.truth").eqNullSafe(F.col("t.truth")))
+    return joined.select("f.truth", "bin", "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def activation_and_score(activation: DataFrame, peaks: DataFrame, candidate: int, score: str = "pred_score") -> DataFrame:
+    """One candidate's profile with the score of the peak that each scan lies in, the best where peaks meet."""
+    own = activation.where(F.col("id") == candidate)
+    found = peaks.where(F.col("id") == candidate).select(F.col("id").alias("_id"), "start_scan", "end_scan", F.col(score).alias("_score"))
+    inside = (F.col("id") == F.col("_id")) & (F.col("scan_idx") >= F.col("start_scan")) & (F.col("scan_idx") <= F.col("end_scan"))
+    return own.join(found, inside, "left").groupBy("id", "scan_idx", "starttime", "activation").agg(F.max("_score").alias(score))
+
+
+def isotope_comparison(dictionary: DataFrame, observed: DataFrame, activation: DataFrame, scan: int) -> DataFrame:
+    """One spectrum's peaks with what each active candidate explains of them."""
+    own = dictionary.where(F.col("scan_idx") == scan).join(activation.where("activation > 0").select("scan_idx", "id", "activation"), ["scan_idx", "id"])
+    parts = own.select("scan_idx", "apex_mz", "id", (F.col("abundance") * F.col("activation")).alias("explained"))
+    return observed.where(F.col("scan_idx") == scan).join(parts, ["scan_idx", "apex_mz"], "left").select("scan_idx", "apex_mz", "intensity", "id", "explained")

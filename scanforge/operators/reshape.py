@@ -73,3 +73,13 @@ def min_max(values: Column) -> Column:
         return F.transform(values, lambda x: F.coalesce(F.try_divide(x - b["low"], b["high"] - b["low"]), F.lit(0.0)))
 
     return _bound(F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high")), scale)
+
+
+def columns_at(df: DataFrame, places: list[int]) -> DataFrame:
+    """The columns at the given places, from 0."""
+    return df.select(*(F.col(f"`{df.columns[i]}`") for i in places))
+
+
+def index_of(values: Column, x: Column) -> Column:
+    """The place of the first element equal to ``x``, from 0; null where there is none."""
+    return F.nullif(F.array_position(values, x), F.lit(0)) - 1

@@ -11,44 +11,54 @@ from scanforge.functions import kernels
 from scanforge.operators.windows import half_gaps
 
 
-def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str = "id", time: str = "starttime", value: str = "activation") -> DataFrame:
+#: Beyond so many bandwidths a Gaussian weight is 0 in double precision.
+REACH = 39.0
+
+
+def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str = "id", time: str = "starttime", value: str = "activation", piece: float = 400.0) -> DataFrame:
     """Series smoothed at their non-zero scans by a normalised Gaussian kernel.
 
     Each weighted term is rounded half to even before it is summed. Series that do not sum to
-    more than 0 over more than 2 non-zero scans stay as they are. A series is one array of
-    a run's scans at most; nothing is joined with itself.
+    more than 0 over more than 2 non-zero scans stay as they are. A series is cut into pieces
+    of ``piece`` bandwidths, each with what lies within reach of it, so that no task
+    holds a whole long series; results are those of the whole.
     """
-    points = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("scan_idx").alias("s"), F.col(value).alias("v"))))
-    series = activation.where(F.col(value) != 0).groupBy(F.col(group).alias("g")).agg(points.alias("a"))
-    series = series.select("g", F.transform("a", lambda x: x["t"]).alias("t"), F.transform("a", lambda x: x["s"]).alias("s"), F.transform("a", lambda x: x["v"]).alias("v"))
     g, s, d = (activation.schema[c].dataType.simpleString() for c in (group, "scan_idx", time))
+    points = activation.where(F.col(value) != 0).select(F.col(group).alias("g"), F.col(time).alias("t"), F.col("scan_idx").alias("s"), F.col(value).cast("double").alias("v"))
+    sums = points.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    smoothed = points.join(sums, "g").withColumn("still", (F.col("n") <= 2) | ~(F.col("total") > 0))
+    number = lambda t: F.floor(t / F.lit(piece * bandwidth))
+    meets = F.sequence(number(F.col("t") - REACH * bandwidth), number(F.col("t") + REACH * bandwidth))
+    cut = smoothed.where("not still").withColumn("own", number(F.col("t").cast("double"))).withColumn("piece", F.explode(meets))
+    own = F.array_sort(F.collect_list(F.struct("t", "s", "v", (F.col("own") == F.col("piece")).alias("mine"))))
+    series = cut.groupBy("g", "piece").agg(own.alias("a")).where(F.exists("a", lambda x: x["mine"]))
+    series = series.select("g", *(F.transform("a", (lambda c: lambda x: x[c])(c)).alias(c) for c in ("t", "s", "v", "mine")))
 
     def smooth(batches):
         for b in batches:
-            values = []
-            for t, v in zip(b.column("t").to_pylist(), b.column("v").to_pylist(), strict=True):
-                values.append(kernels.gaussian(np.array(t, float), np.array(v, float), bandwidth))
-            places = b.column("s")
-            owner = np.repeat(np.arange(b.num_rows), [len(v) for v in values])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("g").take(pa.array(owner)), places.flatten(), b.column("t").flatten(), pa.array(np.concatenate(values) if values else [], pa.float64())], [group, "scan_idx", time, value]
-            )
+            for k in range(b.num_rows):
+                t, places, v, mine = (b.column(c)[k].values for c in ("t", "s", "v", "mine"))
+                at = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
+                new = kernels.gaussian(np.asarray(t, float), np.asarray(v, float), bandwidth, at)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column("g").take(pa.array([k] * len(at))), places.take(take), t.take(take), pa.array(new, pa.float64())], [group, "scan_idx", time, value])
 
-    return series.mapInArrow(smooth, f"`{group}` {g}, scan_idx {s}, `{time}` {d}, `{value}` double")
+    same = smoothed.where("still").select(F.col("g").alias(group), F.col("s").alias("scan_idx"), F.col("t").alias(time), F.col("v").alias(value))
+    return series.mapInArrow(smooth, f"`{group}` {g}, scan_idx {s}, `{time}` {d}, `{value}` double").unionByName(same)
 
 
 def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: float = 3, prominence: float = 10000) -> DataFrame:
     """Series with narrow deep minima repaired; see ``kernels.repair_minima``.
 
-    A minimum may be a missing scan, so each series is laid out over the scans of the run, which the header, broadcast once, names.
+    A minimum may be a missing scan, so each series is laid out over the scans of the run, whose header is broadcast once.
     """
-    header = scan_grid(scans)
-    series = series_arrays(activation).crossJoin(F.broadcast(header))
+    header = broadcast_grid(scans)
+    series = series_arrays(activation)
 
     def repair(batches):
         for b in batches:
             ids, scan, time, value = [], [], [], []
-            for i, grid, times, place, act in dense_rows(b):
+            for i, grid, times, place, act in dense_rows(b, *header.value):
                 dense = np.zeros(len(grid))
                 dense[place] = act
                 fixed = kernels.repair_minima(dense, minima_width, prominence) if (dense != 0).sum() > 2 and dense.sum() > 0 else dense
@@ -64,10 +74,10 @@ def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: f
     return series.mapInArrow(repair, "id long, scan_idx long, starttime double, activation double")
 
 
-def scan_grid(scans: DataFrame) -> DataFrame:
-    """One row with the scans of a run and their times, in order of scan."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("scan_idx").cast("long").alias("s"), F.col("starttime").cast("double").alias("t"))))
-    return scans.agg(pairs.alias("p")).select(F.transform("p", lambda x: x["s"]).alias("_s"), F.transform("p", lambda x: x["t"]).alias("_t"))
+def broadcast_grid(scans: DataFrame):
+    """The scans of a run and their times, in order of scan, for all tasks: 16 bytes a scan, whatever the spectra hold."""
+    header = scans.select(F.col("scan_idx").cast("long").alias("s"), F.col("starttime").cast("double").alias("t")).toArrow().sort_by("s")
+    return scans.sparkSession.sparkContext.broadcast((header.column("s").to_numpy(), header.column("t").to_numpy()))
 
 
 def series_arrays(activation: DataFrame) -> DataFrame:
@@ -80,11 +90,11 @@ def series_arrays(activation: DataFrame) -> DataFrame:
     return own.select("id", F.transform("p", lambda x: x["s"]).alias("_as"), F.transform("p", lambda x: x["v"]).alias("_av"))
 
 
-def dense_rows(batch: pa.RecordBatch):
+def dense_rows(batch: pa.RecordBatch, grid: np.ndarray, times: np.ndarray):
     """For each row: id, scans, times, and the places and values of its activations among the scans."""
-    lists = [batch.column(c) for c in ("_s", "_t", "_as", "_av")]
+    lists = [batch.column(c) for c in ("_as", "_av")]
     for k, i in enumerate(batch.column("id").to_pylist()):
-        grid, times, scan, act = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
+        scan, act = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
         place = np.minimum(np.searchsorted(grid, scan), max(len(grid) - 1, 0))
         known = grid[place] == scan if len(grid) else np.zeros(len(scan), bool)
         yield i, grid, times, place[known], act[known]

@@ -38,13 +38,7 @@ def lasso_activation(dictionary: DataFrame, observed: DataFrame, alphas: list[fl
     rows = dictionary.join(observed, ["scan_idx", "apex_mz"], "full").select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
 
     def solve(t: pa.Table) -> pa.Table:
-        place, row = np.unique(t.column("apex_mz").to_numpy(), return_inverse=True)
-        ids = t.column("id").to_pandas()
-        known = np.flatnonzero(ids.notna())
-        names, column = np.unique(ids.to_numpy()[known].astype(np.int64), return_inverse=True)
-        y, d = np.zeros(len(place)), np.zeros((len(place), len(names)))
-        y[row] = t.column("intensity").to_numpy()
-        d[row[known], column] = t.column("abundance").to_numpy()[known]
+        y, d, names = _matrix(t)
         if preprocessing == "sqrt":
             y, d = np.sqrt(y), np.sqrt(d)
         alpha, a, score = kernels.choose_alpha(y, d, list(alphas), algorithm, loss, criteria, metric) if len(names) else (0.0, np.zeros(0), float("nan"))
@@ -57,6 +51,34 @@ def lasso_activation(dictionary: DataFrame, observed: DataFrame, alphas: list[fl
     return rows.groupBy("scan_idx").applyInArrow(solve, "scan_idx long, id long, activation double, alpha double, score double")
 
 
+def cross_validated_alpha(dictionary: DataFrame, observed: DataFrame, alphas: list[float], folds: int = 10, algorithm: str = "lasso_cd", seed: int = 0) -> DataFrame:
+    """``(scan_idx, alpha, error, best)``: each alpha's mean squared error over held-out rows of a scan; ``best`` has the least.
+
+    Rows of a scan are dealt over folds in order of their place, by a permutation that ``seed`` sets.
+    """
+    rows = dictionary.join(observed, ["scan_idx", "apex_mz"], "full").select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+
+    def validate(t: pa.Table) -> pa.Table:
+        y, d, _ = _matrix(t)
+        best, errors = kernels.cross_validate(y, d, list(alphas), folds, algorithm, seed)
+        n = len(alphas)
+        return pa.table({"scan_idx": pa.array([t.column("scan_idx")[0].as_py()] * n, pa.int64()), "alpha": pa.array(list(alphas), pa.float64()), "error": pa.array(errors, pa.float64()), "best": [x == best for x in alphas]})
+
+    return rows.groupBy("scan_idx").applyInArrow(validate, "scan_idx long, alpha double, error double, best boolean")
+
+
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A scan's observation, its dictionary matrix, and the candidates of the columns."""
+    place, row = np.unique(t.column("apex_mz").to_numpy(), return_inverse=True)
+    ids = t.column("id").to_pandas()
+    known = np.flatnonzero(ids.notna())
+    names, column = np.unique(ids.to_numpy()[known].astype(np.int64), return_inverse=True)
+    y, d = np.zeros(len(place)), np.zeros((len(place), len(names)))
+    y[row] = t.column("intensity").to_numpy()
+    d[row[known], column] = t.column("abundance").to_numpy()[known]
+    return y, d, names
+
+
 def reconstruct(dictionary: DataFrame, activation: DataFrame, observed: DataFrame) -> DataFrame:
     """``(scan_idx, apex_mz, intensity, fit)`` over all rows that are observed or fitted."""
     fit = dictionary.join(activation.select("scan_idx", "id", "activation"), ["scan_idx", "id"]).groupBy("scan_idx", "apex_mz").agg(F.sum(F.col("abundance") * F.col("activation")).alias("fit"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanforge.session import checkpointed
+
 
 def _over(group: list[str], *order: Column | str):
     w = Window.partitionBy(*group)
@@ -55,13 +57,15 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranked, df[value].eqNullSafe(ranked["_v"])).drop("_v")
 
 
-def running_sum(df: DataFrame, value: str, out: str, *order: Column, slices: int = 64) -> DataFrame:
+def running_sum(df: DataFrame, value: str, out: str, *order: Column) -> DataFrame:
     """``out``: sum of ``value`` over the rows up to this one in ``order``, which must have no ties.
 
-    Rows are range-partitioned; each partition sums its own and adds the totals of the
-    partitions before, of which there are ``slices`` at most.
+    Rows are range-partitioned over as many tasks as a shuffle has, and written with the number
+    of their range, so that it stays whatever is computed again; each range sums its own rows
+    and adds the totals of the ranges before, one row for each.
     """
-    parted = df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id())
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = checkpointed(df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id()))
     totals = parted.groupBy("_part").agg(F.sum(value).alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -113,6 +117,17 @@ def collinear_rank(df: DataFrame, group: list[str], value: str, out: str, *ties:
     return df.withColumn(out, F.when(n == 1, 1.0).otherwise(score))
 
 
+def rows_between(df: DataFrame, first: int, last: int, *order: Column) -> DataFrame:
+    """Rows number ``first`` to before ``last``, from 0, in ``order``, which must have no ties."""
+    ranked = running_sum(df.withColumn("_one", F.lit(1)), "_one", "_rank", *order)
+    return ranked.where((F.col("_rank") > first) & (F.col("_rank") <= last)).drop("_one", "_rank")
+
+
+def path_change(df: DataFrame, group: list[str], order: str, value: str, out: str = "change") -> DataFrame:
+    """``out``: by how much the value falls from the row before in its group; null for the first."""
+    return df.withColumn(out, F.lag(value).over(_over(group, order)) - F.col(value))
+
+
 def hash_split(df: DataFrame, key: str, test: float, val: float, seed: int = 0, out: str = "split") -> DataFrame:
     """``out``: train, val or test, the same for all rows of a key, by an arithmetic hash of it."""
     u = F.pmod((F.col(key) + seed) * F.lit(2654435761), F.lit(1000)) / 1000.0

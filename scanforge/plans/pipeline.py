@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -29,6 +30,7 @@ class Config:
     opt_algo: str = "threshold"
     alphas: list[float] = field(default_factory=list)
     corr_thres: float = 0.95
+    PS_cos_dist: bool = True
     notes: str = ""
 
     def __post_init__(self):
@@ -46,7 +48,19 @@ class Config:
 
     @property
     def name(self) -> str:
-        return f"rt_{self.rt_ref}_{self.rt_tol:g}_mis_{self.iso_ab_mis_thres:g}_{self.opt_algo}" + (f"_{self.notes}" if self.notes else "")
+        """The settings that matter most, and a digest of all of them but ``out``, inputs included."""
+        digest = hashlib.sha256(json.dumps({k: v for k, v in asdict(self).items() if k != "out"}, sort_keys=True).encode()).hexdigest()[:12]
+        stem = self.scans.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        parts = [stem, f"rt_{self.rt_ref}_{self.rt_tol:g}", f"mis_{self.iso_ab_mis_thres:g}", self.opt_algo, self.alpha_criteria, *(["PScosdist"] if self.PS_cos_dist else []), self.notes, digest]
+        return "_".join(p for p in parts if p)
+
+    @property
+    def folder(self) -> str:
+        return f"{self.out}/{self.name}"
+
+    def table(self, name: str) -> str:
+        """Where a table of this job lies."""
+        return f"{self.folder}/{name}"
 
     def effective(self) -> str:
         return json.dumps(asdict(self), indent=2, sort_keys=True)
@@ -71,9 +85,12 @@ def process_scans(scans: DataFrame, reference: DataFrame, config: Config) -> dic
     else:
         act = solve.lasso_activation(design, observed, config.alphas, config.opt_algo, criteria=config.alpha_criteria).drop("score")
     fit = solve.reconstruct(design, act, observed)
-    distance = solve.leave_one_out(design, act, fit)
     times = scans.select("scan_idx", "starttime")
-    activation = act.join(distance, ["scan_idx", "id"], "left").join(F.broadcast(times), "scan_idx").select("id", "scan_idx", "starttime", "activation", "cos_dist")
+    if config.PS_cos_dist:
+        act = act.join(solve.leave_one_out(design, act, fit), ["scan_idx", "id"], "left")
+    else:
+        act = act.withColumn("cos_dist", F.lit(None).cast("double"))
+    activation = act.join(times, "scan_idx").select("id", "scan_idx", "starttime", "activation", "cos_dist")
     pairs = dictionary.feature_correlation(design, observed.groupBy("scan_idx").agg(F.count("*").alias("n")), config.corr_thres)
     near = dictionary.neighbours(pairs)
     by_time = candidates.groupBy("scan_idx").agg(F.array_sort(F.collect_list("id")).alias("candidates_by_rt"))
@@ -98,7 +115,7 @@ def quantify(activation: DataFrame, scans: DataFrame, reference: DataFrame, n_pe
 def run_pipeline(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """Runs all stages from the configured tables (parquet) and writes each under ``out``; what is there is read, not made."""
     scans, experiment = spark.read.schema(schemas.SCANS).parquet(config.scans), spark.read.parquet(config.experiment)
-    root = f"{config.out}/{config.name}"
+    root = config.folder
     spark.createDataFrame([(config.effective(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/config")
     reference = files.cached(spark, f"{root}/reference", lambda: with_search_range(spark.read.parquet(config.reference), config))
     steps = process_scans(scans, reference, config)
@@ -110,3 +127,18 @@ def run_pipeline(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     out["target_decoy"] = files.cached(spark, f"{root}/target_decoy", comparison.target_decoy)
     out["overlap"] = files.cached(spark, f"{root}/overlap", comparison.overlap)
     return out
+
+
+def run_batch(spark: SparkSession, configs: list[Config]) -> dict[str, dict[str, DataFrame]]:
+    """Several jobs one after the other, by the name of each."""
+    return {c.name: run_pipeline(spark, c) for c in configs}
+
+
+def extract_peaks(spark: SparkSession, config: Config, n_peaks: int = 1) -> dict[str, DataFrame]:
+    """Peaks of a job whose activations are there already, with their match to the measured ones."""
+    scans, experiment = spark.read.schema(schemas.SCANS).parquet(config.scans), spark.read.parquet(config.experiment)
+    reference, activation = spark.read.parquet(config.table("reference")), spark.read.parquet(config.table("activation"))
+    repaired = smooth.local_minima_smooth(activation, scans)
+    found = files.cached(spark, config.table(f"peaks_{n_peaks}"), lambda: peaks.elution_peaks(repaired, scans, reference, n_peaks))
+    merged = compare.Comparison(reference, experiment, [peaks.peak_area(found)]).with_intensity()
+    return {"peaks": found, "matched": files.cached(spark, config.table(f"matched_peaks_{n_peaks}"), lambda: peaks.match_peaks(found, merged, n_peaks))}

@@ -182,9 +182,10 @@ def semi_join(spark, sf):
     return t(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, sf):
-    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order."""
+    o = t(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -293,9 +294,9 @@ def nunique_group(spark, sf):
     return t(spark, sf, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderpriority").alias("n"))
 
 
-@query("SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) = 1")
+@query("SELECT user_id, event_type, floor(value)::BIGINT AS level FROM events GROUP BY ALL HAVING count(*) = 1")
 def having_count_one(spark, sf):
-    return t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    return t(spark, sf, "events").groupBy("user_id", "event_type", F.floor("value").alias("level")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
 @query("SELECT o_custkey FROM orders GROUP BY 1 HAVING sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) = 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,32 @@ def session(name: str = "scanforge", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN_DIR: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, and an error on a
+    cluster, whose executors would not see it."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
+    return f"file://{_OWN_DIR[0]}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint in ``spark.checkpoint.dir``, or in a temporary folder where that is unset."""
+    """``df`` read back from a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None:
-            named = tempfile.mkdtemp(prefix="spark-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

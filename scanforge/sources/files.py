@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,10 @@ def write_fasta(df: DataFrame, path: str, id_col: str, sequence_col: str) -> Non
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, sequence)``; a sequence may run over several lines."""
+    """``(id, sequence)``; a sequence may run over several lines. Only ``>`` at the start of a line starts a record."""
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    rows = rows.select(F.regexp_replace("value", r"\A>", "").alias("value")).where(F.regexp_replace("value", r"\s", "") != "")
     parts = F.split(F.col("value"), "\n", 2)
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
     return rows.select(F.trim(F.get(parts, F.lit(0))).alias("id"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
 
 
@@ -127,6 +128,33 @@ def peptide_records(df: DataFrame, sequence_col: str = "Modified sequence", time
     return rows.groupBy("seq", "modifications").agg(F.median("t").alias("tr"))
 
 
+def write_dense(df: DataFrame, path: str, row: str, col: str, value: str, columns: list) -> None:
+    """A dense matrix as one row for each ``row``, with its values in order of ``columns`` as an array, zeros included."""
+    values = F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col(value).cast("double"))))
+    out = df.groupBy(F.col(row).alias("row")).agg(values.alias("m")).select("row", F.array(*(F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) for c in columns)).alias("values"))
+    out.write.mode("overwrite").parquet(path)
+
+
+def read_dense(spark: SparkSession, path: str, columns: list) -> DataFrame:
+    """``(row, col, value)`` of every cell of a dense matrix."""
+    names = F.array(*(F.lit(c) for c in columns))
+    cells = F.explode(F.arrays_zip(names.alias("col"), F.col("values").alias("value")))
+    return spark.read.parquet(path).select("row", cells.alias("c")).select("row", "c.col", "c.value")
+
+
+def path_stem(path) -> Column:
+    """A path's last part without its extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def task_parameters(grid: DataFrame, task: int, id_col: str = "ArrayTaskID") -> dict:
+    """The row of a parameter grid with a task's number."""
+    found = grid.where(F.col(id_col) == task).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} rows for task {task}")
+    return found[0].asDict()
+
+
 def parameter_grid(spark: SparkSession, id_col: str = "ArrayTaskID", **values: list) -> DataFrame:
     """All combinations of the given values, the last varying fastest, numbered from 1."""
     rows = [(i + 1, *combination) for i, combination in enumerate(itertools.product(*values.values()))]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def test_windows(spark):
     series = spark.createDataFrame([(0.0, 2.0), (1.0, 4.0), (3.0, 0.0)], "t double, v double")
     assert [r[2] for r in rows(windows.half_gaps(series, "t", "w"), "t")] == [0.5, 1.5, 1.0]
     big = spark.range(500).selectExpr("id % 37 as x", "1 as one", "id")
-    total = windows.running_sum(big, "one", "s", F.col("x"), F.col("id"), slices=5)
+    total = windows.running_sum(big, "one", "s", F.col("x"), F.col("id"))
     assert sorted(r.s for r in total.collect()) == list(range(1, 501))
 
 
@@ -130,3 +131,70 @@ def test_sets_and_aggregates(spark):
     labels = spark.createDataFrame([(1,), (0,), (0,), (0,), (None,)], "q int")
     w = aggregates.class_weights(labels, "q").first()
     assert (w.pos, w.neg, w.weight_1) == (1, 3, 2.0)
+
+
+def test_nearest_scan_against_brute_force(spark):
+    rng = random.Random(5)
+    scans = sorted(rng.choice([rng.uniform(0, 5), rng.uniform(40, 42), float(rng.randrange(9))]) for _ in range(60))
+    scans = [(i, x) for i, x in enumerate(dict.fromkeys(scans))]
+    times = [rng.uniform(-3, 50) for _ in range(150)] + [x for _, x in scans] + [(a + b) / 2 for (_, a), (_, b) in zip(scans, scans[1:], strict=False)]
+    df = spark.createDataFrame([(i, x, None if i % 9 == 0 else x + 1) for i, x in enumerate(times)], "i int, a double, b double")
+    header = spark.createDataFrame(scans, "scan_idx long, starttime double")
+    near = lambda x: None if x is None else min(scans, key=lambda s: (abs(s[1] - x), s[1]))[0]
+    got = joins.nearest_scan(df, header, ["a", "b"]).collect()
+    assert len(got) == len(times)
+    for r in got:
+        for x, s in ((r.a, r.a_scan), (r.b, r.b_scan)):
+            assert s == near(x) or abs(abs(dict(scans)[s] - x) - abs(dict(scans)[near(x)] - x)) < 1e-12
+
+
+def test_gaussian_pieces_equal_the_whole(spark):
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.uniform(0, 400, 300))
+    v = rng.uniform(0, 1e5, 300)
+    df = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, v, strict=True))], "id long, scan_idx long, starttime double, activation double")
+    w = np.exp(-((t[None, :] - t[:, None]) ** 2) / 2)
+    want = np.rint(v[None, :] * w / w.sum(axis=1, keepdims=True)).sum(axis=1)
+    got = {r.scan_idx: r.activation for r in smooth.gaussian_smooth(df, 1.0, piece=50.0).collect()}
+    assert [got[i] for i in range(300)] == pytest.approx(want.tolist(), abs=2)
+
+
+def test_correlation_with_a_shared_row_at_zero(spark):
+    rng = np.random.default_rng(4)
+    n, ids = 12, range(9)
+    m = np.where(rng.random((9, n)) < 0.3, rng.random((9, n)), 0.0)
+    m[:, 0] = rng.random(9) * np.where(np.arange(9) < 4, 8, 1)
+    rows_ = [(0, float(k), i, float(m[i, k])) for i in ids for k in range(n) if m[i, k] > 0]
+    d = spark.createDataFrame(rows_, "scan_idx long, apex_mz double, id long, abundance double")
+    sizes = spark.createDataFrame([(0, n)], "scan_idx long, n long")
+    for threshold in (0.2, 0.9):
+        got = {(r.a, r.b): r for r in dictionary.feature_correlation(d, sizes, threshold).collect()}
+        r = np.corrcoef(m)
+        assert got.keys() == {(a, b) for a in ids for b in ids if a < b and r[a, b] >= threshold}
+        for (a, b), row in got.items():
+            assert row.r == pytest.approx(r[a, b]) and row.jaccard == pytest.approx(((m[a] > 0) & (m[b] > 0)).sum() / ((m[a] > 0) | (m[b] > 0)).sum())
+
+
+def test_balanced_sample_and_held_out_alpha(spark):
+    df = spark.range(4000).selectExpr("id", "if(id % 10 = 0, 1, 0) as y")
+    n = {r.y: r["count"] for r in features.balanced_sample(df, "y", 3).groupBy("y").count().collect()}
+    assert n[1] == 400 and 300 < n[0] < 500
+    rng = np.random.default_rng(0)
+    m = rng.random((40, 2))
+    y = m @ np.array([2.0, 1.0])
+    d = spark.createDataFrame([(7, float(k), i, float(m[k, i])) for k in range(40) for i in range(2)], "scan_idx long, apex_mz double, id long, abundance double")
+    o = spark.createDataFrame([(7, float(k), float(y[k])) for k in range(40)], "scan_idx long, apex_mz double, intensity double")
+    got = solve.cross_validated_alpha(d, o, [0.0, 50.0], 5).orderBy("alpha").collect()
+    assert [r.best for r in got] == [True, False] and got[0].error < 1e-6 < got[1].error
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from scanforge import session
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(sparkContext=far, conf=nothing))
+    assert session.shared_folder(spark).startswith("file:")

@@ -38,9 +38,13 @@ def test_fasta_tables_grid_and_cache(spark, tmp_path):
     df = spark.createDataFrame([("p1", "ACDK"), ("p2", "EFR")], "id string, s string")
     files.write_fasta(df, str(tmp_path / "f"), "id", "s")
     assert sorted(map(tuple, files.read_fasta(spark, str(tmp_path / "f")).collect())) == [("p1", "ACDK"), ("p2", "EFR")]
+    odd = spark.createDataFrame([("a->b", "AC"), ("x>", "G")], "id string, s string")
+    files.write_fasta(odd.coalesce(1), str(tmp_path / "odd"), "id", "s")
+    assert sorted(map(tuple, files.read_fasta(spark, str(tmp_path / "odd")).collect())) == [("a->b", "AC"), ("x>", "G")]
     files.write_table(df, str(tmp_path / "t"), ["id"])
     assert files.read_table(spark, str(tmp_path / "t")).count() == 2
     grid = files.parameter_grid(spark, rt_tol=[1.0, 2.0], mz_tol=[5.0, 6.0, 7.0])
+    assert files.task_parameters(grid, 4)["mz_tol"] == 5.0
     assert grid.count() == 6 and grid.where("ArrayTaskID = 4").first()["rt_tol"] == 2.0
     made = []
     for _ in range(2):
@@ -103,6 +107,25 @@ def test_pipeline_end_to_end(spark, tmp_path):
         Comparison(ref, exp)
 
 
+def test_other_settings_give_other_results(spark, tmp_path):
+    """A second run in the same folder with other alphas, or another input, does not read the first one's tables."""
+    scans, ref, exp = small_run(spark)
+    louder = scans.withColumn("intarray", F.transform("intarray", lambda x: x * 3))
+    for name, df in (("scans", scans), ("louder", louder), ("ref", ref), ("exp", exp)):
+        df.write.parquet(str(tmp_path / name))
+    base = {"reference": str(tmp_path / "ref"), "experiment": str(tmp_path / "exp"), "out": str(tmp_path / "out"), "rt_tol": 0.8, "opt_algo": "lasso_cd", "alpha_criteria": "min"}
+    total = {}
+    for name, alphas in (("scans", [0.1]), ("scans", [0.1, 5.0]), ("louder", [0.1])):
+        config = pipeline.Config(scans=str(tmp_path / name), alphas=alphas, **base)
+        total[config.name] = pipeline.run_pipeline(spark, config)["activation"].agg(F.sum("activation")).first()[0]
+    assert len(total) == 3
+    first, _, loud = total.values()
+    assert loud > 2 * first
+    again = pipeline.extract_peaks(spark, config)
+    assert again["peaks"].where("id = 1").count() >= 1 and again["matched"].where("matched").count() == 1
+    assert pipeline.Config(corr_thres=0.9).name != pipeline.Config(corr_thres=0.8).name and pipeline.Config(PS_cos_dist=False).name != pipeline.Config().name
+
+
 def test_stream_equals_batch(spark, tmp_path):
     scans, ref, _ = small_run(spark)
     scans.repartition(3).write.parquet(str(tmp_path / "in"))
