@@ -10,6 +10,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanforge.functions.scalar import key_digest
 from scanforge.operators.aggregates import class_weights
 from scanforge.operators.joins import band_join
 from scanforge.operators.reshape import clip_range, mask_range, min_max, pad_after, pad_both, z_score
@@ -60,7 +61,7 @@ def grouped_split(df: DataFrame, key: str, test: float = 0.2, val: float = 0.2,
     """
     from scanforge.operators.windows import running_sum
 
-    keys = df.select(key).distinct().withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_one", F.lit(1))
+    keys = df.select(key).distinct().withColumn("_h", key_digest(F.col(key), seed)).withColumn("_one", F.lit(1))
     ranked = running_sum(keys, "_one", "_rank", F.col("_h"), F.col(key))
     total = keys.agg(F.count("*").alias("_n"))
     n = F.col("_n")

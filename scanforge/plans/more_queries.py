@@ -374,6 +374,46 @@ def dense_series(spark, sf):
     return found.select("id", "first_scan", F.size("values").cast("long").alias("n"), F.round(weighted, 4).alias("weighted"))
 
 
+@query(
+    """WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || '|3'), c_custkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS c_custkey FROM orders)) SELECT o_orderkey, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.1) THEN 'val' WHEN r > n - floor(n * 0.2) THEN 'test' END AS split
+    FROM orders JOIN k ON c_custkey = o_custkey"""
+)
+def grouped_split(spark, sf):
+    """Orders split by customer: whole customers, in exact numbers."""
+    return features.grouped_split(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 0.2, 0.1, 3).select("o_orderkey", "split")
+
+
+@query("SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR || '|5'), 1, 8))::BIGINT < 1288490188 AS chosen FROM orders")
+def seeded_sample(spark, sf):
+    """A repeatable sample and its complement."""
+    return t(spark, sf, "orders").select("o_orderkey", scalar.deterministic_sample(F.col("o_orderkey"), 0.3, 5).alias("chosen"))
+
+
+@query(
+    """SELECT seq, modifications, median(p_retailprice) AS tr FROM (SELECT p_retailprice, CASE WHEN p_size < 15 THEN 'AMCK' WHEN p_size < 30 THEN 'AMK' ELSE 'GCC' END AS seq,
+    CASE WHEN p_size < 15 THEN '0|Acetyl|2|Oxidation|3|Carbamidomethyl' WHEN p_size < 30 THEN '' ELSE '2|Carbamidomethyl|3|Carbamidomethyl' END AS modifications FROM part) GROUP BY ALL"""
+)
+def peptide_records(spark, sf):
+    """Bare sequences, places of modifications, and median times."""
+    seq = F.when(F.col("p_size") < 15, "_(ac)AM(ox)CK_").when(F.col("p_size") < 30, "_AMK_").otherwise("_GCC_")
+    return files.peptide_records(t(spark, sf, "part").select(seq.alias("s"), "p_retailprice"), "s", "p_retailprice")
+
+
+@query(f"SELECT scan_idx, p::DOUBLE AS apex_mz, round(total, 6) AS intensity FROM {SPECTRUM_PEAKS} UNION ALL SELECT DISTINCT scan_idx, 0, 0 FROM {SPECTRUM_PEAKS}")
+def observations(spark, sf):
+    """What was observed at each peak, and nothing at 0."""
+    e = t(spark, sf, "embeddings").where("embedding is not null")
+    scans = e.select(F.col("vec_id").alias("scan_idx"), F.transform("embedding", lambda v, i: i.cast("double")).alias("mzarray"), F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("intarray"))
+    return dictionary.observations(dictionary.scan_peaks(scans)).withColumn("intensity", F.round("intensity", 6))
+
+
+@query(f"SELECT scan_idx, count(*) AS n, round(avg(total), 6) AS mean, round(stddev(total), 6) AS std FROM {SPECTRUM_PEAKS} GROUP BY 1")
+def spectrum_summary(spark, sf):
+    e = t(spark, sf, "embeddings").where("embedding is not null")
+    scans = e.select(F.col("vec_id").alias("scan_idx"), F.transform("embedding", lambda v, i: i.cast("double")).alias("mzarray"), F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("intarray"))
+    return dictionary.spectrum_summary(dictionary.scan_peaks(scans)).select("scan_idx", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 # --- reports ----------------------------------------------------------------------------------------
 
 
