@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +81,12 @@ def stacked_features(sequences: DataFrame, *columns: str, out: str = "features",
 
 def fit_scorer(df: DataFrame, features: str = "sequence", label: str = "matched", folds: int = 3, grid: list[float] = (0.0, 0.01, 0.1)):
     """A class-weighted logistic model on array features, its regularisation chosen by cross-validation."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
     data = df.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")).withColumn("_v", array_to_vector(features))
     w = class_weights(data, "label").first()
     data = data.withColumn("_w", F.when(F.col("label") == 1, w["weight_1"]).otherwise(w["weight_0"]))
@@ -96,6 +97,8 @@ def fit_scorer(df: DataFrame, features: str = "sequence", label: str = "matched"
 
 def score_peaks(model, df: DataFrame, features: str = "sequence", out: str = "pred_score") -> DataFrame:
     """``df`` with the probability that a peak is the right one."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     scored = model.transform(df.withColumn("_v", array_to_vector(features)))
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
