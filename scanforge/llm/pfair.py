@@ -123,6 +123,17 @@ def epochs(blocks: dict[str, int], weights: dict[str, Fraction], period: int) ->
     return out
 
 
+def _slot_table(plan: list[Epoch]) -> pa.Table:
+    """The slots of one period of each epoch, counted from the first slot of all."""
+    kinds = {"q": pa.string(), **dict.fromkeys(("epoch", "turn", "slot", "release", "deadline"), pa.int64())}
+    parts = []
+    for e, x in enumerate(plan):
+        q, turn, release, deadline = zip(*x.slots, strict=True)
+        times = (np.arange(len(q)), release, deadline)
+        parts.append(pa.table({"q": q, "epoch": np.full(len(q), e), "turn": turn, **{n: np.asarray(v) + x.slot for n, v in zip(("slot", "release", "deadline"), times, strict=True)}}).cast(pa.schema(kinds)))
+    return pa.concat_tables(parts) if parts else pa.schema(kinds).empty_table()
+
+
 def root_weight(chars: int) -> int:
     """The weight of a source unless it is given: the square root of its characters."""
     return math.isqrt(chars) + 1
@@ -143,7 +154,7 @@ def mix_sources(
     source_col: str = "source",
     weights: dict | None = None,
     block_chars: int = 1_000_000,
-    period: int = 4096,
+    period: int = 1024,
     most_sources: int = 256,
     seed: int = 7,
 ) -> DataFrame:
@@ -198,11 +209,7 @@ def mix_sources(
     if any(w <= 0 for w in share.values()):
         raise ValueError("weights must be positive")
     plan = epochs(blocks, share, period)
-    slots = [(q, e, turn, x.slot + at, x.slot + release, x.slot + deadline) for e, x in enumerate(plan) for at, (q, turn, release, deadline) in enumerate(x.slots)]
-    names = ["q", "epoch", "turn", "slot", "release", "deadline"]
-    kinds = [pa.string()] + [pa.int64()] * 5
-    columns = list(zip(*slots, strict=True)) or [()] * 6
-    table = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names))
+    table = spark.createDataFrame(_slot_table(plan))
     # The epoch of a block is the last in which its queue starts at or before it.
     starts = spark.createDataFrame([(q, [e.first[q] for e in plan if q in e.first]) for q in blocks] or [("", [0])], "q string, firsts array<long>")
     block = F.least(F.floor((F.col("start") + F.col("base")) / F.lit(block_chars)), F.col("blocks") - 1)
