@@ -179,7 +179,7 @@ def mix_sources(
     results = ["mix_block", "mix_slot", "mix_release", "mix_deadline"]
     own = [c for c in df.columns if c not in results]
     queues = Queues.of(df, source_col, most_sources)
-    doc = F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("null")).alias("doc")
+    doc = _doc_key(id_col).alias("doc")
     chars = F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long").alias("chars")
     rows = df.select(as_own(df), queues.column(source_key(source_col)).alias("q"), doc, chars)
     light = rows.groupBy("q", "doc").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).withColumn("h", F.xxhash64("doc", F.lit(seed)))
@@ -226,6 +226,16 @@ def mix_sources(
     return mixed.select(*own_columns(own), *results)
 
 
+def _doc_key(id_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("null"))
+
+
+def in_queue_order(df: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+    """Rows in the order in which :func:`mix_sources` queues them: that of their slots, within each source."""
+    by = [F.xxhash64(_doc_key(id_col), F.lit(seed)), _doc_key(id_col)]
+    return df.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+
+
 def in_mixed_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows in order of slot, range-partitioned, so that files read in order follow the mixture."""
     by = [F.col("mix_slot"), F.xxhash64(F.col(id_col)), F.col(id_col)]

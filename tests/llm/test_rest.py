@@ -185,7 +185,7 @@ def test_schedule_keeps_every_source_within_a_block(sources, period):
 
 def test_mixing_keeps_all_rows(spark):
     df = some_docs(spark).withColumn("mix_slot", F.lit("clash"))
-    got = pfair.mix_sources(df, block_chars=500)
+    got = Workspace(spark, "mixed").table(pfair.mix_sources(df, block_chars=500))
     assert got.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "mix_block", "mix_slot", "mix_release", "mix_deadline"]
     key = lambda r: (r.doc_id or -1, r.text or "")
     assert sorted(map(key, got.collect())) == sorted(map(key, df.collect()))
@@ -216,7 +216,7 @@ def test_many_sources_share_a_queue_beyond_the_bound(spark, tokenizer_path):
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60)), "en", s) for i, s in enumerate(["a"] * 20 + ["b"] * 15 + ["c", "d", None] * 5)]
     df = docs(spark, rows)
-    mixed = pfair.mix_sources(df, block_chars=500, most_sources=2)
+    mixed = Workspace(spark, "mixed").table(pfair.mix_sources(df, block_chars=500, most_sources=2))
     assert sorted(r.doc_id for r in mixed.collect()) == [r[0] for r in rows]
     assert mixed.where("mix_slot < mix_release or mix_slot >= mix_deadline").count() == 0
     pieces = mixture_packing.pack_mixture(df, tokenizer_path, weights={"a": 1, "b": 1, "c": 0.5, "d": 0.25, None: 0.25}, sequence=64, window_sequences=4, most_sources=2).collect()
