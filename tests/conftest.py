@@ -7,8 +7,9 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     scratch = tempfile.mkdtemp(prefix="spark-")
+    # On tiny tables compiling the plans would take most of the time; bench, entry and check runs compile them.
     s = (
-        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch).config("spark.checkpoint.dir", f"file://{scratch}/checkpoints").config("spark.sql.warehouse.dir", f"{scratch}/warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
