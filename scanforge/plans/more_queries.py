@@ -335,7 +335,7 @@ def peak_sequences(spark, sf):
     return _digest(features.peak_sequences(found, a, 80, "mask", 3), "sequence")
 
 
-@query(f"SELECT id, round(sum(y * (i + 1)), 4) AS weighted, count(*) AS n FROM (SELECT id, i, CASE WHEN i + 2 >= s AND i + 2 < s + 8 THEN 1 ELSE 0 END AS y FROM (SELECT id, s, unnest(range(len(e))) AS i FROM {ARRAYS})) GROUP BY 1")
+@query(f"SELECT id, sum(y * (i + 1))::BIGINT AS weighted, count(*) AS n FROM (SELECT id, i, CASE WHEN i + 2 >= s AND i + 2 < s + 8 THEN 1 ELSE 0 END AS y FROM (SELECT id, s, unnest(range(len(e))) AS i FROM {ARRAYS})) GROUP BY 1")
 def scan_labels(spark, sf):
     """Which scans of a series lie in the measured range."""
     measured = _array_series(spark, sf).select("id", (F.col("id") % 20 + 5).alias("start_scan"), (F.col("id") % 20 + 13).alias("finish_scan"))
@@ -500,7 +500,7 @@ def isotope_comparison(spark, sf):
 MARKED = r"('_(ac)' || replace(p_name, 'a', 'M(ox)') || 'C_')"
 
 
-@query(rf"SELECT p_partkey, (length({MARKED}) - length(replace({MARKED}, 'M(ox)', ''))) // 5 AS n_ox, 1 AS n_ac, length(regexp_replace(regexp_replace({MARKED}, '\(ox\)|\(ac\)|_', '', 'g'), '[^C]', '', 'g')) AS n_cys FROM part")
+@query(rf"SELECT p_partkey, (length({MARKED}) - length(replace({MARKED}, 'M(ox)', ''))) // 5 AS n_ox, 1::BIGINT AS n_ac, length(regexp_replace(regexp_replace({MARKED}, '\(ox\)|\(ac\)|_', '', 'g'), '[^C]', '', 'g')) AS n_cys FROM part")
 def marker_counts(spark, sf):
     """Modification markers of sequences."""
     seq = F.concat(F.lit("_(ac)"), F.replace("p_name", F.lit("a"), F.lit("M(ox)")), F.lit("C_"))
