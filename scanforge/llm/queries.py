@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanforge.llm.bfd_packing import pack_documents
 from scanforge.llm.chat import format_chat, read_back
 from scanforge.llm.common import read
+from scanforge.llm.filter_audit import audit_filters
 from scanforge.llm.itq_dedup import near_vectors
 from scanforge.llm.langid import identify
 from scanforge.llm.line_dedup import apply_bitmaps, keep_bitmaps
@@ -74,6 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -125,6 +130,21 @@ LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '')
     f AS (SELECT doc_id, line, i, coalesce(doc_id <> top, false) AS gone FROM k LEFT JOIN g USING (key))
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1"""
 
+AUDIT_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+    m AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+      || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails FROM d),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+    x AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    f(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+    r AS (SELECT x.*, filter_order, step, substr(filter_order, step, 1) AS letter, list_min(list_transform(list_filter(string_split(fails, ''), lambda c: c <> ''), lambda c: strpos(filter_order, c))) AS hit
+      FROM x, o, (SELECT unnest(range(1, 6)) AS step)),
+    s AS (SELECT part, filter_order, step, letter, sum(n) FILTER (hit IS NULL OR hit > step) AS kept, sum(n) FILTER (hit = step) AS removed, sum(n) FILTER (contains(fails, letter) AND hit < step) AS redundant,
+      sum(n) FILTER (fails = letter) AS unique_fails, sum(good) FILTER (hit = step) AS good_lost, sum(toxic) FILTER (hit = step) AS toxic_lost FROM r GROUP BY ALL)
+    SELECT part, filter_order, step::INTEGER AS step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+      (coalesce(sum(removed) OVER (PARTITION BY part, letter), 0))::BIGINT AS shapley FROM s"""
+
 
 def _rounds(rules: int = 8) -> str:
     """One round of expectation-maximisation over the table ``p`` of vote patterns; its state is a share and two lists."""
@@ -164,5 +184,5 @@ QUALITY_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text
 def oracle_sql() -> dict[str, str]:
     """Tokens, language models and schedules have none; tests/llm has brute force."""
     return {
-        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_weak_quality": QUALITY_SQL, "op10_line_dedup": LINES_SQL,
+        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_weak_quality": QUALITY_SQL, "op10_line_dedup": LINES_SQL, "op13_filter_audit": AUDIT_SQL,
     }
