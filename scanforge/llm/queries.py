@@ -17,7 +17,9 @@ from scanforge.llm.langid import identify
 from scanforge.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from scanforge.llm.mixture_packing import pack_mixture
 from scanforge.llm.pfair import mix_sources
+from scanforge.llm.prefix_trie import conversation_trie
 from scanforge.llm.probminhash import near_documents
+from scanforge.llm.sharding import shard_documents
 from scanforge.llm.substring_dedup import drop_repeated_windows
 from scanforge.llm.weak_quality import LINE_END, PRIOR, ROUNDS, START, WEIGHT, quality
 
@@ -75,6 +77,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -130,6 +141,21 @@ LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '')
     f AS (SELECT doc_id, line, i, coalesce(doc_id <> top, false) AS gone FROM k LEFT JOIN g USING (key))
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1"""
 
+TRIE_SQL = r"""WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+      length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+    c AS MATERIALIZED (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN (a & 1) = 1 THEN 3988292384 ELSE 0 END) END)) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    b AS (SELECT c.conv_id, i, k, n FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i <= h UNION ALL SELECT conv_id, i, k, n FROM c JOIN t USING (conv_id) WHERE i > h),
+    p AS MATERIALIZED (SELECT conv_id, coalesce(ks, []) AS ks, coalesce(ns, []) AS ns FROM c LEFT JOIN (SELECT conv_id, list(k ORDER BY i) AS ks, list(n ORDER BY i) AS ns FROM b GROUP BY 1) USING (conv_id)),
+    m AS (SELECT conv_id, unnest(range(0, len(ks) + 1)) AS d, ks, ns FROM p),
+    g AS MATERIALIZED (SELECT ks[:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN ns[d] ELSE 0 END) AS n,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ks) = d), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+    u AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+    e AS MATERIALIZED (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN u USING (path)),
+    s AS (SELECT path[:a] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens FROM (SELECT path, n_convs, n, n_children, unnest(range(0, d + 1)) AS a FROM e) GROUP BY 1)
+    SELECT e.conv_id, e.d AS depth, q.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+    FROM e JOIN s ON s.path = e.path LEFT JOIN g q ON e.d > 0 AND q.path = e.path[:e.d - 1]"""
+
 AUDIT_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
     m AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
       || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
@@ -184,5 +210,5 @@ QUALITY_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text
 def oracle_sql() -> dict[str, str]:
     """Tokens, language models and schedules have none; tests/llm has brute force."""
     return {
-        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_weak_quality": QUALITY_SQL, "op10_line_dedup": LINES_SQL, "op13_filter_audit": AUDIT_SQL,
+        "op1_itq_near_dedup": ITQ_SQL, "op3_chat_round_trip": CHAT_SQL, "op4_probminhash_near_dedup": MINHASH_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op9_weak_quality": QUALITY_SQL, "op10_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL, "op13_filter_audit": AUDIT_SQL,
     }
