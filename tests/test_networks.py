@@ -124,3 +124,56 @@ def test_two_inputs_beat_each_alone(spark):
     assert both > 0.9
     assert both > accuracy(N.Shape(12, 1, ((8, 5),), 0, (16, 8)), None) + 0.2
     assert both > accuracy(N.Shape(12, 1, (), 2, (16, 8)), "meta") + 0.2
+
+
+def test_halving_chooses_what_a_full_search_does_with_fewer_epochs(spark):
+    from scanforge.operators.search import SPACE, draw_trials, successive_halving
+
+    df = peaks_of_ids(spark, 150, seed=2)
+    train, val = df.where("id % 3 < 2"), df.where("id % 3 = 2")
+    space = {"conv1_filters": [8], "conv1_kernel": [1, 5], "dense1": [8], "rate": [1e-6, 1e-5, 3e-5, 1e-4, 3e-4, 0.02]}
+    base = N.Shape(24, 1, ((4, 3),), 0, (8,))
+    args = {"space": space, "trials": 12, "batch": 32, "bias": -1.0, "most_rows": 5000}
+    best, net, log = successive_halving(train, val, base, epochs=4, eta=3, rungs=3, **args)
+    full, _, every = successive_halving(train, val, base, epochs=52, rungs=1, **args)
+    assert best == full and best["conv1_kernel"] == 5 and best["rate"] == 0.02
+    assert log.epochs.sum() < 0.5 * every.epochs.sum() and log.groupby("rung").size().tolist() == [12, 4, 1]
+    assert net.shape.convs == ((best["conv1_filters"], 5),)
+    tuned = fit_network(train, val, net, epochs=2, batches=2, rate=0.01)
+    assert mean_loss(_rows(val, "array", "sequence", None, "matched", None), tuned) <= log[log.rung == 2].val_loss.min() + 0.02
+    many = draw_trials(SPACE, 40, 1)
+    assert len({str(m) for m in many}) == 40 and many == draw_trials(SPACE, 40, 1) and all(m[k] in v for m in many for k, v in SPACE.items())
+    assert len(draw_trials(space, 99)) == 12
+
+
+def peptides(spark, n, law, seed):
+    rng, weight = np.random.default_rng(seed), dict(zip("ACDEFGHIKLMNPQRSTVWY", np.random.default_rng(0).normal(0, 2, 20), strict=True))
+    rows = []
+    for _ in range(n):
+        s = "".join(rng.choice(list(weight), rng.integers(6, 16)))
+        rows.append((f"_{s}_", float(law(np.mean([weight[c] for c in s])))))
+    return spark.createDataFrame(rows, "s string, t double").repartition(3)
+
+
+def test_transfer_keeps_frozen_layers_and_lowers_the_error(spark):
+    from scanforge.plans import prediction as P
+
+    first, second = (lambda x: 40 + 20 * x), (lambda x: 55 + 45 * np.tanh(1.2 * x))
+    model = P.fit_time_network(peptides(spark, 900, first, 1), peptides(spark, 200, first, 2), "s", "t", length=16, convs=((12, 3),), dense=(12,), epochs=14, batches=3, rate=0.02)
+    mae = lambda m, df: m.predict(df, "s").select(F.avg(F.abs(F.col("predicted_RT") - F.col("t")))).first()[0]
+    test = peptides(spark, 200, second, 5)
+    train, val = peptides(spark, 150, second, 3), peptides(spark, 60, second, 4)
+    assert mae(model, peptides(spark, 200, first, 6)) < 4
+    moved = P.transfer_times(model, train, val, "s", "t", epochs=10, batches=2, rate=0.01)
+    for (name, _), a, b in zip(model.network.shape.layers(), model.network.shape.unpack(model.network.weights), moved.network.shape.unpack(moved.network.weights), strict=True):
+        assert np.array_equal(a, b) == name.startswith("conv")
+    before = mae(model, test)
+    assert mae(moved, test) < 0.7 * before
+    curve = P.update_times(model, train, val, "s", "t")
+    assert np.array_equal(curve.network.weights, model.network.weights) and mae(curve, test) < 0.5 * before
+    both = P.update_times(model, train, val, "s", "t", "transfer", epochs=4, batches=2)
+    assert mae(both, test) < 0.6 * before
+    with pytest.raises(ValueError):
+        P.update_times(model, train, val, "s", "t", "guess")
+    with pytest.raises(ValueError):
+        P.transfer_times(model, train, val, "s", "t", frozen=("lstm",))
