@@ -9,6 +9,10 @@ import math
 
 import numpy as np
 
+from scanforge.functions import coding
+
+ALGORITHMS = ("threshold", "lasso_cd", "lasso_lars", "lars", "omp")
+
 
 def local_peaks(y: np.ndarray) -> np.ndarray:
     """Interior maxima; a plateau counts as its middle, the lower of two, and not if it meets an end."""
@@ -200,18 +204,37 @@ def cosine_distance(y, fit) -> float:
 def encode(y, d, alpha: float = 0.0, algorithm: str = "threshold", loss: str = "lasso") -> np.ndarray:
     """Non-negative activations of dictionary columns ``d`` for the observation ``y``.
 
-    ``threshold`` soft-thresholds the projection; ``lasso_cd`` and ``lasso_lars`` solve the lasso
-    of squared error over 2; with ``loss="sqrt_lasso"`` the mean squared error is meant, so
+    ``threshold`` soft-thresholds the projection; ``lasso_cd`` (coordinate descent) and ``lasso_lars`` (its path) solve the lasso
+    of squared error over 2. For ``lars`` and ``omp`` alpha is the most columns that may be active, 0 for any number: ``lars`` takes the last knot of
+    the non-negative path with no more, ``omp`` the non-negative pursuit. With ``loss="sqrt_lasso"`` the mean squared error is meant, so
     alpha is scaled by half the number of rows.
     """
     y, d = np.asarray(y, float), np.asarray(d, float)
     if loss == "sqrt_lasso":
         return nonnegative_lasso(d.T @ d, d.T @ y, alpha * len(y) / 2)
-    if algorithm == "threshold":
-        return soft_threshold(d.T @ y, alpha)
-    if algorithm in ("lasso_cd", "lasso_lars"):
-        return nonnegative_lasso(d.T @ d, d.T @ y, alpha)
-    raise ValueError(f"{algorithm} has no non-negative form; use threshold, lasso_cd or lasso_lars")
+    return Encoder(y, d, algorithm)(alpha)
+
+
+class Encoder:
+    """Activations of one observation at any alpha; what does not depend on alpha is made once."""
+
+    def __init__(self, y, d, algorithm: str):
+        if algorithm not in ALGORITHMS:
+            raise ValueError(f"unknown algorithm {algorithm}; one of {', '.join(ALGORITHMS)}")
+        self.algorithm, self.projection = algorithm, d.T @ y
+        self.gram = None if algorithm == "threshold" else d.T @ d
+        self.path = coding.lasso_path(self.gram, self.projection) if algorithm in ("lars", "lasso_lars") else None
+
+    def __call__(self, alpha: float) -> np.ndarray:
+        if self.algorithm == "threshold":
+            return soft_threshold(self.projection, alpha)
+        if self.algorithm == "lasso_cd":
+            return nonnegative_lasso(self.gram, self.projection, alpha)
+        if self.algorithm == "lasso_lars":
+            return coding.read_path(*self.path, alpha)
+        if self.algorithm == "lars":
+            return coding.read_steps(self.path[1], int(alpha))
+        return coding.nonnegative_pursuit(self.gram, self.projection, int(alpha))
 
 
 def choose_alpha(y, d, alphas: list[float], algorithm: str = "threshold", loss: str = "lasso", criteria: str = "min", metric: str = "cos_dist", eps: float = 1e-4) -> tuple[float, np.ndarray, float]:
@@ -221,13 +244,14 @@ def choose_alpha(y, d, alphas: list[float], algorithm: str = "threshold", loss:
     falls by ``eps`` or less, or takes the alpha before where it rises.
     """
     y, d = np.asarray(y, float), np.asarray(d, float)
+    at = Encoder(y, d, algorithm) if loss == "lasso" else lambda alpha: encode(y, d, alpha, algorithm, loss)
 
     def measure(a):
         return cosine_distance(y, d @ a) if metric == "cos_dist" else math.sqrt(float(np.mean((y - d @ a) ** 2)))
 
     tried = []
     for alpha in [0.0, *alphas]:
-        a = encode(y, d, alpha, algorithm, loss)
+        a = at(alpha)
         tried.append((measure(a), alpha, a))
         if criteria == "convergence" and len(tried) > 1:
             fall = tried[-2][0] - tried[-1][0]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.functions import kernels
+from scanforge.functions import coding, kernels
 
 
 def threshold_activation(dictionary: DataFrame, observed: DataFrame, alpha: float = 0.0) -> DataFrame:
@@ -35,7 +35,7 @@ def lasso_activation(dictionary: DataFrame, observed: DataFrame, alphas: list[fl
     """
     if preprocessing not in ("raw", "sqrt"):
         raise ValueError(f"unknown preprocessing {preprocessing}")
-    rows = dictionary.join(observed, ["scan_idx", "apex_mz"], "full").select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+    rows = _systems(dictionary, observed)
 
     def solve(t: pa.Table) -> pa.Table:
         y, d, names = _matrix(t)
@@ -51,12 +51,57 @@ def lasso_activation(dictionary: DataFrame, observed: DataFrame, alphas: list[fl
     return rows.groupBy("scan_idx").applyInArrow(solve, "scan_idx long, id long, activation double, alpha double, score double")
 
 
+def lasso_path(dictionary: DataFrame, observed: DataFrame, least: float = 0.0) -> DataFrame:
+    """``(scan_idx, id, alphas, activations)``: all knots of a scan's non-negative lasso path, and a candidate's activation at each.
+
+    One pass over a scan gives every alpha from the largest down to ``least``; :func:`activation_at` reads them. Candidates that are never active
+    are left out. A scan's small matrix is built inside one task.
+    """
+    rows = _systems(dictionary, observed)
+
+    def follow(t: pa.Table) -> pa.Table:
+        y, d, names = _matrix(t)
+        knots, values = coding.lasso_path(d.T @ d, d.T @ y, least) if len(names) else (np.zeros(1), np.zeros((1, 0)))
+        on = np.flatnonzero((values > 0).any(axis=0))
+        return pa.table(
+            {
+                "scan_idx": pa.array([t.column("scan_idx")[0].as_py()] * len(on), pa.int64()), "id": pa.array(names[on], pa.int64()),
+                "alphas": pa.array([knots] * len(on), pa.list_(pa.float64())), "activations": pa.array(list(values[:, on].T), pa.list_(pa.float64())),
+            }
+        )
+
+    return rows.groupBy("scan_idx").applyInArrow(follow, "scan_idx long, id long, alphas array<double>, activations array<double>")
+
+
+def pursuit_activation(dictionary: DataFrame, observed: DataFrame, most: int = 0) -> DataFrame:
+    """``(scan_idx, id, activation)`` of the at most ``most`` (0: any number) candidates that a non-negative pursuit takes in each scan."""
+    rows = _systems(dictionary, observed)
+
+    def pursue(t: pa.Table) -> pa.Table:
+        y, d, names = _matrix(t)
+        a = coding.nonnegative_pursuit(d.T @ d, d.T @ y, most)
+        on = np.flatnonzero(a > 0)
+        return pa.table({"scan_idx": pa.array([t.column("scan_idx")[0].as_py()] * len(on), pa.int64()), "id": pa.array(names[on], pa.int64()), "activation": pa.array(a[on], pa.float64())})
+
+    return rows.groupBy("scan_idx").applyInArrow(pursue, "scan_idx long, id long, activation double")
+
+
+def activation_at(path: DataFrame, *alphas: float) -> DataFrame:
+    """``(scan_idx, id, alpha, activation)`` at each alpha, read from a path by array functions; inactive candidates are left out."""
+    rows = path.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
+    i = F.size(F.filter("alphas", lambda k: k > F.col("alpha")))
+    k0, k1 = F.get("alphas", F.col("_i") - 1), F.get("alphas", F.col("_i"))
+    a0, a1 = F.get("activations", F.col("_i") - 1), F.get("activations", F.col("_i"))
+    value = F.when(F.col("_i") == 0, 0.0).when(k1.isNull(), a0).otherwise(a0 + (k0 - F.col("alpha")) / (k0 - k1) * (a1 - a0))
+    return rows.withColumn("_i", i).select("scan_idx", "id", "alpha", value.alias("activation")).where("activation > 0")
+
+
 def cross_validated_alpha(dictionary: DataFrame, observed: DataFrame, alphas: list[float], folds: int = 10, algorithm: str = "lasso_cd", seed: int = 0) -> DataFrame:
     """``(scan_idx, alpha, error, best)``: each alpha's mean squared error over held-out rows of a scan; ``best`` has the least.
 
     Rows of a scan are dealt over folds in order of their place, by a permutation that ``seed`` sets.
     """
-    rows = dictionary.join(observed, ["scan_idx", "apex_mz"], "full").select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+    rows = _systems(dictionary, observed)
 
     def validate(t: pa.Table) -> pa.Table:
         y, d, _ = _matrix(t)
@@ -67,6 +112,12 @@ def cross_validated_alpha(dictionary: DataFrame, observed: DataFrame, alphas: li
     return rows.groupBy("scan_idx").applyInArrow(validate, "scan_idx long, alpha double, error double, best boolean")
 
 
+def _systems(dictionary: DataFrame, observed: DataFrame) -> DataFrame:
+    """Rows of all scans' systems: what is observed, what a candidate expects, or both."""
+    both = dictionary.join(observed, ["scan_idx", "apex_mz"], "full")
+    return both.select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+
+
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A scan's observation, its dictionary matrix, and the candidates of the columns."""
     place, row = np.unique(t.column("apex_mz").to_numpy(), return_inverse=True)

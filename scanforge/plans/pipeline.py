@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanforge import schemas
+from scanforge.functions import kernels
 from scanforge.functions.scalar import search_range
 from scanforge.operators import compare, dictionary, peaks, smooth, solve
 from scanforge.sources import files
@@ -34,7 +35,7 @@ class Config:
     notes: str = ""
 
     def __post_init__(self):
-        for name, allowed in (("rt_ref", ("exp", "pred", "mix")), ("alpha_criteria", ("min", "convergence")), ("opt_algo", ("threshold", "lasso_cd", "lasso_lars"))):
+        for name, allowed in (("rt_ref", ("exp", "pred", "mix")), ("alpha_criteria", ("min", "convergence")), ("opt_algo", kernels.ALGORITHMS)):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
         if self.rt_tol <= 0 or not 0 <= self.iso_ab_mis_thres <= 1:

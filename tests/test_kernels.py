@@ -67,7 +67,7 @@ def test_lasso_small_and_threshold():
     assert K.encode([10, 4, 0], d)[0] == pytest.approx(7.2)
     assert K.encode([10, 4, 0], d, 0.2)[0] == pytest.approx(7.0)
     with pytest.raises(ValueError):
-        K.encode([1.0], np.ones((1, 1)), algorithm="omp")
+        K.encode([1.0], np.ones((1, 1)), algorithm="ridge")
 
 
 def test_alpha_path():

@@ -102,7 +102,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     lasso = pipeline.process_scans(scans, pipeline.with_search_range(ref, config), pipeline.Config(rt_tol=0.8, opt_algo="lasso_cd", alphas=[0.1]))["activation"].collect()
     assert {r.id for r in lasso} == {1}
     with pytest.raises(ValueError):
-        pipeline.Config(opt_algo="omp")
+        pipeline.Config(opt_algo="lasso")
     with pytest.raises(ValueError):
         Comparison(ref, exp)
 
