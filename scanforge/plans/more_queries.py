@@ -581,10 +581,12 @@ def cached_table(spark, sf):
 
 
 def _mzml(df: DataFrame) -> DataFrame:
-    """Spectra as lines of XML, a document for each task; odd ones are of level 2, and the arrays are compressed in turn."""
+    """Spectra as lines of XML, a document for each task; odd ones are of level 2, the arrays are compressed in turn, and some spectra refer to groups of parameters."""
 
     def line(batches):
-        yield pa.RecordBatch.from_pydict({"value": ["<mzML><run><spectrumList>"]})
+        groups = "".join(f'<referenceableParamGroup id="{name}"><cvParam name="64-bit float"/><cvParam name="{name}"/></referenceableParamGroup>' for name in ("m/z array", "intensity array"))
+        levels = "".join(f'<referenceableParamGroup id="level {n}"><cvParam name="ms level" value="{n}"/></referenceableParamGroup>' for n in (1, 2))
+        yield pa.RecordBatch.from_pydict({"value": [f"<mzML><referenceableParamGroupList>{groups}{levels}</referenceableParamGroupList><run><spectrumList>"]})
         for b in batches:
             out = []
             for k, values in zip(b.column("k").to_pylist(), b.column("values").to_pylist(), strict=True):
@@ -592,10 +594,12 @@ def _mzml(df: DataFrame) -> DataFrame:
                     raw = np.asarray(x, "<f8").tobytes()
                     kind = "zlib compression" if k % 3 == 0 else "no compression"
                     data = base64.b64encode(zlib.compress(raw) if k % 3 == 0 else raw).decode()
-                    return f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="{kind}"/><cvParam name="{name}"/><binary>{data}</binary></binaryDataArray>'
+                    own = f'<referenceableParamGroupRef ref="{name}"/>' if k % 5 == 0 else f'<cvParam name="64-bit float"/><cvParam name="{name}"/>'
+                    return f'<binaryDataArray>{own}<cvParam name="{kind}"/><binary>{data}</binary></binaryDataArray>'
 
+                level = f'<referenceableParamGroupRef ref="level {1 + k % 2}"/>' if k % 5 == 0 else f'<cvParam name="ms level" value="{1 + k % 2}"/>'
                 out.append(
-                    f'<spectrum index="{k}"><cvParam name="ms level" value="{1 + k % 2}"/><cvParam name="base peak m/z" value="1.0"/><cvParam name="base peak intensity" value="{max(values)}"/>'
+                    f'<spectrum index="{k}">{level}<cvParam name="base peak m/z" value="1.0"/><cvParam name="base peak intensity" value="{max(values)}"/>'
                     f'<scanList><scan><cvParam name="scan start time" value="{k * 0.25}"/></scan></scanList><binaryDataArrayList>{array(range(len(values)), "m/z array")}{array(values, "intensity array")}</binaryDataArrayList></spectrum>'
                 )
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})

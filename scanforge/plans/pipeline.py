@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,19 +115,23 @@ def quantify(activation: DataFrame, scans: DataFrame, reference: DataFrame, n_pe
 
 
 def run_pipeline(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    """Runs all stages from the configured tables (parquet) and writes each under ``out``; what is there is read, not made."""
+    """Runs all stages from the configured tables (parquet) and writes each under ``out``.
+
+    What is there is read, not made, unless an input has changed since.
+    """
     scans, experiment = spark.read.schema(schemas.SCANS).parquet(config.scans), spark.read.parquet(config.experiment)
     root = config.folder
     spark.createDataFrame([(config.effective(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/config")
-    reference = files.cached(spark, f"{root}/reference", lambda: with_search_range(spark.read.parquet(config.reference), config))
+    kept = partial(files.cached, spark, inputs=[config.scans, config.reference, config.experiment])
+    reference = kept(f"{root}/reference", lambda: with_search_range(spark.read.parquet(config.reference), config))
     steps = process_scans(scans, reference, config)
-    out = {k: files.cached(spark, f"{root}/{k}", lambda v=v: v) for k, v in steps.items()}
-    out |= {k: files.cached(spark, f"{root}/{k}", lambda v=v: v) for k, v in quantify(out["activation"], scans, reference).items()}
+    out = {k: kept(f"{root}/{k}", lambda v=v: v) for k, v in steps.items()}
+    out |= {k: kept(f"{root}/{k}", lambda v=v: v) for k, v in quantify(out["activation"], scans, reference).items()}
     comparison = compare.Comparison(reference, experiment, [out["sum_raw"], out["sum_gaussian"], out["sum_minima"], out["sum_peak"]])
-    out["merged"] = files.cached(spark, f"{root}/merged", comparison.with_intensity)
-    out["matched_peaks"] = files.cached(spark, f"{root}/matched_peaks", lambda: peaks.match_peaks(out["peaks"], out["merged"]))
-    out["target_decoy"] = files.cached(spark, f"{root}/target_decoy", comparison.target_decoy)
-    out["overlap"] = files.cached(spark, f"{root}/overlap", comparison.overlap)
+    out["merged"] = kept(f"{root}/merged", comparison.with_intensity)
+    out["matched_peaks"] = kept(f"{root}/matched_peaks", lambda: peaks.match_peaks(out["peaks"], out["merged"]))
+    out["target_decoy"] = kept(f"{root}/target_decoy", comparison.target_decoy)
+    out["overlap"] = kept(f"{root}/overlap", comparison.overlap)
     return out
 
 
@@ -137,9 +142,10 @@ def run_batch(spark: SparkSession, configs: list[Config]) -> dict[str, dict[str,
 
 def extract_peaks(spark: SparkSession, config: Config, n_peaks: int = 1) -> dict[str, DataFrame]:
     """Peaks of a job whose activations are there already, with their match to the measured ones."""
+    kept = partial(files.cached, spark, inputs=[config.scans, config.experiment, config.table("reference"), config.table("activation")])
     scans, experiment = spark.read.schema(schemas.SCANS).parquet(config.scans), spark.read.parquet(config.experiment)
     reference, activation = spark.read.parquet(config.table("reference")), spark.read.parquet(config.table("activation"))
     repaired = smooth.local_minima_smooth(activation, scans)
-    found = files.cached(spark, config.table(f"peaks_{n_peaks}"), lambda: peaks.elution_peaks(repaired, scans, reference, n_peaks))
+    found = kept(config.table(f"peaks_{n_peaks}"), lambda: peaks.elution_peaks(repaired, scans, reference, n_peaks))
     merged = compare.Comparison(reference, experiment, [peaks.peak_area(found)]).with_intensity()
-    return {"peaks": found, "matched": files.cached(spark, config.table(f"matched_peaks_{n_peaks}"), lambda: peaks.match_peaks(found, merged, n_peaks))}
+    return {"peaks": found, "matched": kept(config.table(f"matched_peaks_{n_peaks}"), lambda: peaks.match_peaks(found, merged, n_peaks))}

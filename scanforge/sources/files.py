@@ -3,43 +3,62 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import json
-import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanforge import schemas
+from scanforge.functions.binary import decode_array
 from scanforge.functions.scalar import bare_sequence, nan_to_null
 
 _PARAM = T.ArrayType(T.StructType([T.StructField("_accession", T.StringType()), T.StructField("_name", T.StringType()), T.StructField("_value", T.StringType())]))
 _CV = T.StructField("cvParam", _PARAM)
+_REF = T.StructField("referenceableParamGroupRef", T.ArrayType(T.StructType([T.StructField("_ref", T.StringType())])))
 SPECTRUM = T.StructType(
     [
-        T.StructField("_index", T.LongType()), _CV,
-        T.StructField("scanList", T.StructType([T.StructField("scan", T.ArrayType(T.StructType([_CV])))])),
-        T.StructField("binaryDataArrayList", T.StructType([T.StructField("binaryDataArray", T.ArrayType(T.StructType([_CV, T.StructField("binary", T.StringType())])))])),
+        T.StructField("_index", T.LongType()), _CV, _REF,
+        T.StructField("scanList", T.StructType([T.StructField("scan", T.ArrayType(T.StructType([_CV, _REF])))])),
+        T.StructField("binaryDataArrayList", T.StructType([T.StructField("binaryDataArray", T.ArrayType(T.StructType([_CV, _REF, T.StructField("binary", T.StringType())])))])),
     ]
 )
+GROUP = T.StructType([T.StructField("_id", T.StringType()), _CV])
 
 
-def read_mzml(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
-    """Spectra of one level from mzML; Spark's XML reader splits files by spectrum, tasks decode the arrays."""
-    raw = spark.read.format("xml").option("rowTag", "spectrum").schema(SPECTRUM).load(path)
+def parameter_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, groups)``: the parameters that a file's spectra can refer to, by name of the group; one row for each file that has any."""
+    rows = spark.read.format("xml").option("rowTag", "referenceableParamGroup").schema(GROUP).load(path).where("_id is not null and cvParam is not null")
+    each = rows.select(F.col("_metadata.file_path").alias("file"), "_id", "cvParam").dropDuplicates(["file", "_id"])
+    return each.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("_id", "cvParam"))).alias("groups"))
 
-    def param(params, name: str, kind: str):
-        return F.get(F.filter(params, lambda p: p["_name"] == name), F.lit(0))["_value"].cast(kind)
 
-    own = raw.where(param(F.col("cvParam"), "ms level", "int") == level).select(
-        F.col("_index").alias("ind"), param(F.col("cvParam"), "ms level", "int").alias("mslev"), param(F.col("cvParam"), "base peak m/z", "double").alias("bpmz"),
-        param(F.col("cvParam"), "base peak intensity", "double").alias("bpint"), param(F.flatten(F.transform("scanList.scan", lambda s: s["cvParam"])), "scan start time", "double").alias("starttime"),
-        F.transform(
-            "binaryDataArrayList.binaryDataArray", lambda a: F.struct(F.transform(a["cvParam"], lambda p: p["_name"]).alias("names"), a["binary"].alias("data"))
-        ).alias("arrays"),
+def read_mzml(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
+    """Spectra of one level from mzML; Spark's XML reader splits files by spectrum, tasks decode the arrays.
+
+    Parameters may stand in the spectrum, the scan or the array, or in a group of the file that it refers to; its own come first. Arrays are raw or
+    compressed as in ``functions.binary``; an unknown compression is an error, but only in spectra of the level.
+    """
+    raw = spark.read.format("xml").option("rowTag", "spectrum").schema(SPECTRUM).load(path)
+    groups = parameter_groups(spark, path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file")).join(groups, "file", "left")
+
+    def params(x):
+        """The parameters of an element and of the groups that it refers to."""
+        referred = F.flatten(F.transform(x("referenceableParamGroupRef"), lambda r: F.coalesce(F.try_element_at("groups", r["_ref"]), F.array().cast(_PARAM))))
+        return F.concat(F.coalesce(x("cvParam"), F.array().cast(_PARAM)), F.coalesce(referred, F.array().cast(_PARAM)))
+
+    def param(own, name: str, kind: str):
+        return F.get(F.filter(own, lambda p: p["_name"] == name), F.lit(0))["_value"].cast(kind)
+
+    inside = lambda e: lambda c: e[c]
+    own = raw.withColumn("own", params(F.col)).where(param(F.col("own"), "ms level", "int") == level).select(
+        F.col("_index").alias("ind"), param(F.col("own"), "ms level", "int").alias("mslev"), param(F.col("own"), "base peak m/z", "double").alias("bpmz"),
+        param(F.col("own"), "base peak intensity", "double").alias("bpint"), param(F.flatten(F.transform("scanList.scan", lambda s: params(inside(s)))), "scan start time", "double").alias("starttime"),
+        F.transform("binaryDataArrayList.binaryDataArray", lambda a: F.struct(F.transform(params(inside(a)), lambda p: p["_name"]).alias("names"), a["binary"].alias("data"))).alias("arrays"),
     )
 
     def decode(batches):
@@ -48,11 +67,9 @@ def read_mzml(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
             for arrays in b.column("arrays").to_pylist():
                 found = {"m/z array": [], "intensity array": []}
                 for a in arrays or []:
-                    data = base64.b64decode(a["data"] or "")
-                    if "zlib compression" in a["names"]:
-                        data = zlib.decompress(data)
-                    values = np.frombuffer(data, "<f4" if "32-bit float" in a["names"] else "<f8").astype(float)
-                    found |= {n: values for n in found if n in a["names"]}
+                    wanted = [n for n in found if n in a["names"]]
+                    if wanted:
+                        found |= dict.fromkeys(wanted, decode_array(base64.b64decode(a["data"] or ""), a["names"]))
                 mz.append(found["m/z array"])
                 intensity.append(found["intensity array"])
             kind = pa.list_(pa.float64())
@@ -101,11 +118,45 @@ def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``, made and written there first if it is not there yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of change of all files at ``paths``; files that Spark skips don't count."""
+    seen = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while found.hasNext():
+            f = found.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                seen.append((path, f.getPath().toUri().getPath(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(seen)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, path: str, make, inputs: list[str] = ()) -> DataFrame:
+    """The table at ``path``, made and written there first if it is not there yet.
+
+    With ``inputs``, a fingerprint of the files that it is made from is stored beside it; if they have changed since, it is made again. The mark is written
+    last, so what a lost run left half done is not taken for whole.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done, mark = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in ("_SUCCESS", "_inputs"))
+    fs = done.getFileSystem(conf)
+    now = fingerprint(spark, *inputs) if inputs else ""
+
+    def stored() -> str:
+        if not fs.exists(mark):
+            return ""
+        reader = fs.open(mark)
+        try:
+            return reader.readUTF()
+        finally:
+            reader.close()
+
+    if not fs.exists(done) or (inputs and stored() != now):
         make().write.mode("overwrite").parquet(path)
+        if inputs:
+            writer = fs.create(mark, True)
+            writer.writeUTF(now)
+            writer.close()
     return spark.read.parquet(path)
 
 

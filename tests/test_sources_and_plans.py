@@ -3,10 +3,12 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scanforge import schemas
+from scanforge.functions import binary
 from scanforge.operators.compare import Comparison
 from scanforge.plans import pipeline, prediction
 from scanforge.sources import files
@@ -34,6 +36,88 @@ def test_mzml(spark, tmp_path):
     assert [(r.ind, r.starttime, r.mzarray, r.intarray) for r in got] == [(0, 0.5, [100.0, 101.0], [5.0, 7.0]), (2, 0.7, [200.0], [9.0])]
 
 
+def nibbles(values):
+    """Half bytes of integers, as the format says: heads count leading halves of zeros or ones."""
+    out = []
+    for v in values:
+        hexed = f"{v & 0xFFFFFFFF:08x}"
+        lead = "f" if v < 0 else "0"
+        gone = min(len(hexed) - len(hexed.lstrip(lead)), 7 if v < 0 else 8)
+        out += [gone + (8 if v < 0 else 0), *(int(c, 16) for c in reversed(hexed[gone:]))] if v >= 0 or gone else [0, *(int(c, 16) for c in reversed(hexed))]
+    out += [0] * (len(out) % 2)
+    return bytes(a << 4 | b for a, b in zip(out[::2], out[1::2], strict=True))
+
+
+def test_numeric_compressions():
+    rng = np.random.default_rng(1)
+    ints = [0, 1, 15, 16, 255, 2**31 - 1, -1, -16, -17, -(2**31), *rng.integers(-(2**31), 2**31, 200).tolist()]
+    assert binary.nibble_integers(nibbles(ints)).tolist() == ints
+    mz, point = np.sort(rng.uniform(300, 1500, 400)), 100_000.0
+    fixed = np.rint(mz * point).astype(np.int64)
+    steps = fixed[2:] - (2 * fixed[1:-1] - fixed[:-2])
+    linear = struct.pack(">d", point) + fixed[:2].astype("<i4").tobytes() + nibbles(steps.tolist())
+    assert np.abs(binary.decode_array(linear, [binary.LINEAR, "64-bit float"]) - mz).max() <= 0.5 / point + 1e-9
+    assert np.array_equal(binary.decode_array(zlib.compress(linear), [binary.LINEAR + binary.PACKED_TOO]), binary.decode_array(linear, [binary.LINEAR]))
+    counts = rng.integers(0, 10**6, 50)
+    assert binary.decode_array(nibbles(counts.tolist()), [binary.INTEGER]).tolist() == counts.tolist()
+    logged = struct.pack(">d", 3000.0) + np.rint(np.log1p(counts) * 3000).astype("<u2").tobytes()
+    assert np.allclose(binary.decode_array(logged, [binary.LOGGED]), counts, rtol=1e-3, atol=1e-3)
+    for n in (0, 1, 2):
+        assert binary.decode_array(struct.pack(">d", point) + fixed[:n].astype("<i4").tobytes(), [binary.LINEAR]).tolist() == (fixed[:n] / point).tolist()
+    assert binary.decode_array(np.arange(3, dtype="<i4").tobytes(), ["32-bit integer", "no compression"]).tolist() == [0, 1, 2]
+    for names in (["zstd compression", "64-bit float"], ["no compression"], ["no compression", "zlib compression", "64-bit float"]):
+        with pytest.raises(ValueError):
+            binary.decode_array(b"", names)
+
+
+def test_mzml_with_parameter_groups_equals_the_plain_form(spark, tmp_path):
+    """The same spectra with their level and the arrays' kinds in groups; groups of one name differ between files."""
+    spectra = [(0, 1, 0.5, [100.0, 101.0], [5.0, 7.0]), (1, 2, 0.6, [1.0], [1.0]), (2, 1, 0.7, [200.0], [9.0])]
+    plain = "".join(spectrum(*s, False) for s in spectra)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.mzML").write_text(f"<mzML><run><spectrumList>{plain}</spectrumList></run></mzML>")
+    (tmp_path / "grouped").mkdir()
+
+    def grouped(s):
+        data = [base64.b64encode(struct.pack(f"<{len(x)}d", *x)).decode() for x in s[3:]]
+        arrays = "".join(f'<binaryDataArray><referenceableParamGroupRef ref="{g}"/><cvParam accession="x" name="no compression"/><binary>{d}</binary></binaryDataArray>' for g, d in zip(("mz", "int"), data, strict=True))
+        return (
+            f'<spectrum index="{s[0]}"><referenceableParamGroupRef ref="level{s[1]}"/><cvParam name="base peak m/z" value="{s[3][0]}"/><cvParam name="base peak intensity" value="{max(s[4])}"/>'
+            f'<scanList><scan><cvParam name="scan start time" value="{s[2]}"/></scan></scanList><binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>'
+        )
+
+    def group(name, *params):
+        return f'<referenceableParamGroup id="{name}">{"".join(params)}</referenceableParamGroup>'
+
+    double = '<cvParam accession="x" name="64-bit float"/>'
+    for file, own, first, second in (("a.mzML", spectra[:2], 1, 2), ("b.mzML", [(2, 2, *spectra[2][2:])], 2, 1)):
+        # In the second file the groups' names and levels are exchanged.
+        levels = group("level1", f'<cvParam name="ms level" value="{first}"/>') + group("level2", f'<cvParam name="ms level" value="{second}"/>')
+        kinds = group("mz", '<cvParam name="m/z array"/>', double) + group("int", '<cvParam name="intensity array"/>', double)
+        body = "".join(map(grouped, own))
+        (tmp_path / "grouped" / file).write_text(f"<mzML><referenceableParamGroupList>{levels}{kinds}</referenceableParamGroupList><run><spectrumList>{body}</spectrumList></run></mzML>")
+    a, b = (sorted(map(tuple, files.read_mzml(spark, str(tmp_path / d)).collect())) for d in ("plain", "grouped"))
+    assert a == b and len(a) == 2
+    odd = plain.replace("no compression", "brotli compression")
+    (tmp_path / "odd.mzML").write_text(f"<mzML><run><spectrumList>{odd}</spectrumList></run></mzML>")
+    with pytest.raises(Exception, match="unknown compression"):
+        files.read_mzml(spark, str(tmp_path / "odd.mzML")).collect()
+
+
+def test_a_rewritten_input_is_computed_again(spark, tmp_path):
+    source, table, made = str(tmp_path / "in"), str(tmp_path / "kept"), []
+
+    def total():
+        return files.cached(spark, table, lambda: made.append(1) or spark.read.parquet(source).agg(F.sum("id").alias("s")), [source]).first().s
+
+    spark.range(10).write.parquet(source)
+    assert (total(), total(), len(made)) == (45, 45, 1)
+    spark.range(20).write.mode("overwrite").parquet(source)
+    assert (total(), total(), len(made)) == (190, 190, 2)
+    (tmp_path / "kept" / "_inputs").unlink()
+    assert (total(), len(made)) == (190, 3)
+
+
 def test_fasta_tables_grid_and_cache(spark, tmp_path):
     df = spark.createDataFrame([("p1", "ACDK"), ("p2", "EFR")], "id string, s string")
     files.write_fasta(df, str(tmp_path / "f"), "id", "s")
