@@ -19,8 +19,11 @@ def scan_peaks(scans: DataFrame, rel_height: float = 0.75, distance: int | None
     def pick(batches):
         for b in batches:
             rows = {n: [] for n in schemas.PEAKS.names}
-            for scan, x, y in zip(*(b.column(c).to_pylist() for c in ("scan_idx", "mzarray", "intarray")), strict=True):
-                found = kernels.spectrum_peaks(x or [], y or [], rel_height, distance, prominence)
+            arrays = [b.column(c) for c in ("mzarray", "intarray")]
+            for k, scan in enumerate(b.column("scan_idx").to_pylist()):
+                # The numbers of an array stay where Arrow has them.
+                x, y = (a[k].values.to_numpy(zero_copy_only=False) if a[k].is_valid else [] for a in arrays)
+                found = kernels.spectrum_peaks(x, y, rel_height, distance, prominence)
                 rows["scan_idx"] += [scan] * len(found["apex_mz"])
                 for n, v in found.items():
                     rows[n] += v.tolist()
@@ -34,9 +37,9 @@ def spectrum_summary(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy("scan_idx").agg(F.count("*").alias("n"), F.avg("peak_intensity_sum").alias("mean"), F.stddev("peak_intensity_sum").alias("std"))
 
 
-def candidates_by_time(scans: DataFrame, reference: DataFrame, width: float) -> DataFrame:
-    """Candidates whose search range holds a scan's start time."""
-    return band_join(scans.select("scan_idx", "starttime"), reference, "starttime", "RT_search_left", "RT_search_right", width)
+def candidates_by_time(scans: DataFrame, reference: DataFrame, width: float, by: list[str] = ()) -> DataFrame:
+    """Candidates whose search range holds a scan's start time, of the same run if ``by`` names its columns."""
+    return band_join(scans.select("scan_idx", "starttime", *by), reference, "starttime", "RT_search_left", "RT_search_right", width, list(by))
 
 
 def match_isotopes(candidates: DataFrame, peaks: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,30 +66,36 @@ def asof_two_pass(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return strong.unionByName(weak)
 
 
-def nearest_scan(df: DataFrame, scans: DataFrame, time_cols: list[str], time: str = "starttime", scan: str = "scan_idx") -> DataFrame:
+def nearest_scan(df: DataFrame, scans: DataFrame, time_cols: list[str], time: str = "starttime", scan: str = "scan_idx", by: list[str] = ()) -> DataFrame:
     """``df`` with ``<column>_scan`` for each time column: the scan whose start time is nearest.
 
     Each scan holds the times from half way after the scan before to half way before the next one,
     that end included, so ties go to the earlier scan. These ranges meet times in buckets about as long as
-    scans are apart: equi-joins of any size. Of scans of equal time the first is taken. Null times get null.
+    scans are apart: equi-joins. Of scans of equal time the first is taken. Null times get null.
+    ``by`` names the columns of the run, in both tables: a time is placed among the scans of its own run, and a
+    task sorts the start times of one run.
     """
-    header = scans.where(F.col(time).isNotNull()).groupBy(F.col(time).cast("double").alias("_t")).agg(F.min(scan).alias("_s"))
-    around = Window.orderBy("_t")
-    cells = header.select("_s", ((F.lag("_t").over(around) + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.lead("_t").over(around)) / 2).alias("_hi"), "_t")
-    span = header.agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"))
+    by = list(by)
+    header = scans.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("_t")).agg(F.min(scan).alias("_s"))
+    around = Window.partitionBy(*by).orderBy("_t")
+    cells = header.select(*by, "_s", ((F.lag("_t").over(around) + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.lead("_t").over(around)) / 2).alias("_hi"), "_t")
+    span = header.groupBy(*by).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"))
     width = F.greatest((F.col("_last") - F.col("_first")) / F.col("_n"), F.lit(1e-9))
 
     def bucket(t):
         return F.floor((F.least(F.greatest(t, F.col("_first")), F.col("_last")) - F.col("_first")) / width)
 
-    spread = cells.crossJoin(F.broadcast(span)).withColumn("_b", F.explode(F.sequence(bucket(F.coalesce("_lo", "_first")), bucket(F.coalesce("_hi", "_last")))))
-    spread = spread.select("_b", "_s", "_lo", "_hi")
-    out = df.crossJoin(F.broadcast(span))
+    def with_span(x):
+        return x.join(span, by, "left") if by else x.crossJoin(F.broadcast(span))
+
+    spread = with_span(cells).withColumn("_b", F.explode(F.sequence(bucket(F.coalesce("_lo", "_first")), bucket(F.coalesce("_hi", "_last")))))
+    spread = spread.select(*by, "_b", "_s", "_lo", "_hi")
+    out = with_span(df)
     for c in time_cols:
-        cell = spread.select(*(F.col(x).alias(f"{x}_cell") for x in ("_b", "_s", "_lo", "_hi")))
+        cell = spread.select(*(F.col(x).alias(f"{x}_cell") for x in (*by, "_b", "_s", "_lo", "_hi")))
         inside = (F.col("_lo_cell").isNull() | (F.col(c) > F.col("_lo_cell"))) & (F.col("_hi_cell").isNull() | (F.col(c) <= F.col("_hi_cell")))
-        out = out.withColumn("_b", bucket(F.col(c))).join(cell, (F.col("_b") == F.col("_b_cell")) & inside, "left")
-        out = out.withColumn(f"{c}_scan", F.when(F.col(c).isNotNull(), F.col("_s_cell"))).drop("_b", "_b_cell", "_s_cell", "_lo_cell", "_hi_cell")
+        out = out.withColumn("_b", bucket(F.col(c))).join(cell, reduce(and_, (F.col(x) == F.col(f"{x}_cell") for x in (*by, "_b"))) & inside, "left")
+        out = out.withColumn(f"{c}_scan", F.when(F.col(c).isNotNull(), F.col("_s_cell"))).drop("_b", "_b_cell", "_s_cell", "_lo_cell", "_hi_cell", *(f"{x}_cell" for x in by))
     return out.drop("_first", "_last", "_n")
 
 

@@ -47,62 +47,73 @@ def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str =
     return series.mapInArrow(smooth, f"`{group}` {g}, scan_idx {s}, `{time}` {d}, `{value}` double").unionByName(same)
 
 
-def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: float = 3, prominence: float = 10000) -> DataFrame:
+def local_minima_smooth(activation: DataFrame, scans: DataFrame, minima_width: float = 3, prominence: float = 10000, by: list[str] = ()) -> DataFrame:
     """Series with narrow deep minima repaired; see ``kernels.repair_minima``.
 
-    A minimum may be a missing scan, so each series is laid out over the scans of the run, whose header is broadcast once.
+    A minimum may be a missing scan, so each series is laid out over the scans of its run.
     """
-    header = broadcast_grid(scans)
-    series = series_arrays(activation)
 
-    def repair(batches):
-        for b in batches:
-            ids, scan, time, value = [], [], [], []
-            for i, grid, times, place, act in dense_rows(b, *header.value):
-                dense = np.zeros(len(grid))
-                dense[place] = act
-                fixed = kernels.repair_minima(dense, minima_width, prominence) if (dense != 0).sum() > 2 and dense.sum() > 0 else dense
-                at = np.flatnonzero(fixed)
-                ids.append(np.full(len(at), i))
-                scan.append(grid[at])
-                time.append(times[at])
-                value.append(fixed[at])
-            whole = [np.concatenate(x) if x else np.zeros(0) for x in (ids, scan, time, value)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds, strict=True)], ["id", "scan_idx", "starttime", "activation"])
-
-    return series.mapInArrow(repair, "id long, scan_idx long, starttime double, activation double")
-
-
-def broadcast_grid(scans: DataFrame):
-    """The scans of a run and their times, in order of scan, for all tasks: 16 bytes a scan, whatever the spectra hold."""
-    header = scans.select(F.col("scan_idx").cast("long").alias("s"), F.col("starttime").cast("double").alias("t")).toArrow().sort_by("s")
-    return scans.sparkSession.sparkContext.broadcast((header.column("s").to_numpy(), header.column("t").to_numpy()))
-
-
-def series_arrays(activation: DataFrame) -> DataFrame:
-    """Non-zero activations of each candidate as arrays of scans and values."""
+    def repair(t: pa.Table, grid: np.ndarray, times: np.ndarray) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for i, place, act in dense_rows(t, grid):
+            dense = np.zeros(len(grid))
+            dense[place] = act
+            fixed = kernels.repair_minima(dense, minima_width, prominence) if (dense != 0).sum() > 2 and dense.sum() > 0 else dense
+            at = np.flatnonzero(fixed)
+            parts.append((np.full(len(at), i), grid[at], times[at], fixed[at]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["id", "scan_idx", "starttime", "activation"])
+
+    return on_grids(series_arrays(activation, by), scans, repair, "id long, scan_idx long, starttime double, activation double", by)
+
+
+def series_arrays(activation: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Non-zero activations of each candidate as arrays of scans and values, beside the columns of its run."""
     pairs = F.collect_list(F.struct(F.col("scan_idx").cast("long").alias("s"), F.col("activation").cast("double").alias("v")))
     # A set number of partitions, which Spark does not merge by size: the kernels' work is in time, not in bytes.
     parts = int(activation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = activation.where("activation <> 0").withColumn("id", F.col("id").cast("long")).repartition(parts, "id")
-    own = rows.groupBy("id").agg(pairs.alias("p"))
-    return own.select("id", F.transform("p", lambda x: x["s"]).alias("_as"), F.transform("p", lambda x: x["v"]).alias("_av"))
+    own = rows.groupBy("id", *by).agg(pairs.alias("p"))
+    return own.select("id", *by, F.transform("p", lambda x: x["s"]).alias("_as"), F.transform("p", lambda x: x["v"]).alias("_av"))
+
 
+def on_grids(series: DataFrame, scans: DataFrame, kernel, schema, by: list[str] = (), most: int = 500) -> DataFrame:
+    """Rows of ``kernel(series, scans, times)`` for the series of each run with its scans in order.
 
-def dense_rows(batch: pa.RecordBatch, grid: np.ndarray, times: np.ndarray):
-    """For each row: id, scans, times, and the places and values of its activations among the scans."""
-    lists = [batch.column(c) for c in ("_as", "_av")]
-    for k, i in enumerate(batch.column("id").to_pylist()):
+    A run's series are dealt over groups of about ``most``; its scans, 16 bytes each, are sent to each of its groups, so neither a
+    long run nor many runs meet in one task, and nothing is broadcast.
+    """
+    keys = list(by) or ["_run"]
+    if not by:
+        series, scans = (df.withColumn("_run", F.lit(0)) for df in (series, scans))
+    groups = series.groupBy(*(F.col(k).alias(k) for k in keys)).agg(F.ceil(F.count("*") / most).cast("int").alias("_groups"))
+    dealt = series.join(groups, keys).withColumn("_group", F.pmod(F.xxhash64("id"), F.col("_groups")).cast("int")).drop("_groups")
+    # Named anew, as both sides may come from one table of runs.
+    grid = scans.select(*(F.col(k).alias(k) for k in keys), F.col("scan_idx").cast("long").alias("_s"), F.col("starttime").cast("double").alias("_t"))
+    grid = grid.join(groups, keys).withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(own: pa.Table, header: pa.Table) -> pa.Table:
+        header = header.sort_by("_s")
+        return kernel(own, header.column("_s").to_numpy(), header.column("_t").to_numpy())
+
+    both = (df.repartition(parts, *keys, "_group").groupBy(*keys, "_group") for df in (dealt, grid))
+    left, right = both
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
+def dense_rows(series: pa.Table, grid: np.ndarray):
+    """For each series: id, and the places and values of its activations among the scans of ``grid``."""
+    lists = [series.column(c).combine_chunks() for c in ("_as", "_av")]
+    for k, i in enumerate(series.column("id").to_pylist()):
         scan, act = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
         place = np.minimum(np.searchsorted(grid, scan), max(len(grid) - 1, 0))
         known = grid[place] == scan if len(grid) else np.zeros(len(scan), bool)
-        yield i, grid, times, place[known], act[known]
+        yield i, place[known], act[known]
 
 
-def series_sums(activation: DataFrame, scans: DataFrame, suffix: str = "Raw") -> DataFrame:
+def series_sums(activation: DataFrame, scans: DataFrame, suffix: str = "Raw", by: list[str] = ()) -> DataFrame:
     """Sum, area and trapezoid integral of each series; both integrals are weighted sums over non-zero scans."""
-    weights = half_gaps(scans.select("scan_idx", "starttime"), "starttime").select("scan_idx", "weight")
-    joined = activation.select("id", "scan_idx", "activation").join(F.broadcast(weights), "scan_idx")
+    weights = half_gaps(scans.select("scan_idx", "starttime", *by), "starttime", group=list(by)).select("scan_idx", "weight")
+    joined = activation.select("id", "scan_idx", "activation").join(weights, "scan_idx")
     area = F.sum(F.col("activation") * F.col("weight"))
     return joined.groupBy("id").agg(F.sum("activation").alias(f"SumActivation{suffix}"), area.alias(f"AUCActivation{suffix}"), area.alias(f"TRPZActivation{suffix}"))

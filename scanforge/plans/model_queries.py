@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions import network as N
-from scanforge.operators import calibration, network, solve
+from scanforge.operators import calibration, joins, network, solve
 from scanforge.plans.queries import DICT, QUERIES, SQL, query, spectra_dictionary, t
 
 __all__ = ["QUERIES", "SQL"]
@@ -90,6 +90,21 @@ def lasso_path(spark, sf):
     return solve.activation_at(solve.lasso_path(d, y), 0.0, 0.01, 0.1).withColumn("activation", F.round("activation", 5))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderpriority AS run, epoch_us(o_orderdate) / 864e8 AS d FROM orders),
+    s AS (SELECT DISTINCT o_orderpriority AS run, epoch_us(l_shipdate) / 864e8 AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 48),
+    b AS (SELECT o.*, s AS bs FROM o ASOF LEFT JOIN s ON s.run = o.run AND d >= s), f AS (SELECT o_orderkey, s AS fs FROM o ASOF LEFT JOIN s ON s.run = o.run AND d < s)
+    SELECT o_orderkey, run, (CASE WHEN bs IS NULL OR (fs IS NOT NULL AND fs - d < d - bs) THEN fs ELSE bs END)::BIGINT AS scan FROM b JOIN f USING (o_orderkey)"""
+)
+def nearest_scan_of_run(spark, sf):
+    """The shipping day nearest to each order, of its own run (priority)."""
+    days = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 864e8
+    orders = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("run"), days("o_orderdate").alias("d"))
+    shipped = t(spark, sf, "lineitem").where("l_quantity > 48").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("run", days("l_shipdate").alias("starttime")).distinct()
+    found = joins.nearest_scan(orders, shipped.withColumn("scan_idx", F.col("starttime").cast("long")), ["d"], by=["run"])
+    return found.select("o_orderkey", "run", F.col("d_scan").alias("scan"))
+
+
 STEP = 0.05
 LOGITS = f"(SELECT vec_id, (label = 0)::INT AS y, embedding, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * ((i - 1) % 7 - 3) * {STEP}::DOUBLE)) + 0.1::DOUBLE AS z FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
 

@@ -72,13 +72,14 @@ def with_search_range(reference: DataFrame, config: Config) -> DataFrame:
     return reference.withColumns(search_range(config.rt_ref, config.rt_tol))
 
 
-def process_scans(scans: DataFrame, reference: DataFrame, config: Config) -> dict[str, DataFrame]:
+def process_scans(scans: DataFrame, reference: DataFrame, config: Config, by: list[str] = ()) -> dict[str, DataFrame]:
     """Activations, collinear neighbours, components of candidates and scan records; all long and keyed.
 
-    Shuffles are by ``scan_idx`` and, within it, by ``apex_mz`` or ``id``.
+    Shuffles are by ``scan_idx`` and, within it, by ``apex_mz`` or ``id``. ``by`` names the columns of the run in both
+    tables, whose scans and candidates then have numbers of their own (see ``plans.runs``).
     """
     found = dictionary.scan_peaks(scans)
-    candidates = dictionary.candidates_by_time(scans, reference.select("id", "RT_search_left", "RT_search_right", "IsoMZ", "IsoAbundance"), 2 * config.rt_tol)
+    candidates = dictionary.candidates_by_time(scans, reference.select("id", *by, "RT_search_left", "RT_search_right", "IsoMZ", "IsoAbundance"), 2 * config.rt_tol, by)
     matches = dictionary.match_isotopes(candidates, found)
     design = dictionary.build_dictionary(matches, config.iso_ab_mis_thres)
     observed = dictionary.observations(found)
@@ -103,15 +104,14 @@ def process_scans(scans: DataFrame, reference: DataFrame, config: Config) -> dic
     return {"activation": activation, "neighbours": near, "pairs": pairs, "records": record.select(*schemas.SCAN_RECORD.names)}
 
 
-def quantify(activation: DataFrame, scans: DataFrame, reference: DataFrame, n_peaks: int = 1) -> dict[str, DataFrame]:
-    """Raw and smoothed series with their sums, elution peaks of the repaired series and their areas."""
+def quantify(activation: DataFrame, scans: DataFrame, reference: DataFrame, n_peaks: int = 1, by: list[str] = ()) -> dict[str, DataFrame]:
+    """Raw and smoothed series with their sums, elution peaks of the repaired series and their areas; over the scans of each run if ``by`` names its columns."""
+    of_run = (lambda df: df.join(reference.select("id", *by), "id")) if by else (lambda df: df)
     gaussian = smooth.gaussian_smooth(activation)
-    minima = smooth.local_minima_smooth(activation, scans)
-    found = peaks.elution_peaks(minima, scans, reference, n_peaks)
-    return {
-        "gaussian": gaussian, "minima": minima, "peaks": found, "sum_raw": smooth.series_sums(activation, scans, "Raw"),
-        "sum_gaussian": smooth.series_sums(gaussian, scans, "GaussianKernel"), "sum_minima": smooth.series_sums(minima, scans, "LocalMinima"), "sum_peak": peaks.peak_area(found),
-    }
+    minima = smooth.local_minima_smooth(of_run(activation), scans, by=by)
+    found = peaks.elution_peaks(of_run(minima), scans, reference, n_peaks, by=by)
+    sums = {name: smooth.series_sums(df, scans, suffix, by) for name, df, suffix in (("sum_raw", activation, "Raw"), ("sum_gaussian", gaussian, "GaussianKernel"), ("sum_minima", minima, "LocalMinima"))}
+    return {"gaussian": gaussian, "minima": minima, "peaks": found, **sums, "sum_peak": peaks.peak_area(found)}
 
 
 def run_pipeline(spark: SparkSession, config: Config) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from scanforge import schemas
 from scanforge.functions import binary
 from scanforge.operators.compare import Comparison
 from scanforge.plans import pipeline, prediction
+from scanforge.session import checkpointed
 from scanforge.sources import files
 from scanforge.streaming import scans as streaming
 
@@ -191,6 +192,51 @@ def test_pipeline_end_to_end(spark, tmp_path):
         Comparison(ref, exp)
 
 
+def test_three_runs_in_one_table_equal_three_jobs(spark):
+    from scanforge.plans import runs
+
+    scans, ref, _ = small_run(spark)
+    config = pipeline.Config(rt_tol=0.8)
+    # The runs differ in loudness, in times and in what is expected when.
+    one = {
+        "r1": (scans, ref),
+        "r2": (scans.withColumn("intarray", F.transform("intarray", lambda x: x * 3)), ref),
+        "r0": (scans.withColumn("starttime", F.col("starttime") * 1.5 + 0.2).where("scan_idx < 18"), ref.withColumn("predicted_RT", F.col("predicted_RT") * 1.5 + 0.2)),
+    }
+    all_scans, all_refs = None, None
+    for name, (s, r) in one.items():
+        s, r = s.withColumn("run", F.lit(name)), r.withColumn("run", F.lit(name))
+        all_scans, all_refs = (s, r) if all_scans is None else (all_scans.union(s), all_refs.union(r))
+    rounded = lambda row: str([round(x, 7) if isinstance(x, float) else x for x in row])
+    got = runs.analyse_runs(all_scans, all_refs, config)
+    want = {"activation": [], "peaks": [], "sum_minima": []}
+    for name, (s, r) in one.items():
+        r = pipeline.with_search_range(r, config)
+        # Written once, as jobs do; else each table would be computed from the spectra again.
+        steps = {"activation": checkpointed(pipeline.process_scans(s, r, config)["activation"])}
+        steps |= pipeline.quantify(steps["activation"], s, r)
+        for table, rows in want.items():
+            rows += [rounded((name, *row)) for row in steps[table].collect()]
+    for table, rows in want.items():
+        assert sorted(rounded(row) for row in got[table].collect()) == sorted(rows) and rows, table
+    shared = runs.analyse_runs(all_scans.where("run <> 'r0'"), ref, config)["activation"].select("run", "id").distinct().collect()
+    assert {(r.run, r.id) for r in shared} == {("r1", 1), ("r2", 1)}
+    with pytest.raises(Exception, match="must be from 0"):
+        runs.analyse_runs(all_scans.withColumn("scan_idx", F.col("scan_idx") - 5), all_refs, config)["activation"].collect()
+
+
+def test_nearest_scans_of_each_run(spark):
+    from scanforge.operators.joins import nearest_scan
+
+    rng = np.random.default_rng(3)
+    scans = [(r, i, float(x)) for r in "ab" for i, x in enumerate(np.sort(rng.uniform(0, 10, 40)) + (r == "b") * 3)]
+    points = [(r, k, float(rng.uniform(-2, 15))) for r in "abc" for k in range(50)] + [("a", 99, None)]
+    got = {(r.run, r.k): r.t_scan for r in nearest_scan(spark.createDataFrame(points, "run string, k long, t double"), spark.createDataFrame(scans, "run string, scan_idx long, starttime double"), ["t"], by=["run"]).collect()}
+    for run, k, x in points:
+        own = [(abs(s - x), s, i) for r, i, s in scans if r == run] if x is not None else []
+        assert got[run, k] == (min(own)[2] if own else None)
+
+
 def test_other_settings_give_other_results(spark, tmp_path):
     """A second run in the same folder with other alphas, or another input, does not read the first one's tables."""
     scans, ref, exp = small_run(spark)
