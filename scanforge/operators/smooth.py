@@ -15,19 +15,19 @@ from scanforge.operators.windows import half_gaps
 REACH = 39.0
 
 
-def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str = "id", time: str = "starttime", value: str = "activation", piece: float = 400.0) -> DataFrame:
+def gaussian_smooth(activation: DataFrame, bandwidth: float = 0.02, group: str = "id", time: str = "starttime", value: str = "activation", piece: float = 400.0, whole: int = 5000) -> DataFrame:
     """Series smoothed at their non-zero scans by a normalised Gaussian kernel.
 
     Each weighted term is rounded half to even before it is summed. Series that do not sum to
-    more than 0 over more than 2 non-zero scans stay as they are. A series is cut into pieces
-    of ``piece`` bandwidths, each with what lies within reach of it, so that no task
+    more than 0 over more than 2 non-zero scans stay as they are. A series of more than ``whole`` points is cut into
+    pieces of ``piece`` bandwidths, each with what lies within reach of it, so that no task
     holds a whole long series; results are those of the whole.
     """
     g, s, d = (activation.schema[c].dataType.simpleString() for c in (group, "scan_idx", time))
     points = activation.where(F.col(value) != 0).select(F.col(group).alias("g"), F.col(time).alias("t"), F.col("scan_idx").alias("s"), F.col(value).cast("double").alias("v"))
     sums = points.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     smoothed = points.join(sums, "g").withColumn("still", (F.col("n") <= 2) | ~(F.col("total") > 0))
-    number = lambda t: F.floor(t / F.lit(piece * bandwidth))
+    number = lambda t: F.when(F.col("n") <= whole, F.lit(0)).otherwise(F.floor(t / F.lit(piece * bandwidth)))
     meets = F.sequence(number(F.col("t") - REACH * bandwidth), number(F.col("t") + REACH * bandwidth))
     cut = smoothed.where("not still").withColumn("own", number(F.col("t").cast("double"))).withColumn("piece", F.explode(meets))
     own = F.array_sort(F.collect_list(F.struct("t", "s", "v", (F.col("own") == F.col("piece")).alias("mine"))))

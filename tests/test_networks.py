@@ -177,3 +177,20 @@ def test_transfer_keeps_frozen_layers_and_lowers_the_error(spark):
         P.update_times(model, train, val, "s", "t", "guess")
     with pytest.raises(ValueError):
         P.transfer_times(model, train, val, "s", "t", frozen=("lstm",))
+
+
+@pytest.mark.parametrize("balance", ["none", "weight", "resample"])
+def test_peak_classifier_from_table_to_scores(spark, balance):
+    from scanforge.operators.classify import fit_peak_network, output_bias
+
+    df = peaks_of_ids(spark, 60, 16, seed=4).withColumn("meta", F.array(F.col("apex_scan").cast("double") * 0))
+    df = df.unionByName(df.limit(1).withColumn("matched", F.lit(None).cast("boolean"))).withColumn("sequence", F.array("sequence", "sequence"))
+    net, split = fit_peak_network(df, extra="meta", convs=((4, 5),), dense=(4,), balance=balance, epochs=2, batches=1)
+    assert net.shape.channels == 2 and net.shape.extra == 1 and len(net.history) == 2
+    parts = {r.id: r.parts for r in split.groupBy("id").agg(F.collect_set("split").alias("parts")).collect()}
+    assert all(len(p) == 1 for p in parts.values()) and {p[0] for p in parts.values()} == {"train", "val", "test"}
+    scored = score_network(net, split.where("split = 'test'"), extra="meta")
+    assert scored.where("pred_score > 0 and pred_score < 1").count() == scored.count() > 0
+    assert output_bias(df) == pytest.approx(np.log(1 / 3), abs=0.02)
+    with pytest.raises(ValueError):
+        fit_peak_network(df, balance="guess")
