@@ -15,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import Workspace, small_batches
@@ -86,6 +87,20 @@ def cut(plan: RoundRobin, queue: int, start: np.ndarray, length: np.ndarray, seq
     return row[piece], (low - start[row])[piece] + begin - place[piece], end - begin, seq, begin - seq * sequence, w[piece]
 
 
+def file_place() -> tuple[Column, Column]:
+    """The file of a row and its place there, where rows are read from Parquet files."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether rows of ``df`` have a place in a file."""
+    try:
+        df.select(*file_place()).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def pack_mixture(
     df: DataFrame,
     tokenizer_path: str,
@@ -98,6 +113,7 @@ def pack_mixture(
     end_id: int = 0,
     most_sources: int = 256,
     exponent: float = 1.0,
+    in_file_order: bool = False,
 ) -> DataFrame:
     """One row per piece of a document in a sequence of ``sequence`` tokens.
 
@@ -109,14 +125,14 @@ def pack_mixture(
     later. The ``most_sources`` sources of most rows queue one by one; all others share a
     queue more (of weight ``weights[REST]``, or their sum). All sequences but the last are
     full; ``padded_length`` is ``sequence``, or the last one's length if that is a power of
-    two. A null source is a source of its own. Documents of a source queue as they lie in the
-    input; rows of equal or null id are packed one by one. Other columns are ignored; an empty
+    two. A null source is a source of its own. Documents of a source queue as tasks read them, or, with
+    ``in_file_order``, in the order of the files that ``df`` reads and of the rows in them; rows of equal or null id are packed one by one. Other columns are ignored; an empty
     table gives no piece. Columns: id, ``source``, ``start`` (the document's ids before the
     piece), ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``window``,
     ``padded_length``, ``ids``.
 
     Ids are written once to the shared folder and never shuffled: what moves is one count for
-    each partition and queue. One count for each queue, ``most_sources`` + 1 at most, comes to
+    each queue in each partition, or in each stretch of a file that a task reads. One count for each queue, ``most_sources`` + 1 at most, comes to
     the driver.
     """
     spark = df.sparkSession
@@ -128,10 +144,16 @@ def pack_mixture(
     def tokenise(batches):
         encode, sent, task = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
+        file, last, first = None, None, 0
         for b in batches:
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
-            start, n = [], [len(x) // 4 for x in ids]
-            for q, k in zip(b.column("queue").to_pylist(), n, strict=True):
+            start, n, files, firsts = [], [len(x) // 4 for x in ids], b.column("file").to_pylist(), []
+            for q, k, f, place in zip(b.column("queue").to_pylist(), n, files, b.column("place").to_pylist(), strict=True):
+                # A stretch of a file ends where the task goes on with another file, or elsewhere in this one.
+                if f != file or (place is not None and place != last + 1):
+                    sent, file, first = {}, f, place
+                last = place
+                firsts.append(first)
                 at = sent.get(q, 0)
                 start.append(at)
                 sent[q] = at + k
@@ -139,16 +161,18 @@ def pack_mixture(
             packed = [x.astype("<u2").tobytes() if x.max() < 65536 else b"" for x in narrow]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
+                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), "file": b.column("file"), "first": pa.array(firsts, pa.int64()), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
                     "narrow": pa.array(packed, pa.binary()), "wide": pa.array([b"" if p else x for p, x in zip(packed, ids, strict=True)], pa.binary()),
                 }
             )
 
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"))
-    tokens = ws.table(docs.mapInArrow(tokenise, "id long, source string, queue string, task int, start long, n long, narrow binary, wide binary"), "tokens")
-    counts = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = ws.table(counts.select("queue", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "base")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"), *(file_place() if in_file_order else (F.lit("").alias("file"), F.lit(None).cast("long").alias("place"))))
+    tokens = ws.table(docs.mapInArrow(tokenise, "id long, source string, queue string, file string, first long, task int, start long, n long, narrow binary, wide binary"), "tokens")
+    stretch = ["file", "first", "task"] if in_file_order else ["task"]
+    counts = tokens.groupBy("queue", *stretch).agg(F.sum("n").alias("n"))
+    # Files of one writer are numbered; a longer number is a later one.
+    earlier = Window.partitionBy("queue").orderBy(*([F.length("file")] if in_file_order else []), *stretch).rowsBetween(Window.unboundedPreceding, -1)
+    base = ws.table(counts.select("queue", *stretch, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "base")
     found = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()
     names = [r["queue"] for r in found]
     totals = np.array([r["n"] for r in found], np.int64)
@@ -186,4 +210,4 @@ def pack_mixture(
                 )
 
     schema = f"`{id_col}` long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, padded_length long, ids binary"
-    return tokens.join(base.drop("n"), ["queue", "task"]).mapInArrow(place, schema)
+    return tokens.join(base.drop("n"), ["queue", *stretch]).mapInArrow(place, schema)

@@ -507,3 +507,34 @@ def test_pipeline_windows_hold_the_mixture(spark):
     for s in sources:
         own = [slots[r.doc_id] for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.source == s]
         assert own == sorted(own)
+
+
+def test_pieces_follow_the_files_of_the_mix_stage(spark):
+    """Each source is packed in the order of the mixture's files, however tasks read them; another order gives another result."""
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40)), "en", s) for i, s in enumerate("aab" * 60)]
+    df = docs(spark, rows).repartition(5)
+    ws = Workspace(spark, "order")
+    mixed = ws.table(P.mix(spark, df, ""), "mix")
+    backwards = ws.table(mixed.repartitionByRange(6, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "back")
+
+    def order(table):
+        pieces = sorted(P.pack(spark, table, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+        return {s: list(dict.fromkeys(r.doc_id for r in pieces if r.source == s)) for s in "ab"}
+
+    slots = {r.doc_id: r.mix_slot for r in pfair.mix_sources(df).collect()}
+    got = order(mixed)
+    in_files = mixed.select("doc_id", "source", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
+    assert got == {s: [r.doc_id for r in in_files if r.source == s] for s in "ab"}
+    assert all([slots[d] for d in own] == sorted(slots[d] for d in own) for own in got.values())
+    back = order(backwards)
+    assert back == {s: sorted(got[s], reverse=True) for s in "ab"} and back != got
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2k")
+        assert order(mixed) == got
+    finally:
+        spark.conf.set(key, before)
