@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scanforge.llm.common import Workspace, as_own, own_columns, read
 from scanforge.llm.line_dedup import apply_bitmaps, keep_bitmaps
-from scanforge.llm.mixture_packing import pack_mixture
-from scanforge.llm.pfair import in_mixed_order, in_queue_order, mix_sources, root_weights
+from scanforge.llm.mixture_packing import pack_mixture, reads_files
+from scanforge.llm.pfair import in_mixed_order, mix_sources, root_weights
 from scanforge.llm.probminhash import drop_near_documents
 from scanforge.llm.queries import PIECES, TOKENIZER
 from scanforge.llm.weak_quality import quality
@@ -49,13 +49,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens, by the mixture's weights and in its order.
+    """The pieces of all documents in sequences of 1024 tokens: each source in the order that the mixture gave it, by the same weights.
 
-    Files of the stage before are not read in order, so the order of each source, which follows
-    from the ids alone, is made again.
+    The order is read from the files that the stage before wrote and the rows' places in them, whichever task reads
+    them; no text is shuffled for it.
     """
     docs = docs.select("doc_id", "text", "source")
-    return pack_mixture(in_queue_order(docs), TOKENIZER, weights=root_weights(docs)).select(*PIECES)
+    return pack_mixture(docs, TOKENIZER, weights=root_weights(docs), in_file_order=reads_files(docs)).select(*PIECES)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
