@@ -92,6 +92,15 @@ def file_place() -> tuple[Column, Column]:
     return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
 
 
+def _stretches(files: pa.Array, places: np.ndarray, file: str | None, last: int | None):
+    """(row, place) at which a stretch of a file starts: where a task goes on with another file, or elsewhere in the file after ``last``."""
+    names = files.to_pylist()
+    for i, (f, place) in enumerate(zip(names, places.tolist(), strict=True)):
+        if f != file or place != last + 1:
+            yield i, place
+        file, last = f, place
+
+
 def reads_files(df: DataFrame) -> bool:
     """Whether rows of ``df`` have a place in a file."""
     try:
@@ -147,27 +156,32 @@ def pack_mixture(
         file, last, first = None, None, 0
         for b in batches:
             ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
-            start, n, files, firsts = [], [len(x) // 4 for x in ids], b.column("file").to_pylist(), []
-            for q, k, f, place in zip(b.column("queue").to_pylist(), n, files, b.column("place").to_pylist(), strict=True):
-                # A stretch of a file ends where the task goes on with another file, or elsewhere in this one.
-                if f != file or (place is not None and place != last + 1):
-                    sent, file, first = {}, f, place
-                last = place
-                firsts.append(first)
+            start, n, firsts = [], [len(x) // 4 for x in ids], None
+            starts_here = dict(_stretches(b.column("file"), b.column("place").to_numpy(), file, last)) if in_file_order else {}
+            if in_file_order:
+                firsts = []
+            for i, (q, k) in enumerate(zip(b.column("queue").to_pylist(), n, strict=True)):
+                if i in starts_here:
+                    sent, first = {}, starts_here[i]
+                if in_file_order:
+                    firsts.append(first)
                 at = sent.get(q, 0)
                 start.append(at)
                 sent[q] = at + k
+            if in_file_order and b.num_rows:
+                file, last = b.column("file")[-1].as_py(), b.column("place")[-1].as_py()
             narrow = [np.frombuffer(x, "<u4") for x in ids]
             packed = [x.astype("<u2").tobytes() if x.max() < 65536 else b"" for x in narrow]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), "file": b.column("file"), "first": pa.array(firsts, pa.int64()), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
+                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), **({"file": b.column("file"), "first": pa.array(firsts, pa.int64())} if in_file_order else {}), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
                     "narrow": pa.array(packed, pa.binary()), "wide": pa.array([b"" if p else x for p, x in zip(packed, ids, strict=True)], pa.binary()),
                 }
             )
 
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"), *(file_place() if in_file_order else (F.lit("").alias("file"), F.lit(None).cast("long").alias("place"))))
-    tokens = ws.table(docs.mapInArrow(tokenise, "id long, source string, queue string, file string, first long, task int, start long, n long, narrow binary, wide binary"), "tokens")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"), *(file_place() if in_file_order else ()))
+    where = "file string, first long, " if in_file_order else ""
+    tokens = ws.table(docs.mapInArrow(tokenise, f"id long, source string, queue string, {where}task int, start long, n long, narrow binary, wide binary"), "tokens")
     stretch = ["file", "first", "task"] if in_file_order else ["task"]
     counts = tokens.groupBy("queue", *stretch).agg(F.sum("n").alias("n"))
     # Files of one writer are numbered; a longer number is a later one.

@@ -2,19 +2,22 @@
 
 The k-th block of a source of weight w may run from slot floor(k / w) and must have run by
 slot ceil((k + 1) / w). Of the blocks that may run, the one with the earliest deadline runs;
-so at every slot each source is within one block of its share. With whole weights that
-sum to a period, the schedule repeats after each period until a source ends; so one period for each
-set of sources tells the slot of every block, however many there are.
+so at every slot each source is within one block of its share. Weights are kept as whole numbers
+of any size, so releases and deadlines are exact. What has run by a slot tells all that follows: the driver
+steps through the schedule and keeps such states at wide distances; tasks step through the stretches between them
+again and write the blocks' slots.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -58,80 +61,91 @@ def source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
 
 
-def whole_weights(weights: dict[str, Fraction], period: int) -> dict[str, int]:
-    """Whole weights of the same proportions if they sum to ``period`` at most; else the nearest that sum to it, each 1 or more."""
+def whole_weights(weights: dict[str, Fraction]) -> dict[str, int]:
+    """The least whole weights of the same proportions."""
     scale = math.lcm(*(w.denominator for w in weights.values()))
     whole = {s: int(w * scale) for s, w in weights.items()}
     common = math.gcd(*whole.values())
-    if sum(whole.values()) // common <= period:
-        return {s: w // common for s, w in whole.items()}
-    total = sum(whole.values())
-    out = {s: max(1, w * period // total) for s, w in whole.items()}
-    by_rest = sorted(whole, key=lambda s: (-(whole[s] * period % total), s))
-    for s in (by_rest * 2)[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
-
-
-def one_period(weights: dict[str, int]) -> list[tuple[str, int, int, int]]:
-    """(source, block, release, deadline) of each slot of a period, in which every source runs as often as it weighs."""
-    period, ran = sum(weights.values()), dict.fromkeys(weights, 0)
-    waiting = [(0, s) for s in sorted(weights)]
+    return {s: w // common for s, w in whole.items()}
+
+
+def slots(weights: dict[str, int], ran: dict[str, int], slot: int) -> Iterator[tuple[str, int, int, int]]:
+    """(source, its turn, release, deadline) of ``slot`` and all that follow, where ``ran`` turns of each source lie before it.
+
+    Turns and slots count from the start of the schedule of these weights. It depends on nothing but its arguments.
+    """
+    total, ran = sum(weights.values()), dict(ran)
+    waiting = [(ran[s] * total // w, s) for s, w in weights.items()]
+    heapq.heapify(waiting)
     ready: list[tuple[int, int, str]] = []
-    out = []
-    for slot in range(period):
+    while True:
         while waiting and waiting[0][0] <= slot:
             release, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(ran[s] + 1) * period // weights[s]), release, s))
+            heapq.heappush(ready, (-(-(ran[s] + 1) * total // weights[s]), release, s))
         deadline, release, s = heapq.heappop(ready)
-        out.append((s, ran[s], release, deadline))
+        yield s, ran[s], release, deadline
         ran[s] += 1
-        if ran[s] < weights[s]:
-            heapq.heappush(waiting, (ran[s] * period // weights[s], s))
-    return out
+        slot += 1
+        heapq.heappush(waiting, (ran[s] * total // weights[s], s))
 
 
 @dataclass
-class Epoch:
-    """A time in which no source ends: first slot and first block of each source, whole weights, their period."""
+class Stretch:
+    """``count`` slots from ``slot`` of the schedule of some weights, which began at slot ``begin`` of all with ``first`` blocks of each source done."""
 
-    slot: int
+    begin: int
     first: dict[str, int]
     weights: dict[str, int]
-    slots: list[tuple[str, int, int, int]]
+    slot: int
+    ran: dict[str, int]
+    count: int
+
+    def rows(self) -> Iterator[tuple[str, int, int, int, int]]:
+        """(source, block, slot, release, deadline) of each slot."""
+        going = slots(self.weights, self.ran, self.slot)
+        for at in range(self.slot, self.slot + self.count):
+            s, turn, release, deadline = next(going)
+            yield s, self.first[s] + turn, self.begin + at, self.begin + release, self.begin + deadline
 
 
-def epochs(blocks: dict[str, int], weights: dict[str, Fraction], period: int) -> list[Epoch]:
-    """Epochs of a schedule of ``blocks[s]`` blocks of each source; when a source ends, the others go on in proportion."""
-    done, slot, out = dict.fromkeys(blocks, 0), 0, []
-    active = sorted(s for s in blocks if blocks[s] > 0)
+def stretches(blocks: dict[str, int], weights: dict[str, Fraction], most: int = 1 << 16) -> Iterator[Stretch]:
+    """The schedule of ``blocks[s]`` blocks of each source, in stretches; when a source ends, the others go on in proportion.
+
+    A source's last blocks run in the slots of the schedule that it began with, so only the state at its end is new.
+    """
+    done, begin = dict.fromkeys(blocks, 0), 0
+    active = {s for s in blocks if blocks[s] > 0}
     while active:
-        whole = whole_weights({s: weights[s] for s in active}, max(period, len(active)))
-        e = Epoch(slot, {s: done[s] for s in active}, whole, one_period(whole))
-        out.append(e)
-        full = min((blocks[s] - done[s] - 1) // whole[s] for s in active)
-        for s in active:
-            done[s] += full * whole[s]
-        slot += full * len(e.slots)
-        for s, *_ in e.slots:
-            done[s], slot = done[s] + 1, slot + 1
-            if done[s] == blocks[s]:
+        whole = whole_weights({s: weights[s] for s in sorted(active)})
+        first, ran = {s: done[s] for s in whole}, dict.fromkeys(whole, 0)
+        slot, since, start = 0, 0, dict.fromkeys(whole, 0)
+        for s, *_ in slots(whole, ran, 0):
+            ran[s] += 1
+            slot += 1
+            ended = first[s] + ran[s] == blocks[s]
+            if ended or slot - since == most:
+                yield Stretch(begin, first, whole, since, start, slot - since)
+                since, start = slot, dict(ran)
+            if ended:
                 break
-        active = [s for s in active if done[s] < blocks[s]]
-    return out
+        done |= {s: first[s] + ran[s] for s in whole}
+        begin += slot
+        active = {s for s in active if done[s] < blocks[s]}
+
+
+def slot_table(spark, blocks: dict[str, int], weights: dict[str, Fraction], most: int = 1 << 16) -> DataFrame:
+    """``(q, mix_block, slot, release, deadline)`` of all blocks; each stretch is stepped through in a task."""
+    kind = "begin long, slot long, count long, q array<string>, weight array<string>, first array<long>, ran array<long>"
+    plan = [(x.begin, x.slot, x.count, list(x.weights), list(map(str, x.weights.values())), [x.first[s] for s in x.weights], [x.ran[s] for s in x.weights]) for x in stretches(blocks, weights, most)]
 
+    def step(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                named = lambda values: dict(zip(r.q, map(int, values), strict=True))  # noqa: E731, B023
+                own = Stretch(r.begin, named(r.first), named(r.weight), r.slot, named(r.ran), r.count)
+                yield pd.DataFrame(own.rows(), columns=["q", "mix_block", "slot", "release", "deadline"])
 
-def _slot_table(plan: list[Epoch]) -> pa.Table:
-    """The slots of one period of each epoch, counted from the first slot of all."""
-    kinds = {"q": pa.string(), **dict.fromkeys(("epoch", "turn", "slot", "release", "deadline"), pa.int64())}
-    parts = []
-    for e, x in enumerate(plan):
-        q, turn, release, deadline = zip(*x.slots, strict=True)
-        times = (np.arange(len(q)), release, deadline)
-        parts.append(pa.table({"q": q, "epoch": np.full(len(q), e), "turn": turn, **{n: np.asarray(v) + x.slot for n, v in zip(("slot", "release", "deadline"), times, strict=True)}}).cast(pa.schema(kinds)))
-    return pa.concat_tables(parts) if parts else pa.schema(kinds).empty_table()
+    return spark.createDataFrame(plan, kind).repartition(max(1, min(len(plan), partitions(spark)))).mapInPandas(step, "q string, mix_block long, slot long, release long, deadline long")
 
 
 def root_weight(chars: int) -> int:
@@ -154,8 +168,6 @@ def mix_sources(
     source_col: str = "source",
     weights: dict | None = None,
     block_chars: int = 1_000_000,
-    period: int = 1024,
-    most_sources: int = 256,
     seed: int = 7,
 ) -> DataFrame:
     """``df`` with ``mix_block``, ``mix_slot``, ``mix_release`` and ``mix_deadline``.
@@ -164,24 +176,21 @@ def mix_sources(
     whole ``block_chars`` characters before it, so that a source's first n blocks hold n blocks' characters
     but for one document's length. ``weights`` gives the sources' shares of blocks; by default they are as
     the square roots of the sources' characters, and sources that it leaves out weigh 1.
-    Shares are taken to the nearest 1 / ``period``, exactly where whole weights of a smaller sum
-    express them. The ``most_sources`` sources of most rows are scheduled one by one; all others
-    together are one source more (of weight ``weights[REST]``, or their sum). Every row is kept: when a
+    Shares are exact, for any number of sources. Every row is kept: when a
     source ends, the others go on in proportion. A null source is a source of its own;
     null texts have no characters; rows of one id and source share a block, those of a null id too; columns of ``df`` that
     carry the names of results are replaced. An empty table stays empty.
 
-    Only one count for each queue comes to the driver, and the schedule that goes out has at
-    most ``most_sources`` + 1 times ``period`` rows, whatever the number of blocks.
+    One count for each source comes to the driver, which steps once through the blocks (some microseconds each)
+    and sends out a state for every 2^16 of them.
     """
     spark = df.sparkSession
     ws, parts = Workspace(spark, "pfair"), partitions(spark)
     results = ["mix_block", "mix_slot", "mix_release", "mix_deadline"]
     own = [c for c in df.columns if c not in results]
-    queues = Queues.of(df, source_col, most_sources)
     doc = _doc_key(id_col).alias("doc")
     chars = F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long").alias("chars")
-    rows = df.select(as_own(df), queues.column(source_key(source_col)).alias("q"), doc, chars)
+    rows = df.select(as_own(df), source_key(source_col).alias("q"), doc, chars)
     light = rows.groupBy("q", "doc").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).withColumn("h", F.xxhash64("doc", F.lit(seed)))
 
     def running(batches):
@@ -200,28 +209,23 @@ def mix_sources(
     ordered = light.repartitionByRange(parts, "q", "h", "doc").sortWithinPartitions("q", "h", "doc").select("q", "doc", "chars", "n")
     placed = ws.table(ordered.mapInArrow(running, "q string, doc string, chars long, n long, task int, start long"), "placed")
     sums = placed.groupBy("q", "task").agg(F.sum("chars").alias("chars"))
-    earlier = Window.partitionBy("q").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    # At most one row for each task and one for each queue.
-    base = sums.select("q", "task", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("base"))
-    sizes = {r.q: r.chars for r in sums.groupBy("q").agg(F.sum("chars").alias("chars")).collect()}
-    blocks = {q: max(1, -(-n // block_chars)) for q, n in sizes.items()}
-    share = {q: Fraction(root_weight(n)) if weights is None else Fraction(queues.weight(q, weights)).limit_denominator(10**6) for q, n in sizes.items()}
+    queue = Window.partitionBy("q")
+    earlier = queue.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("chars").over(queue)
+    n_blocks = F.greatest(F.ceil(whole / F.lit(block_chars)), F.lit(1)).cast("long")
+    base = ws.table(sums.select("q", "task", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("base"), whole.alias("all"), n_blocks.alias("blocks")), "base")
+    sizes = base.select("q", "all", "blocks").distinct().collect()
+    given = {r.q: root_weight(r["all"]) if weights is None else weights.get(None if r.q == "null" else r.q[1:], 1) for r in sizes}
+    share = {q: Fraction(w).limit_denominator(10**6) for q, w in given.items()}
     if any(w <= 0 for w in share.values()):
         raise ValueError("weights must be positive")
-    plan = epochs(blocks, share, period)
-    table = spark.createDataFrame(_slot_table(plan))
-    # The epoch of a block is the last in which its queue starts at or before it.
-    starts = spark.createDataFrame([(q, [e.first[q] for e in plan if q in e.first]) for q in blocks] or [("", [0])], "q string, firsts array<long>")
+    schedule = ws.table(slot_table(spark, {r.q: r.blocks for r in sizes}, share), "slots")
     block = F.least(F.floor((F.col("start") + F.col("base")) / F.lit(block_chars)), F.col("blocks") - 1)
-    count = spark.createDataFrame(list(blocks.items()) or [("", 1)], "q string, blocks long")
-    dealt = placed.join(F.broadcast(base), ["q", "task"]).join(F.broadcast(count), "q").withColumn("mix_block", block.cast("long"))
-    dealt = dealt.join(F.broadcast(starts), "q").withColumn("epoch", F.size(F.filter("firsts", lambda x: x <= F.col("mix_block"))).cast("long") - 1)
-    dealt = dealt.withColumn("_k", F.col("mix_block") - F.get("firsts", F.col("epoch").cast("int")))
-    weight = spark.createDataFrame([(q, e, w, len(x.slots)) for e, x in enumerate(plan) for q, w in x.weights.items()] or [("", 0, 1, 1)], "q string, epoch long, weight long, period long")
-    dealt = dealt.join(F.broadcast(weight), ["q", "epoch"]).withColumn("turn", F.pmod("_k", "weight"))
-    dealt = dealt.withColumn("_past", F.floor(F.col("_k") / F.col("weight")).cast("long") * F.col("period")).drop("weight", "period")
-    dealt = dealt.join(F.broadcast(table), ["q", "epoch", "turn"])
-    units = dealt.select("q", "doc", "n", "mix_block", *((F.col(c) + F.col("_past")).alias(f"mix_{c}") for c in ("slot", "release", "deadline")))
+    dealt = placed.join(base, ["q", "task"]).select("q", "doc", F.col("n").alias("copies"), block.cast("long").alias("mix_block"))
+    # Very many documents without characters may share a block.
+    held = dealt.groupBy("q", "mix_block").agg(F.count("*").alias("n"))
+    found = spread_join(dealt, held.join(schedule, ["q", "mix_block"]), ["q", "mix_block"], placed.count())
+    units = found.select("q", "doc", F.col("copies").alias("n"), "mix_block", *(F.col(c).alias(f"mix_{c}") for c in ("slot", "release", "deadline")))
     mixed = spread_join(rows.select("own", "q", "doc"), units, ["q", "doc"], placed.agg(F.sum("n")).first()[0] or 0)
     return mixed.select(*own_columns(own), *results)
 
@@ -230,12 +234,6 @@ def _doc_key(id_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("null"))
 
 
-def in_queue_order(df: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """Rows in the order in which :func:`mix_sources` queues them: that of their slots, within each source."""
-    by = [F.xxhash64(_doc_key(id_col), F.lit(seed)), _doc_key(id_col)]
-    return df.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by)
-
-
 def in_mixed_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows in order of slot, range-partitioned, so that files read in order follow the mixture."""
     by = [F.col("mix_slot"), F.xxhash64(F.col(id_col)), F.col(id_col)]

@@ -159,28 +159,38 @@ def test_mixture_packing_is_lossless_and_gapless(spark, tokenizer_path, weights)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 9)), min_size=1, max_size=6), st.sampled_from([7, 100]))
-def test_schedule_keeps_every_source_within_a_block(sources, period):
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 10**9)), min_size=1, max_size=6), st.sampled_from([1, 7, 1000]))
+def test_schedule_keeps_every_source_within_a_block(sources, most):
     blocks = {f"s{i}": n for i, (n, _) in enumerate(sources)}
-    weights = {f"s{i}": Fraction(w) for i, (_, w) in enumerate(sources)}
-    plan, total = pfair.epochs(blocks, weights, period), sum(blocks.values())
-    ran, active = dict.fromkeys(blocks, 0), set(blocks)
-    for e, end in zip(plan, [*(x.slot for x in plan[1:]), total], strict=True):
-        whole = sum(e.weights.values())
-        assert set(e.weights) == active and len(e.slots) == whole and e.first == {s: ran[s] for s in active}
-        if sum(weights[s] for s in active) <= period:
-            assert all(Fraction(w, whole) == weights[s] / sum(weights[x] for x in active) for s, w in e.weights.items())
-        count = dict.fromkeys(active, 0)
-        for k in range(end - e.slot):
-            s, turn, release, deadline = e.slots[k % whole]
-            past = k // whole * whole
-            assert turn == count[s] - k // whole * e.weights[s] and release + past <= k < deadline + past
-            count[s] += 1
-            assert all(abs(count[x] - Fraction(e.weights[x], whole) * (k + 1)) < 1 for x in active)
-        for x in active:
-            ran[x] += count[x]
-        active = {x for x in active if ran[x] < blocks[x]}
-    assert ran == blocks and not active
+    weights = {f"s{i}": Fraction(w, 7) for i, (_, w) in enumerate(sources)}
+    ran, active, slot, began, begin = dict.fromkeys(blocks, 0), set(blocks), 0, 0, {}
+    for x in pfair.stretches(blocks, weights, most):
+        if x.slot == 0:
+            active, began, begin = {s for s in blocks if ran[s] < blocks[s]}, slot, dict(ran)
+        assert set(x.weights) == active and 0 < x.count <= most
+        whole = sum(weights[s] for s in active)
+        for s, block, at, release, deadline in x.rows():
+            assert block == ran[s] and at == slot and release <= at < deadline
+            ran[s] += 1
+            slot += 1
+            assert all(abs(ran[y] - begin[y] - weights[y] / whole * (slot - began)) < 1 for y in active)
+    assert ran == blocks and slot == sum(blocks.values())
+
+
+def test_a_long_schedule_stays_within_a_block_of_the_exact_shares():
+    """Four sources of 30 to 50 thousand blocks and a tiny one, by roots of their characters."""
+    blocks = {"a": 50_000, "b": 40_000, "c": 30_000, "d": 30_000, "e": 1}
+    weights = {s: Fraction(pfair.root_weight(n * 1_000_000 - 17)) for s, n in blocks.items()}
+    ran, worst, begin, began, slot = dict.fromkeys(blocks, 0), 0.0, {}, 0, 0
+    for x in pfair.stretches(blocks, weights):
+        if x.slot == 0:
+            begin, began = dict(ran), slot
+        for s, *_ in x.rows():
+            ran[s] += 1
+            slot += 1
+            if slot % 101 == 0:
+                worst = max(worst, *(abs(ran[y] - begin[y] - x.weights[y] / sum(x.weights.values()) * (slot - began)) for y in x.weights))
+    assert ran == blocks and worst < 1 + 1e-6
 
 
 def test_mixing_keeps_all_rows(spark):
@@ -212,13 +222,27 @@ def test_mixed_characters_follow_the_weights(spark):
     assert slots >= n_blocks
 
 
+def test_any_number_of_sources_keep_their_own_shares(spark):
+    """400 sources beside two large ones, with weights of their own; very many texts without characters."""
+    rows = [(i, "x" * 50, "en", f"s{i % 400}") for i in range(800)] + [(5000 + i, "y" * 60, "en", "ab"[i % 2]) for i in range(500)] + [(9000 + i, None, "en", "a") for i in range(600)]
+    weights = {f"s{k}": 1 + k % 3 for k in range(400)} | {"a": 300, "b": 150}
+    got = Workspace(spark, "mixed").table(pfair.mix_sources(docs(spark, rows).repartition(4), weights=weights, block_chars=50)).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows] and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.source, {})[r.mix_block] = (r.mix_slot, r.mix_release, r.mix_deadline)
+    chars = {s: sum(len(t or "") for _, t, _, x in rows if x == s) for s in blocks}
+    whole = next(pfair.stretches({s: -(-n // 50) for s, n in chars.items()}, {s: Fraction(w) for s, w in weights.items()}))
+    assert whole.weights == dict(sorted(weights.items())) and len(blocks) == 402
+    for s, block, *times in whole.rows():
+        # No document may start in a block.
+        assert blocks[s].get(block, tuple(times)) == tuple(times)
+
+
 def test_many_sources_share_a_queue_beyond_the_bound(spark, tokenizer_path):
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60)), "en", s) for i, s in enumerate(["a"] * 20 + ["b"] * 15 + ["c", "d", None] * 5)]
     df = docs(spark, rows)
-    mixed = Workspace(spark, "mixed").table(pfair.mix_sources(df, block_chars=500, most_sources=2))
-    assert sorted(r.doc_id for r in mixed.collect()) == [r[0] for r in rows]
-    assert mixed.where("mix_slot < mix_release or mix_slot >= mix_deadline").count() == 0
     pieces = mixture_packing.pack_mixture(df, tokenizer_path, weights={"a": 1, "b": 1, "c": 0.5, "d": 0.25, None: 0.25}, sequence=64, window_sequences=4, most_sources=2).collect()
     assert {r.doc_id: r.source for r in pieces} == {r[0]: r[3] for r in rows}
     assert sum(r.length for r in pieces) == sum(len(ids_of(tokenizer_path, r[1])) for r in rows)
