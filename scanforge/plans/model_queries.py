@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions import network as N
+from scanforge.functions.kernels import ISOTOPES, RESIDUES
 from scanforge.operators import calibration, joins, network, solve
-from scanforge.plans.queries import DICT, QUERIES, SQL, query, spectra_dictionary, t
+from scanforge.plans.queries import DICT, QUERIES, SPECTRA, SQL, query, spectra_dictionary, t
+from scanforge.sources import files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -124,3 +126,45 @@ def network_gradient(spark, sf):
     _, loss, g = network.gradient_sums(rows, net)
     found = [*enumerate(g[:-1].tolist()), (-1, float(g[-1])), (-2, loss)]
     return spark.createDataFrame(found, "place long, gradient double").withColumn("gradient", F.round("gradient", 6))
+
+
+#: Kernel, bias and output of a network of one filter.
+KERNEL, BIAS, OUT, BESIDE, SHIFT = (0.8, -1.1, 0.6), 0.02, 3.0, 0.05, -0.3
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, coalesce(label, 0)::DOUBLE AS beside, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+    h AS (SELECT vec_id, beside, list_avg(list_transform(range(1, len(x) + 1), lambda i: greatest(0.0, {KERNEL[0]} * CASE WHEN i > 1 THEN x[i - 1] ELSE 0 END + {KERNEL[1]} * x[i] + {KERNEL[2]} * CASE WHEN i < len(x) THEN x[i + 1] ELSE 0 END + {BIAS}))) AS h FROM e)
+    SELECT vec_id, round(1 / (1 + exp(-({OUT} * h + {BESIDE} * beside + {SHIFT}))), 6) AS score FROM h"""
+)
+def network_scores(spark, sf):
+    """Every vector scored by a convolution over its values beside its label."""
+    e = t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", "embedding", F.array(F.coalesce(F.col("label"), F.lit(0)).cast("double")).alias("beside"))
+    shape = N.Shape(len(e.first()["embedding"]), 1, ((1, 3),), 1, ())
+    net = network.Network(shape, np.array([*KERNEL, BIAS, OUT, BESIDE, SHIFT]))
+    return network.score_network(net, e, "embedding", "beside", "score").select("vec_id", F.round("score", 6).alias("score"))
+
+
+LETTERS = "ACDEFGHIKL"
+ATOMS = " UNION ALL ".join(f"SELECT '{r}' AS r, {', '.join(f'{n} AS {a}' for n, a in zip(counts, 'chnos', strict=True))}" for r, counts in RESIDUES.items())
+LIGHT = {e: v[0] for e, v in ISOTOPES.items()}
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, translate(p_partkey::VARCHAR, '0123456789', '{LETTERS}') || 'K' AS seq, p_size % 3 + 1 AS charge FROM part),
+    r AS (SELECT p_partkey, charge, unnest(string_split(seq, '')) AS r FROM s), f AS ({ATOMS}),
+    n AS (SELECT p_partkey, charge, sum(c) + 2 * count(*) FILTER (r = 'C') AS nc, sum(h) + 3 * count(*) FILTER (r = 'C') + 2 + charge AS nh, sum(n) + count(*) FILTER (r = 'C') AS nn, sum(o) + count(*) FILTER (r = 'C') + 1 AS no, sum(s) AS ns FROM r JOIN f USING (r) GROUP BY p_partkey, charge)
+    SELECT p_partkey, round(({" + ".join(f"n{e.lower()} * {m}::DOUBLE" for e, (m, _) in LIGHT.items())}) / charge, 6) AS mz, round({" * ".join(f"{p}::DOUBLE ** n{e.lower()}" for e, (_, p) in LIGHT.items())}, 6) AS abundance FROM n"""
+)
+def lightest_isotopes(spark, sf):
+    """The lightest isotopologue of a peptide made of each part's number: m/z and probability."""
+    rows = t(spark, sf, "part").select("p_partkey", F.concat(F.translate(F.col("p_partkey").cast("string"), "0123456789", LETTERS), F.lit("K")).alias("seq"), (F.col("p_size") % 3 + 1).alias("charge"))
+    found = files.isotope_patterns(rows, "seq", "charge", 0.005)
+    return found.select("p_partkey", F.round(F.get("IsoMZ", F.lit(0)), 6).alias("mz"), F.round(F.get("IsoAbundance", F.lit(0)), 6).alias("abundance"))
+
+
+@query(f"SELECT scan_idx, round(avg(x * x), 6) AS error FROM {SPECTRA} GROUP BY 1")
+def cross_validated_error(spark, sf):
+    """Held-out error of every spectrum at a penalty under which nothing is active: its mean square, whatever the folds."""
+    d, y = spectra_dictionary(spark, sf)
+    return solve.cross_validated_alpha(d, y, [0.01, 1e9], 4, "lasso_lars").where("alpha = 1e9").select("scan_idx", F.round("error", 6).alias("error"))
