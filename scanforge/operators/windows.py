@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.session import checkpointed
+from scanforge.session import scratch
 
 
 def _over(group: list[str], *order: Column | str):
@@ -65,7 +65,10 @@ def running_sum(df: DataFrame, value: str, out: str, *order: Column) -> DataFram
     and adds the totals of the ranges before, one row for each.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = checkpointed(df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id()))
+    path = scratch(df.sparkSession, "ranges")
+    ranged = df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    parted = df.sparkSession.read.schema(ranged.schema).parquet(path)
     totals = parted.groupBy("_part").agg(F.sum(value).alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
