@@ -6,11 +6,14 @@ by scan or candidate works as it is; what goes by time or over all scans of a ru
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanforge.plans.pipeline import Config, process_scans, quantify, with_search_range
 from scanforge.session import checkpointed
+from scanforge.sources import files
 
 #: Bits of a scan's or candidate's own number.
 BITS = 40
@@ -49,14 +52,33 @@ def split_runs(df: DataFrame, runs: DataFrame, run: str = "run") -> DataFrame:
     return named.select(run, *(new.get(c, F.col(c)).alias(c) for c in df.columns))
 
 
+def _numbered(scans: DataFrame, reference: DataFrame, config: Config, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    runs = number_runs(scans, run)
+    return runs, *join_runs(scans, with_search_range(reference, config), runs, run)
+
+
 def analyse_runs(scans: DataFrame, reference: DataFrame, config: Config, run: str = "run", n_peaks: int = 1) -> dict[str, DataFrame]:
     """All that ``process_scans`` and ``quantify`` give, for each run, with the column of the run first.
 
     Results are those of one job a run. Rows without a run are left out; runs of a third of all scans are spread like any others.
     """
-    runs = number_runs(scans, run)
-    own_scans, own_reference = join_runs(scans, with_search_range(reference, config), runs, run)
+    runs, own_scans, own_reference = _numbered(scans, reference, config, run)
     out = process_scans(own_scans, own_reference, config, [RUN])
     out["activation"] = checkpointed(out["activation"])
     out |= quantify(out["activation"], own_scans, own_reference, n_peaks, [RUN])
     return {name: split_runs(df, runs, run) for name, df in out.items()}
+
+
+def run_job(spark: SparkSession, config: Config, run: str = "run", n_peaks: int = 1, only: list[str] | None = None) -> dict[str, DataFrame]:
+    """:func:`analyse_runs` on the configured tables, each result (or those of ``only``) written under the job's folder; what is there is read unless an input has changed.
+
+    The table of scans holds all runs; that of candidates has a column of the run or holds for each.
+    """
+    scans, reference = spark.read.parquet(config.scans), spark.read.parquet(config.reference)
+    kept = partial(files.cached, spark, inputs=[config.scans, config.reference])
+    runs, own_scans, own_reference = _numbered(scans, reference, config, run)
+    steps = process_scans(own_scans, own_reference, config, [RUN])
+    # Numbers of their own stay in what the next step reads.
+    numbered = kept(config.table("numbered_activation"), lambda: steps["activation"])
+    out = {k: v for k, v in steps.items() if k != "activation"} | {"activation": numbered} | quantify(numbered, own_scans, own_reference, n_peaks, [RUN])
+    return {name: kept(config.table(f"runs_{name}"), lambda df=df: split_runs(df, runs, run)) for name, df in out.items() if only is None or name in only}

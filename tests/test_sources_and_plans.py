@@ -225,6 +225,22 @@ def test_three_runs_in_one_table_equal_three_jobs(spark):
         runs.analyse_runs(all_scans.withColumn("scan_idx", F.col("scan_idx") - 5), all_refs, config)["activation"].collect()
 
 
+def test_a_job_of_two_runs_is_written_and_read_again(spark, tmp_path):
+    from scanforge.plans import runs
+
+    scans, ref, _ = small_run(spark)
+    both = scans.withColumn("run", F.lit("x")).union(scans.where("scan_idx < 15").withColumn("run", F.lit("y")))
+    both.write.parquet(str(tmp_path / "scans"))
+    ref.write.parquet(str(tmp_path / "ref"))
+    config = pipeline.Config(scans=str(tmp_path / "scans"), reference=str(tmp_path / "ref"), experiment=str(tmp_path / "ref"), out=str(tmp_path / "out"), rt_tol=0.8)
+    first = runs.run_job(spark, config, only=["sum_raw"])["sum_raw"].collect()
+    assert {(r.run, r.id) for r in first} == {("x", 1), ("y", 1)}
+    at = (tmp_path / "out").rglob("_SUCCESS")
+    before = {p: p.stat().st_mtime_ns for p in at}
+    assert runs.run_job(spark, config, only=["sum_raw"])["sum_raw"].collect() == first and before
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("_SUCCESS")} == before
+
+
 def test_nearest_scans_of_each_run(spark):
     from scanforge.operators.joins import nearest_scan
 
