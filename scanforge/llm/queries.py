@@ -175,10 +175,11 @@ AUDIT_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS p
 def _rounds(rules: int = 8) -> str:
     """One round of expectation-maximisation over the table ``p`` of vote patterns; its state is a share and two lists."""
     odds = " + ".join(f"CASE v{i} WHEN 1 THEN ln(g[{i}] / (1 - b[{i}])) WHEN 0 THEN ln((1 - g[{i}]) / b[{i}]) ELSE 0 END" for i in range(1, rules + 1))
-    good = ", ".join(f"(coalesce(sum(q * n * v{i}), 0) + {WEIGHT * START[0]}::DOUBLE) / (coalesce(sum(q * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1))
-    bad = ", ".join(f"(coalesce(sum((1 - q) * n * (1 - v{i})), 0) + {WEIGHT * START[1]}::DOUBLE) / (coalesce(sum((1 - q) * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1))
+    good = [f"(coalesce(sum(q * n * v{i}), 0) + {WEIGHT * START[0]}::DOUBLE) / (coalesce(sum(q * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1)]
+    bad = [f"(coalesce(sum((1 - q) * n * (1 - v{i})), 0) + {WEIGHT * START[1]}::DOUBLE) / (coalesce(sum((1 - q) * n) FILTER (v{i} IS NOT NULL), 0) + {WEIGHT}::DOUBLE)" for i in range(1, rules + 1)]
+    bad = [f"greatest({b}, 1 - {g})" for g, b in zip(good, bad, strict=True)]
     each = f"SELECT r, p.*, 1 / (1 + exp(-greatest(-500, least(500, ln(s / (1 - s)) + {odds})))) AS q FROM em, p WHERE r < {ROUNDS}"
-    return f"SELECT r + 1, (sum(q * n) + {WEIGHT * PRIOR}::DOUBLE) / (sum(n) + {WEIGHT}::DOUBLE), [{good}], [{bad}] FROM ({each}) GROUP BY r"
+    return f"SELECT r + 1, (sum(q * n) + {WEIGHT * PRIOR}::DOUBLE) / (sum(n) + {WEIGHT}::DOUBLE), [{", ".join(good)}], [{", ".join(bad)}] FROM ({each}) GROUP BY r"
 
 
 def _vote(x: str, good: float, bad: float) -> str:

@@ -110,8 +110,8 @@ def fit_accuracies(patterns: list[tuple[tuple, int]], rules: int, rounds: int =
     Expectation-maximisation of a two-class model in which rules vote independently and
     abstentions say nothing. It starts from rules that seldom vote against a good row and
     each find a fifth of the bad ones, which tells which class is the good one. Two rows of
-    that kind in each class count with the rest in every round; there are no other bounds, so a
-    rule that votes at random ends as one that decides nothing.
+    that kind in each class count with the rest in every round. A rule whose bad votes turn out rarer on bad rows than on good ones
+    is held to equal rates; there are no other bounds, so such a rule, like one that votes at random, decides nothing.
     """
     prior, accuracy = PRIOR, [START] * rules
     for _ in range(rounds if patterns else 0):
@@ -127,7 +127,8 @@ def fit_accuracies(patterns: list[tuple[tuple, int]], rules: int, rounds: int =
                     s[2] += (1 - p) * n * (1 - v)
                     s[3] += (1 - p) * n
         prior = (good_n + WEIGHT * PRIOR) / (total + WEIGHT)
-        accuracy = [(s[0] / s[1], s[2] / s[3]) for s in sums]
+        # A bad vote is at least as frequent on bad rows as on good ones, so it never speaks for a row.
+        accuracy = [(s[0] / s[1], max(s[2] / s[3], 1 - s[0] / s[1])) for s in sums]
     return prior, accuracy
 
 

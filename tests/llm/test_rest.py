@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -413,12 +414,16 @@ def test_verdicts_against_plain_python(spark):
     for _ in range(100):
         p = posterior()[:, None]
         good, bad = ((p * yes * seen).sum(0) + 1.94) / ((p * seen).sum(0) + 2), (((1 - p) * (1 - yes) * seen).sum(0) + 0.4) / (((1 - p) * seen).sum(0) + 2)
+        bad = np.maximum(bad, 1 - good)
         prior = (p.sum() + 1.6) / (len(v) + 2)
     want = dict(zip(names, posterior(), strict=True))
     assert all(r.p_good == pytest.approx(want[r.doc_id], abs=1e-6) and r.kept == (want[r.doc_id] >= 0.5) for r in got if not r.base_failed)
     one_bad = [i for i, row in zip(names, v, strict=True) if (row == 0).sum() == 1]
     kept = {r.doc_id for r in got if r.kept}
     assert 0 < sum(i in kept for i in one_bad) < len(one_bad)
+    # No bad vote raises the odds.
+    odds = weak_quality.fit_accuracies(sorted(collections.Counter(tuple(None if np.isnan(x) else int(x) for x in row) for row in v).items(), key=str), 8)[1]
+    assert all(b >= 1 - g - 1e-12 and np.isclose(g, x) and np.isclose(b, y) for (g, b), x, y in zip(odds, good, bad, strict=True))
     assert (good < 1).all() and (good < 0.9999).sum() >= 6 and ((bad > 0.0001) & (bad < 0.9999)).all()
 
 
