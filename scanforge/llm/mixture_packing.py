@@ -20,50 +20,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import Workspace, small_batches
-from scanforge.llm.pfair import Queues, source_key
+from scanforge.llm.pfair import source_key
 from scanforge.llm.tokens import encoder
 
 
+#: Numbers that a task holds at once to place slices of windows.
+CELLS = 1 << 21
+
+
 @dataclass
 class RoundRobin:
-    """Tokens sent by queue and window: piecewise linear between the times at which queues end."""
+    """Tokens sent by queue and window.
+
+    All queues follow one clock. In a window it goes on by the window's tokens over the weights of all queues that are not
+    empty, and a queue has sent its weight times the clock until it is empty. So three numbers a queue tell all.
+    """
 
     totals: np.ndarray  # tokens of each queue
+    weights: np.ndarray
+    ends: np.ndarray  # the clock when each queue is empty
     times: np.ndarray  # windows, from 0, at which some queue ends
-    sent: np.ndarray  # queue by time: tokens sent
+    clock: np.ndarray  # the clock at these
 
     @classmethod
     def plan(cls, totals: np.ndarray, weights: np.ndarray, window: int) -> RoundRobin:
-        left, done = totals.astype(float), np.zeros(len(totals))
-        times, sent = [0.0], [done.copy()]
-        while (left > 0).any():
-            active = left > 0
-            rate = np.where(active, weights, 0.0) * window / weights[active].sum()
-            step = (left[active] / rate[active]).min()
-            ends = active & (left <= rate * step * (1 + 1e-12))
-            left = np.where(ends, 0.0, left - rate * step)
-            done = np.where(ends, totals, totals - left)
-            times.append(times[-1] + step)
-            sent.append(done.copy())
-        return cls(totals, np.array(times), np.array(sent).T)
-
-    def before(self, queue: int, w: np.ndarray) -> np.ndarray:
-        """Tokens that a queue sends in windows before ``w``."""
-        return np.minimum(np.floor(np.interp(w, self.times, self.sent[queue])).astype(np.int64), self.totals[queue])
-
-    def window_of(self, queue: int, token: np.ndarray) -> np.ndarray:
-        w = np.floor(np.interp(token, self.sent[queue], self.times)).astype(np.int64)
+        ends = totals / weights
+        order = np.argsort(ends, kind="stable")
+        knots, first = np.unique(ends[order], return_index=True)
+        active = np.cumsum(weights[order][::-1])[::-1][first]
+        times = np.cumsum(np.diff(knots, prepend=0.0) * active / window)
+        return cls(totals, weights, ends, np.append(0.0, times), np.append(0.0, knots))
+
+    def before(self, queue, w: np.ndarray) -> np.ndarray:
+        """Tokens that queues send in windows before ``w``."""
+        clock = np.interp(w, self.times, self.clock)
+        sent = np.floor(self.weights[queue] * clock).astype(np.int64)
+        return np.where(clock >= self.ends[queue], self.totals[queue], np.minimum(sent, self.totals[queue]))
+
+    def window_of(self, queue, token: np.ndarray) -> np.ndarray:
+        w = np.floor(np.interp(token / self.weights[queue], self.clock, self.times)).astype(np.int64)
         while (low := self.before(queue, w) > token).any():
             w -= low
         while (high := self.before(queue, w + 1) <= token).any():
             w += high
         return w
 
-    def starts(self, w: np.ndarray) -> np.ndarray:
-        """For each window and queue, the place of the queue's slice among all tokens."""
-        low = np.stack([self.before(q, w) for q in range(len(self.totals))], axis=1)
-        size = np.stack([self.before(q, w + 1) for q in range(len(self.totals))], axis=1) - low
-        return low.sum(axis=1, keepdims=True) + np.cumsum(size, axis=1) - size
+    def starts(self, queue: np.ndarray, w: np.ndarray, cells: int = CELLS) -> np.ndarray:
+        """The place among all tokens of each queue's slice of window ``w``; a few windows at a time, whatever the number of queues."""
+        windows, at = np.unique(w, return_inverse=True)
+        everyone, out = np.arange(len(self.totals)), np.zeros(len(w), np.int64)
+        step = max(1, cells // max(1, len(everyone)))
+        for i in range(0, len(windows), step):
+            part = windows[i : i + step, None]
+            low = self.before(everyone, part)
+            size = self.before(everyone, part + 1) - low
+            place = low.sum(axis=1, keepdims=True) + np.cumsum(size, axis=1) - size
+            mine = np.flatnonzero((at >= i) & (at < i + step))
+            out[mine] = place[at[mine] - i, queue[mine]]
+        return out
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +86,14 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def cut(plan: RoundRobin, queue: int, start: np.ndarray, length: np.ndarray, sequence: int):
-    """Pieces of documents at ``start`` in their queue: row, start in the document, length, sequence, offset, window."""
+def cut(plan: RoundRobin, queue: np.ndarray, start: np.ndarray, length: np.ndarray, sequence: int):
+    """Pieces of documents at ``start`` in their ``queue``: row, start in the document, length, sequence, offset, window."""
     first = plan.window_of(queue, start)
     row, w = _spread(first, plan.window_of(queue, start + length - 1) - first + 1)
-    low, high = np.maximum(start[row], plan.before(queue, w)), np.minimum((start + length)[row], plan.before(queue, w + 1))
+    low, high = np.maximum(start[row], plan.before(queue[row], w)), np.minimum((start + length)[row], plan.before(queue[row], w + 1))
     some = high > low
     row, w, low, high = row[some], w[some], low[some], high[some]
-    windows, at = np.unique(w, return_inverse=True)
-    place = plan.starts(windows)[at, queue] + low - plan.before(queue, w)
+    place = plan.starts(queue[row], w) + low - plan.before(queue[row], w)
     piece, seq = _spread(place // sequence, (place + high - low - 1) // sequence - place // sequence + 1)
     begin = np.maximum(place[piece], seq * sequence)
     end = np.minimum((place + high - low)[piece], (seq + 1) * sequence)
@@ -120,7 +133,6 @@ def pack_mixture(
     sequence: int = 1024,
     window_sequences: int = 64,
     end_id: int = 0,
-    most_sources: int = 256,
     exponent: float = 1.0,
     in_file_order: bool = False,
 ) -> DataFrame:
@@ -131,8 +143,7 @@ def pack_mixture(
     ``weights``, to within a token for each source, until a source ends; then the others share its
     place in proportion. Sources without a weight weigh 1. Without ``weights`` sources weigh as their tokens to
     the power of ``exponent``: at 1 all end together, below 1 the smaller sources weigh more and end
-    later. The ``most_sources`` sources of most rows queue one by one; all others share a
-    queue more (of weight ``weights[REST]``, or their sum). All sequences but the last are
+    later. Every source has a queue of its own, however many there are. All sequences but the last are
     full; ``padded_length`` is ``sequence``, or the last one's length if that is a power of
     two. A null source is a source of its own. Documents of a source queue as tasks read them, or, with
     ``in_file_order``, in the order of the files that ``df`` reads and of the rows in them; rows of equal or null id are packed one by one. Other columns are ignored; an empty
@@ -141,14 +152,13 @@ def pack_mixture(
     ``padded_length``, ``ids``.
 
     Ids are written once to the shared folder and never shuffled: what moves is one count for
-    each queue in each partition, or in each stretch of a file that a task reads. One count for each queue, ``most_sources`` + 1 at most, comes to
-    the driver.
+    each queue in each partition, or in each stretch of a file that a task reads. One count for each source comes to
+    the driver, and three numbers for each go to the tasks.
     """
     spark = df.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "mixture")
     source = source_key(source_col)
-    queues = Queues.of(df, source_col, most_sources)
 
     def tokenise(batches):
         encode, sent, task = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
@@ -174,14 +184,14 @@ def pack_mixture(
             packed = [x.astype("<u2").tobytes() if x.max() < 65536 else b"" for x in narrow]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": b.column("id"), "source": b.column("source"), "queue": b.column("queue"), **({"file": b.column("file"), "first": pa.array(firsts, pa.int64())} if in_file_order else {}), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
+                    "id": b.column("id"), "queue": b.column("queue"), **({"file": b.column("file"), "first": pa.array(firsts, pa.int64())} if in_file_order else {}), "task": pa.array([task] * len(ids), pa.int32()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()),
                     "narrow": pa.array(packed, pa.binary()), "wide": pa.array([b"" if p else x for p, x in zip(packed, ids, strict=True)], pa.binary()),
                 }
             )
 
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("source"), queues.column(source).alias("queue"), F.col(f"`{text_col}`").alias("text"), *(file_place() if in_file_order else ()))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), source.alias("queue"), F.col(f"`{text_col}`").alias("text"), *(file_place() if in_file_order else ()))
     where = "file string, first long, " if in_file_order else ""
-    tokens = ws.table(docs.mapInArrow(tokenise, f"id long, source string, queue string, {where}task int, start long, n long, narrow binary, wide binary"), "tokens")
+    tokens = ws.table(docs.mapInArrow(tokenise, f"id long, queue string, {where}task int, start long, n long, narrow binary, wide binary"), "tokens")
     stretch = ["file", "first", "task"] if in_file_order else ["task"]
     counts = tokens.groupBy("queue", *stretch).agg(F.sum("n").alias("n"))
     # Files of one writer are numbered; a longer number is a later one.
@@ -190,38 +200,35 @@ def pack_mixture(
     found = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()
     names = [r["queue"] for r in found]
     totals = np.array([r["n"] for r in found], np.int64)
-    share = totals.astype(float) ** exponent if weights is None else np.array([float(queues.weight(q, weights)) for q in names])
+    share = totals.astype(float) ** exponent if weights is None else np.array([float(weights.get(None if q == "null" else q[1:], 1)) for q in names])
     if (share <= 0).any():
         raise ValueError("weights must be positive")
     plan = RoundRobin.plan(totals, share, sequence * window_sequences)
     total = int(totals.sum())
     last, rest = divmod(max(total - 1, 0), sequence)
     last_padded = rest + 1 if (rest + 1) & rest == 0 else sequence
-    index = {q: i for i, q in enumerate(names)}
+    numbers = spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, number int")
 
     def place(batches):
         for b in batches:
-            numbers = np.array([index[q] for q in b.column("queue").to_pylist()], np.int64)
+            queue = b.column("number").to_numpy().astype(np.int64)
             start, n = b.column("start").to_numpy() + b.column("base").to_numpy(), b.column("n").to_numpy()
             ids = [
                 w or np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, w in zip(b.column("narrow").to_pylist(), b.column("wide").to_pylist(), strict=True)
             ]
-            sources = pa.array([None if s == "null" else s[1:] for s in b.column("source").to_pylist()], pa.string())
-            for q in np.unique(numbers).tolist():
-                mine = np.flatnonzero(numbers == q)
-                row, begin, length, seq, offset, window = cut(plan, q, start[mine], n[mine], sequence)
-                row = mine[row]
-                parts = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), begin.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        id_col: b.column("id").take(pa.array(row)),
-                        "source": sources.take(pa.array(row)),
-                        "start": begin, "length": length, "ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64()), "doc_tokens": n[row],
-                        "sequence_id": seq, "offset": offset, "window": window,
-                        "padded_length": np.where(seq == last, last_padded, sequence),
-                        "ids": pa.array(parts, pa.binary()),
-                    }
-                )
+            sources = pa.array([None if q == "null" else q[1:] for q in b.column("queue").to_pylist()], pa.string())
+            row, begin, length, seq, offset, window = cut(plan, queue, start, n, sequence)
+            parts = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), begin.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    id_col: b.column("id").take(pa.array(row)),
+                    "source": sources.take(pa.array(row)),
+                    "start": begin, "length": length, "ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64()), "doc_tokens": n[row],
+                    "sequence_id": seq, "offset": offset, "window": window,
+                    "padded_length": np.where(seq == last, last_padded, sequence),
+                    "ids": pa.array(parts, pa.binary()),
+                }
+            )
 
     schema = f"`{id_col}` long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, padded_length long, ids binary"
-    return tokens.join(base.drop("n"), ["queue", *stretch]).mapInArrow(place, schema)
+    return tokens.join(base.drop("n").join(numbers, "queue"), ["queue", *stretch]).mapInArrow(place, schema)

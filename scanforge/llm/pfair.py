@@ -26,35 +26,6 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import Workspace, as_own, own_columns, partitions
 from scanforge.llm.links import spread_join
 
-#: The key of the weight of all sources that are not among those counted one by one.
-REST = ("rest",)
-
-
-@dataclass
-class Queues:
-    """Sources by number of rows: the ``most`` largest have queues of their own, all others share one."""
-
-    names: list[str]
-    others: int
-
-    @classmethod
-    def of(cls, df: DataFrame, source_col: str, most: int) -> Queues:
-        sizes = df.groupBy(source_key(source_col).alias("q")).count()
-        names = [r.q for r in sizes.orderBy(F.desc("count"), "q").limit(most + 1).collect()]
-        return cls(names, 0) if len(names) <= most else cls(names[:most], sizes.count() - most)
-
-    def column(self, q: Column) -> Column:
-        return F.when(q.isin(self.names), q).otherwise("rest") if self.others else q
-
-    def weight(self, queue: str, weights: dict) -> float:
-        """Of a queue, where sources that ``weights`` leaves out weigh 1."""
-        if queue != "rest":
-            return weights.get(None if queue == "null" else queue[1:], 1)
-        if REST in weights:
-            return weights[REST]
-        given = [w for k, w in weights.items() if ("null" if k is None else f"={k}") not in self.names]
-        return sum(given) + max(0, self.others - len(given))
-
 
 def source_key(source_col: str) -> Column:
     """A source's name, marked, so that a null source has a name of its own."""
@@ -153,12 +124,11 @@ def root_weight(chars: int) -> int:
     return math.isqrt(chars) + 1
 
 
-def root_weights(df: DataFrame, text_col: str = "text", source_col: str = "source", most_sources: int = 256) -> dict:
-    """The weights, by source (and of the rest), that :func:`mix_sources` takes by default."""
-    queues = Queues.of(df, source_col, most_sources)
+def root_weights(df: DataFrame, text_col: str = "text", source_col: str = "source") -> dict[str | None, int]:
+    """The weight, by source, that :func:`mix_sources` takes by default: one row a source comes to the driver."""
     chars = F.sum(F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long")).alias("chars")
-    sizes = df.groupBy(queues.column(source_key(source_col)).alias("q")).agg(chars).collect()
-    return {REST if r.q == "rest" else None if r.q == "null" else r.q[1:]: root_weight(r.chars) for r in sizes}
+    sizes = df.groupBy(source_key(source_col).alias("q")).agg(chars).collect()
+    return {None if r.q == "null" else r.q[1:]: root_weight(r.chars) for r in sizes}
 
 
 def mix_sources(

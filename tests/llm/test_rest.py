@@ -240,16 +240,36 @@ def test_any_number_of_sources_keep_their_own_shares(spark):
         assert blocks[s].get(block, tuple(times)) == tuple(times)
 
 
-def test_many_sources_share_a_queue_beyond_the_bound(spark, tokenizer_path):
+def test_any_number_of_sources_queue_one_by_one(spark, tokenizer_path):
+    """300 sources with weights of their own: each holds its share of every full window, in a gapless order."""
     rng = random.Random(13)
-    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60)), "en", s) for i, s in enumerate(["a"] * 20 + ["b"] * 15 + ["c", "d", None] * 5)]
-    df = docs(spark, rows)
-    pieces = mixture_packing.pack_mixture(df, tokenizer_path, weights={"a": 1, "b": 1, "c": 0.5, "d": 0.25, None: 0.25}, sequence=64, window_sequences=4, most_sources=2).collect()
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60)), "en", None if i % 300 == 7 else f"s{i % 300}") for i in range(900)]
+    weights = {s: 1 + i % 3 for i, s in enumerate(dict.fromkeys(r[3] for r in rows))}
+    df = docs(spark, rows).repartition(4)
+    pieces = mixture_packing.pack_mixture(df, tokenizer_path, weights=weights, sequence=64, window_sequences=32).collect()
     assert {r.doc_id: r.source for r in pieces} == {r[0]: r[3] for r in rows}
-    assert sum(r.length for r in pieces) == sum(len(ids_of(tokenizer_path, r[1])) for r in rows)
-    first = [(r.source, r.length) for r in pieces if r.window == 0]
-    assert all(abs(sum(n for s, n in first if (s in "ab" and s == q) or (q == "rest" and s not in ("a", "b"))) - 256 / 3) <= 2 for q in ("a", "b", "rest")) if all(s for s, _ in first) else True
-    assert pfair.root_weights(df, most_sources=2).keys() == {"a", "b", pfair.REST}
+    held, place = {}, []
+    for r in pieces:
+        held.setdefault(r.window, dict.fromkeys(weights, 0))[r.source] += r.length
+        place += range(64 * r.sequence_id + r.offset, 64 * r.sequence_id + r.offset + r.length)
+    assert sorted(place) == list(range(sum(len(ids_of(tokenizer_path, r[1])) for r in rows)))
+    first_end = min(sum(n[s] for n in held.values()) / (2048 * w / sum(weights.values())) for s, w in weights.items())
+    assert first_end > 3
+    for w in range(int(first_end)):
+        assert all(abs(n - 2048 * weights[s] / sum(weights.values())) < 1 + 1e-6 for s, n in held[w].items())
+    assert pfair.root_weights(df).keys() == weights.keys()
+
+
+def test_slices_of_windows_are_placed_alike_however_few_windows_at_a_time():
+    rng = np.random.default_rng(4)
+    totals, weights = rng.integers(1, 3000, 500), rng.uniform(0.05, 5, 500)
+    plan = mixture_packing.RoundRobin.plan(totals, weights, 1000)
+    queue = rng.integers(0, 500, 2000)
+    w = plan.window_of(queue, (rng.random(2000) * totals[queue]).astype(np.int64))
+    sent = np.stack([plan.before(np.arange(500), np.full(500, i)) for i in range(int(w.max()) + 2)])
+    want = sent[w].sum(axis=1) + [(sent[i + 1, :q] - sent[i, :q]).sum() for q, i in zip(queue, w, strict=True)]
+    for cells in (1, 3 * 500, 1 << 21):
+        assert (plan.starts(queue, w, cells) == want).all()
 
 
 # --- chat -------------------------------------------------------------------------------------------
