@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -30,11 +31,15 @@ def some_docs(spark, n=60, seed=1):
     return docs(spark, rows + [(1000 + i, t, None, "odd") for i, t in enumerate(ODD)] + [rows[0], (None, "no id", None, None)])
 
 
-def ids_of(path, text):
+@functools.cache
+def plain_tokenizer(path):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(path)
+
+
+def ids_of(path, text):
+    return [*plain_tokenizer(path).encode(text or "", add_special_tokens=False).ids, 0]
 
 
 # --- tokens and packing -----------------------------------------------------------------
