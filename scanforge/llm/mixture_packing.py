@@ -231,4 +231,6 @@ def pack_mixture(
             )
 
     schema = f"`{id_col}` long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, padded_length long, ids binary"
-    return tokens.join(base.drop("n").join(numbers, "queue"), ["queue", *stretch]).mapInArrow(place, schema)
+    # Written, so that Spark knows its size: a join's estimate is far too large to be broadcast, and ids would be shuffled.
+    numbered = ws.table(base.drop("n").join(numbers, "queue"), "numbered")
+    return tokens.join(numbered, ["queue", *stretch]).mapInArrow(place, schema)
