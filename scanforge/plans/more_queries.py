@@ -142,8 +142,8 @@ def predictions_within_tolerance(spark, sf):
     """Measurements within a tolerance of their prediction, summed."""
     measured = t(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("time"), F.col("l_extendedprice").alias("Intensity"), F.lit(1).alias("one"))
     predicted = t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("predicted_RT"))
-    one = prediction.match_predictions(measured, predicted, ["l_partkey"], "time", ["l_partkey", "l_orderkey", "l_linenumber"], 5.0, ["time"])
-    return one.groupBy("l_partkey").agg(F.count("*").alias("n"), F.round(F.sum("Intensity"), 2).alias("intensity"))
+    near = prediction.match_predictions(measured, predicted, ["l_partkey"], "time", ["l_partkey"], 5.0, ["l_orderkey", "l_linenumber"], ("Intensity", "one"))
+    return near.select("l_partkey", F.col("one").alias("n"), F.round("Intensity", 2).alias("intensity"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k BETWEEN 11 AND 60")

@@ -88,11 +88,11 @@ def update_times(model: TimeModel, train: DataFrame, val: DataFrame, sequence_co
     raise ValueError(f"unknown update {how}")
 
 
-def match_predictions(measured: DataFrame, predicted: DataFrame, keys: list[str], time_col: str, group: list[str], keep: str | float | None, ties: list[str]) -> DataFrame:
+def match_predictions(measured: DataFrame, predicted: DataFrame, keys: list[str], time_col: str, group: list[str], keep: str | float | None, ties: list[str], sums: tuple[str, ...] = ("Intensity",)) -> DataFrame:
     """Measured rows with their prediction and its distance.
 
     keep: None, all; ``closest``, the row of each group nearest to its prediction; a number,
-    rows within it, one for each group with intensities summed and else the first row.
+    rows within it, one for each group with the columns ``sums`` added up and else the first row.
     """
     joined = measured.join(predicted, keys, "left").withColumn("RT_diff", F.abs(F.col(time_col) - F.col("predicted_RT")))
     if keep is None:
@@ -102,8 +102,8 @@ def match_predictions(measured: DataFrame, predicted: DataFrame, keys: list[str]
     if not isinstance(keep, (int, float)) or isinstance(keep, bool):
         raise ValueError("keep must be None, 'closest' or a number")
     near = joined.where(F.col("RT_diff") <= keep)
-    others = [c for c in joined.columns if c not in group and c != "Intensity"]
-    total = [F.sum("Intensity").alias("Intensity")] if "Intensity" in joined.columns else []
+    others = [c for c in joined.columns if c not in group and c not in sums]
+    total = [F.sum(c).alias(c) for c in sums if c in joined.columns]
     return near.groupBy(*group).agg(*(first_by(c, *ties).alias(c) for c in others if c not in ties), *(F.min(t).alias(t) for t in ties), *total)
 
 
