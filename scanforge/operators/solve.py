@@ -113,19 +113,19 @@ def cross_validated_alpha(dictionary: DataFrame, observed: DataFrame, alphas: li
 
 
 def _systems(dictionary: DataFrame, observed: DataFrame) -> DataFrame:
-    """Rows of all scans' systems: what is observed, what a candidate expects, or both."""
-    both = dictionary.join(observed, ["scan_idx", "apex_mz"], "full")
-    return both.select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+    """Rows of all scans' systems: what a candidate expects (no intensity) and what is observed (no id). They meet in the scan's task, so no join is needed."""
+    none = F.lit(None).cast(dictionary.schema["id"].dataType)
+    expected = dictionary.select("scan_idx", "apex_mz", "id", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.lit(None).cast("double").alias("intensity"))
+    return expected.unionByName(observed.select("scan_idx", "apex_mz", none.alias("id"), F.lit(0.0).alias("abundance"), F.coalesce("intensity", F.lit(0.0)).alias("intensity")))
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A scan's observation, its dictionary matrix, and the candidates of the columns."""
     place, row = np.unique(t.column("apex_mz").to_numpy(), return_inverse=True)
-    ids = t.column("id").to_pandas()
-    known = np.flatnonzero(ids.notna())
-    names, column = np.unique(ids.to_numpy()[known].astype(np.int64), return_inverse=True)
+    known, seen = (np.flatnonzero(t.column(c).is_valid().to_numpy()) for c in ("id", "intensity"))
+    names, column = np.unique(t.column("id").drop_null().to_numpy().astype(np.int64), return_inverse=True)
     y, d = np.zeros(len(place)), np.zeros((len(place), len(names)))
-    y[row] = t.column("intensity").to_numpy()
+    y[row[seen]] = t.column("intensity").drop_null().to_numpy()
     d[row[known], column] = t.column("abundance").to_numpy()[known]
     return y, d, names
 
