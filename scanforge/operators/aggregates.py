@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanforge.operators.windows import running_sum
+
 
 def first_by(value: str, *order: str) -> Column:
     """The first non-null value in ``order``."""
@@ -41,15 +43,34 @@ def first_last_above(df: DataFrame, group: list[str], index: str, value: str, th
     return found.withColumn("span", F.col("last") - F.col("first") + 1)
 
 
-def quantiles(value: str, shares: list[float]) -> list[Column]:
-    """Exact quantiles with linear interpolation, named ``<value>_q<percent>``."""
-    return [F.percentile(value, q).alias(f"{value}_q{round(100 * q)}") for q in shares]
+def quantiles(df: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact quantiles of a column, with linear interpolation, by their names; nulls are left out.
+
+    Values are counted, and running counts over range partitions give their ranks, so no task holds all values.
+    """
+    counts = df.select(value.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
+    ranked = running_sum(counts, "_n", "_upto", F.col("_v").asc())
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("_n").alias("_all"))))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
+
+    places = {name: F.lit(float(q)) * (F.col("_all") - 1) for name, q in shares.items()}
+    found = ranked.agg(*(x for name, p in places.items() for x in (F.max(p).alias(f"_p_{name}"), at(F.floor(p)).alias(f"_a_{name}"), at(F.ceil(p)).alias(f"_z_{name}"))))
+
+    def between(name: str) -> Column:
+        p, a, z = (F.col(f"_{x}_{name}") for x in "paz")
+        return F.when(F.floor(p) == F.ceil(p), a.cast("double")).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * z)
+
+    return found.select(*(between(name).alias(name) for name in shares))
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max."""
     v = F.col(value)
-    return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), *quantiles(value, [0.25, 0.5, 0.75]), F.max(v).alias("max"))
+    moments = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    quartiles = quantiles(df, v, {f"{value}_q{round(100 * q)}": q for q in (0.25, 0.5, 0.75)})
+    return moments.crossJoin(F.broadcast(quartiles)).select("count", "mean", "std", "min", *quartiles.columns, "max")
 
 
 def histogram(df: DataFrame, value: str, low: float, width: float) -> DataFrame:
