@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanforge.operators.aggregates import quantiles
 from scanforge.operators.windows import average_rank
 
 
@@ -41,7 +42,8 @@ def time_metrics(df: DataFrame, observed: str, predicted: str, coverage: float =
     rows = df.where(F.col(observed).isNotNull() & F.col(predicted).isNotNull()).select(F.col(observed).cast("double").alias("o"), F.col(predicted).cast("double").alias("p"))
     delta = F.col("o") - F.col("p")
     if mode == "abs":
-        width = 2 * F.percentile(F.abs(delta), coverage / 100)
+        width, ends = 2 * F.col("_high"), quantiles(rows, F.abs(delta), {"_high": coverage / 100})
     else:
-        width = F.percentile(delta, (100 + coverage) / 200) - F.percentile(delta, (100 - coverage) / 200)
-    return rows.agg(width.alias("width"), F.corr("o", "p").alias("pearson"), F.avg(F.abs(delta)).alias("mae"))
+        width, ends = F.col("_high") - F.col("_low"), quantiles(rows, delta, {"_high": (100 + coverage) / 200, "_low": (100 - coverage) / 200})
+    sums = rows.agg(F.corr("o", "p").alias("pearson"), F.avg(F.abs(delta)).alias("mae"))
+    return sums.crossJoin(F.broadcast(ends)).select(width.alias("width"), "pearson", "mae")
