@@ -127,6 +127,22 @@ def pairs_within(df: DataFrame, group: list[str], key: str, values: list[str]) -
     return a.join(b, group).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
+def pair_counts(df: DataFrame, group: list[str], key: str) -> DataFrame:
+    """How many pairs of rows of a group have each pair of keys, the lower key first: ``<key>_a``, ``<key>_b``, ``n``.
+
+    A group's keys are sorted in one row and paired there, which takes one shuffle of rows and no table of pairs. Null keys pair with nothing.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*group, key).where(reduce(and_, (F.col(c).isNotNull() for c in (*group, key)))).repartition(slices, *group)
+    keys = rows.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("_all")).where(F.size("_all") > 1)
+    distinct = F.array_distinct("_all")
+    many = F.transform(distinct, lambda k: F.struct(k.alias("k"), F.size(F.filter("_all", lambda x: x == k)).cast("long").alias("n")))
+    counted = keys.select(*group, F.when(F.size(distinct) < F.size("_all"), many).otherwise(F.transform("_all", lambda k: F.struct(k.alias("k"), F.lit(1).cast("long").alias("n")))).alias("_k"))
+    first = counted.select(*group, "_k", F.posexplode("_k").alias("_i", "_a"))
+    pairs = first.select(*group, "_a", F.explode(F.slice("_k", F.col("_i") + 2, F.size("_k"))).alias("_b"))
+    return pairs.select(*group, F.col("_a.k").alias(f"{key}_a"), F.col("_b.k").alias(f"{key}_b"), (F.col("_a.n") * F.col("_b.n")).alias("n"))
+
+
 def overlap_label(start_a: str, end_a: str, start_b: str, end_b: str, labels: str = "reference") -> Column:
     """How range b lies to range a: full, partial or no overlap.
 

@@ -201,8 +201,8 @@ def lateral_lookup(spark, sf):
     GROUP BY ALL"""
 )
 def self_pair_join(spark, sf):
-    pairs = joins.pairs_within(t(spark, sf, "lineitem"), ["l_orderkey"], "l_partkey", [])
-    return pairs.groupBy("l_orderkey", F.col("l_partkey_a").alias("key_a"), F.col("l_partkey_b").alias("key_b")).agg(F.count("*").alias("n"))
+    pairs = joins.pair_counts(t(spark, sf, "lineitem"), ["l_orderkey"], "l_partkey")
+    return pairs.select("l_orderkey", F.col("l_partkey_a").alias("key_a"), F.col("l_partkey_b").alias("key_b"), "n")
 
 
 @query("SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey)::BIGINT AS task_id, r_name, n_name FROM region, nation")
