@@ -213,7 +213,10 @@ def parameter_grid(spark: SparkSession, id_col: str = "ArrayTaskID", **values: l
 
 
 def isotope_patterns(df: DataFrame, sequence_col: str = "Modified sequence", charge_col: str = "Charge", threshold: float = 0.01) -> DataFrame:
-    """``df`` with ``IsoMZ`` and ``IsoAbundance``; each distinct sequence and charge is computed once."""
+    """``df`` with ``IsoMZ`` and ``IsoAbundance``; each distinct sequence and charge is computed once.
+
+    What the kernel returns is far larger than Spark assumes, so the join is hinted to merge: a broadcast would bring all patterns to the driver.
+    """
     from scanforge.functions.kernels import isotope_pattern
 
     keys = df.select(F.col(sequence_col).alias("_s"), F.col(charge_col).alias("_c")).where("_s is not null and _c is not null").distinct()
@@ -225,4 +228,4 @@ def isotope_patterns(df: DataFrame, sequence_col: str = "Modified sequence", cha
             yield pa.RecordBatch.from_arrays([b.column("_s"), b.column("_c"), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], ["_s", "_c", "IsoMZ", "IsoAbundance"])
 
     patterns = keys.mapInArrow(compute, T.StructType([*keys.schema.fields, T.StructField("IsoMZ", T.ArrayType(T.DoubleType())), T.StructField("IsoAbundance", T.ArrayType(T.DoubleType()))]))
-    return df.join(patterns, (F.col(sequence_col) == F.col("_s")) & (F.col(charge_col) == F.col("_c")), "left").drop("_s", "_c")
+    return df.join(patterns.hint("merge"), (F.col(sequence_col) == F.col("_s")) & (F.col(charge_col) == F.col("_c")), "left").drop("_s", "_c")
