@@ -31,8 +31,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
     At equal distance the lower key is taken. Of right rows with equal keys the last in
     ``right_order`` is taken when it is at or below the left key, else the first. One
-    shuffle by ``by`` and one sort: both sides are united and the neighbours looked up
-    in order of key. ``how="left"`` keeps left rows without a match within ``tolerance``.
+    shuffle by ``by``, over as many tasks as a shuffle has, and one sort: both sides are united and
+    the neighbours looked up in order of key. ``how="left"`` keeps left rows without a match within ``tolerance``.
     """
     row = F.struct(F.col(right_key).alias("_key"), *(F.col(v) for v in values))
     empty = F.lit(None).cast(right.select(row).schema[0].dataType)
@@ -45,7 +45,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     # Looking ahead is looking back in the opposite order, which streams instead of buffering.
     opposite = Window.partitionBy(*by).orderBy(F.col("_k").desc(), F.col("_side").desc(), F.col("_o").desc())
     ahead = F.last("_right", ignorenulls=True).over(opposite.rowsBetween(Window.unboundedPreceding, 0))
-    both = l.unionByName(r).withColumn("_back", back).withColumn("_ahead", ahead).where("_side = 1")
+    # A row takes far more room in the two sorts than in the shuffle, by whose size Spark would merge tasks.
+    united = l.unionByName(r).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else l.unionByName(r)
+    both = united.withColumn("_back", back).withColumn("_ahead", ahead).where("_side = 1")
     nearer = F.when(F.col("_ahead").isNull() | (F.col("_k") - F.col("_back._key") <= F.col("_ahead._key") - F.col("_k")), F.col("_back")).otherwise(F.col("_ahead"))
     found = both.withColumn("_hit", F.when(F.col("_k").isNotNull(), nearer))
     if tolerance is not None:
