@@ -15,15 +15,16 @@ def band_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     Each range is repeated for the buckets of ``width`` that it meets and each point has one
     bucket, so the join is an equi-join with a residual filter and yields no row twice. Choose
     ``width`` near the usual length of a range. Null bounds and points join with nothing.
-    ``on`` names further columns that must be equal.
+    ``on`` names further columns that must be equal. Ranges lead the join, so that a range's columns
+    come in runs, which files hold in little room, however many points a range holds.
     """
     on = on or []
     bucketed = ranges.where(F.col(low) <= F.col(high)).withColumn(
         "_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
     )
     left = points.where(F.col(point).isNotNull()).withColumn("_bucket", F.floor(F.col(point) / width))
-    joined = left.join(bucketed, [*on, "_bucket"])
-    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket")
+    joined = bucketed.join(left, [*on, "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high)))
+    return joined.select(*on, *(c for x in (points, ranges) for c in x.columns if c not in on))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, by: list[str], right_order: str, values: list[str], tolerance: float | None = None, how: str = "left") -> DataFrame:
